@@ -27,6 +27,20 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing)}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.quality_rules import judge, learn
+
+    docs = table(spark, sf_dir, "documents")
+    out = judge(docs, learn(docs, table(spark, sf_dir, "labels")), F.col("doc_id"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op4_quality_rules, op9_pii_pseudonyms)}
 
 SQL: dict[str, str] = {}
