@@ -41,6 +41,41 @@ def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op4_quality_rules, op9_pii_pseudonyms)}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.common import in_fold
+    from tessella.llm.language_id import learn, predict
 
-SQL: dict[str, str] = {}
+    docs = table(spark, sf_dir, "documents")
+    train = docs.filter((F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.col("lang").isNotNull())
+    out = predict(docs, learn(train.select("doc_id", "text", "lang")))
+    return out.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessella.llm.token_counts import count_tokens, vocabulary
+
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.metric_tree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_language_id, op4_quality_rules, op6_token_counts, op9_pii_pseudonyms, op10_exact_top_k)}
+
+SQL: dict[str, str] = {
+    "op10_exact_top_k": """
+        WITH sound AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        cells AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM sound),
+        scores AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+            FROM cells q JOIN cells c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+}
