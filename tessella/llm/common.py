@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +54,14 @@ def shuffle_width(spark: SparkSession) -> int:
 def in_fold(doc_id, modulus: int, remainder: int):
     """True where crc32 of the id as text has that remainder; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
+
+
+def worker_memory(name: str, key: object, make: Callable[[], Any]) -> Any:
+    """make(), kept in the Python worker for its later tasks; one object for each name, anew when the key changes.
+
+    What is kept must be a pure memory of results: a worker may start empty at any time.
+    """
+    kept = sys.modules.setdefault("tessella_worker_memory", types.ModuleType("tessella_worker_memory"))
+    if getattr(kept, name, (None,))[0] != key:
+        setattr(kept, name, (key, make()))
+    return getattr(kept, name)[1]

@@ -17,8 +17,8 @@ doc_id, text and lang are read, so other columns can't clash; an empty table giv
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import worker_memory
+
 SAMPLE = 10_000
 MAX_WORDS = 100_000
 MAX_GRAMS = 60_000
@@ -128,17 +130,12 @@ class Scorer:
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred and score of each row; reads doc_id and text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = worker_memory("language", key, lambda: Scorer(shared.value))
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
-
-
-def entropy(model: dict) -> float:
-    """Bits that a known word tells at most: a figure for how far the learned languages can be told apart."""
-    return math.log2(max(1, len(model["langs"])))

@@ -16,13 +16,14 @@ empty result. Very long words are scored like others but not remembered.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORDS
+from tessella.llm.common import WORDS, worker_memory
 
 MARK = "▁"
 MEMORY = 1_000_000
@@ -82,10 +83,10 @@ class PrefixScores:
 
 def count_tokens(docs: DataFrame, scores: dict[str, float]) -> DataFrame:
     """doc_id, n_words and n_tokens of each row. scores: the vocabulary, which is small, sent to every worker."""
-    shared = docs.sparkSession.sparkContext.broadcast(scores)
+    shared, key = docs.sparkSession.sparkContext.broadcast(scores), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = PrefixScores(shared.value), {}
+        trie, known = worker_memory("token_counts", key, lambda: (PrefixScores(shared.value), {}))
         for batch in batches:
             texts = [WORDS.findall(t.as_py() or "") for t in batch.column(1)]
             if len(known) > MEMORY:
