@@ -35,6 +35,15 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.common import in_fold
+    from tessella.llm.kneser_ney import learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, learn(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 7 != 2)))
+    return out.select("doc_id", in_fold(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.jaccard_join import join
 
@@ -71,7 +80,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_language_id, op4_quality_rules, op6_token_counts, op8_ngram_jaccard_join, op9_pii_pseudonyms, op10_exact_top_k)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_language_id, op4_quality_rules, op6_token_counts, op7_lm_scoring, op8_ngram_jaccard_join, op9_pii_pseudonyms, op10_exact_top_k)}
 
 SQL: dict[str, str] = {
     "op10_exact_top_k": """
