@@ -16,24 +16,27 @@ text aren't read, so clashing names don't matter; a null id is carried along.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORDS
+from tessella.llm.common import WORDS, worker_memory
 
 LENGTH = 2048
 OPEN_BINS = 8192
 WINDOW = 8192
 END = b"\0\0\0\0"
-#: Words whose ids a worker remembers; beyond that it starts anew.
-MEMORY = 400_000
+#: Words whose ids a worker remembers at least, and half the most.
+MEMORY = 900_000
 #: Longer words aren't remembered.
 LONG = 200
+GROUP = 500
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -76,32 +79,102 @@ class BestFit:
         return number, self.size - room
 
 
+class Remembered(dict):
+    """Ids by text; keeps the latest MEMORY to 2 * MEMORY of them."""
+
+    def __init__(self):
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, new: set[str], make: Callable[[list[str]], list[bytes]]) -> None:
+        if len(self) > MEMORY:
+            self.old = dict(self)
+            self.clear()
+        unknown = []
+        for text in new:
+            value = self.old.get(text)
+            if value is None:
+                unknown.append(text)
+            else:
+                self[text] = value
+        self.update(zip(unknown, make(unknown), strict=True))
+
+    def forget(self, texts: set[str]) -> None:
+        """Long ones, which would fill the memory."""
+        for text in texts:
+            if len(text) > LONG:
+                self.pop(text, None)
+
+
 class WordTokens:
-    """Ids of a text as little-endian bytes. The vocabulary never joins text across white space, so ids are kept by word."""
+    """Ids of texts as little-endian bytes.
+
+    The vocabulary never joins text across white space, nor letters with other characters, so ids are kept by word and
+    by piece of a word. Words of plain letters and signs are cut here the way the vocabulary's own
+    pattern does, and their pieces go to the library without its normaliser, which would leave them as they are; all
+    other words go to the library whole.
+    """
+
+    #: The vocabulary's own pattern, within the characters of PLAIN; what begins its special tokens and ends its words.
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    SPECIAL, WORD_END = "<|", "</w>"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has put a worker on every core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        words = WORDS.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > MEMORY:
-                known.clear()
-            new = list({w for w in words if w not in known})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-            ids = b"".join([known[w] for w in words])
-            for w in new:
-                if len(w) > LONG:
-                    del known[w]
-            return ids
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.bare.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for text, i in vocabulary.items() if text.endswith(self.WORD_END)]] = True
+        self.parts, self.words = Remembered(), Remembered()
+
+    def _encoded(self, parts: list[str]) -> list[bytes]:
+        """Of pieces; many at a time, told apart by the ids that end a word."""
+        out: list[bytes] = []
+        lines = [" ".join(parts[i : i + 500]) for i in range(0, len(parts), 500)]
+        for e in self.bare.encode_batch_fast(lines, add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            data, ends = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            out += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
+
+    def _made(self, words: list[str]) -> list[bytes]:
+        cut = [None if self.SPECIAL in w or not self.PLAIN.fullmatch(w) else self.PARTS.findall(w.lower()) for w in words]
+        new = {p for parts in cut if parts for p in parts if p not in self.parts}
+        self.parts.learn(new, self._encoded)
+        whole = iter(self.tokenizer.encode_batch_fast([w for w, parts in zip(words, cut, strict=True) if parts is None], add_special_tokens=False))
+        known = self.parts
+        # a piece may have gone to the older half meanwhile
+        out = [np.array(next(whole).ids, "<u4").tobytes() if parts is None else b"".join([known[p] if p in known else known.old[p] for p in parts]) for parts in cut]
+        known.forget(new)
+        return out
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        get, out, gaps, new = self.words.get, [], [], set()
+        for i, text in enumerate(texts):
+            words = WORDS.findall(text)
+            found = list(map(get, words))
+            if None in found:
+                new.update([w for w, v in zip(words, found, strict=True) if v is None])
+                gaps.append((i, words, found))
+                out.append(b"")
+            else:
+                out.append(b"".join(found))
+        if gaps:
+            self.words.learn(new, self._made)
+            for i, words, found in gaps:
+                out[i] = b"".join([self.words[w] if v is None else v for w, v in zip(words, found, strict=True)])
+            self.words.forget(new)
+        return out
+
+
+def _in_groups(tokens: WordTokens, texts: pa.Array) -> Iterator[bytes]:
+    """The ids of each text; a few hundred texts at a time share their unknown words."""
+    for at in range(0, len(texts), GROUP):
+        yield from tokens.ids([t.as_py() or "" for t in texts.slice(at, GROUP)])
 
 
 def _pieces(path: str, size: int, open_bins: int, window: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -116,12 +189,12 @@ def _pieces(path: str, size: int, open_bins: int, window: int, with_ids: bool) -
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, bins = WordTokens(path), BestFit(size, open_bins)
+        tokens, bins = worker_memory("packing", path, lambda: WordTokens(path)), BestFit(size, open_bins)
         base = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokens.ids(text.as_py() or "") + END
+            for doc, ids in zip(batch.column(0).to_pylist(), _in_groups(tokens, batch.column(1)), strict=True):
+                ids += END
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
