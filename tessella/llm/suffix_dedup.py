@@ -39,6 +39,8 @@ NEAR = LENGTH - GRAM + 1  # 24-byte strings within 50 bytes
 AROUND = LENGTH + NEAR - 1  # bytes that hold all 50-byte strings with an anchor
 #: Anchors that a task gathers before it sends them; bytes that are hashed at once.
 BLOCK, CHUNK = 1_500_000, 1 << 18
+#: Slices of a hash range that are sorted one after another.
+FINE = 8
 ROWS = "part int, whole boolean, payload binary"
 PRIME = 0x9E3779B97F4A7C15
 POWERS = np.array([pow(PRIME, LENGTH - 1 - i, 1 << 64) for i in range(LENGTH)], dtype=U64)
@@ -82,6 +84,11 @@ def grams(data: np.ndarray) -> np.ndarray:
     return mix(h16[:-8] * power(8) + h[16:])
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Anchors are the least of their neighbours, so their hashes crowd together; these are even."""
+    return mix(h ^ U64(PRIME))
+
+
 def _slide(h: np.ndarray, best: np.ufunc) -> np.ndarray:
     """best of every NEAR neighbours."""
     for n in (1, 2, 4, 8):
@@ -100,7 +107,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     around = np.zeros(NEAR - 1, U64)
     found = np.flatnonzero(_slide(np.concatenate([around, least, around]), np.maximum) == h)
     text = np.searchsorted(ends, found, "right")
-    return text, found - (ends - sizes)[text], h[found]
+    return text, found - (ends - sizes)[text], _spread(h[found])
 
 
 def _send_anchors(parts: int):
@@ -216,31 +223,38 @@ def _send_surroundings(parts: int):
 
         cold = ~hot
         around = cells(offsets[at[cold]] + place[cold] - NEAR + 1, first[cold], last[cold])
-        spread = (around[:, NEAR - 1 : LENGTH].astype(U64) + U64(1)) @ POWERS[LENGTH - GRAM :]
-        found = [(mix(spread), doc[cold], place[cold], around)]
+        found = [(_hash(around[:, NEAR - 1 : LENGTH]), doc[cold], place[cold], around)]
         if hot.any():
             n = (last - first + 1)[hot]
             k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[hot], n)
             start = np.repeat(place[hot], n) - NEAR + 1 + k
             single = cells(np.repeat(offsets[at[hot]], n) + start, np.zeros(len(k), np.uint8), np.zeros(len(k), np.uint8))
             single[:, LENGTH:AROUND] = 0
-            found.append((mix((single[:, :LENGTH].astype(U64) + U64(1)) @ POWERS), np.repeat(doc[hot], n), start + NEAR - 1, single))
+            found.append((_hash(single[:, :LENGTH]), np.repeat(doc[hot], n), start + NEAR - 1, single))
         key, doc, place, around = (np.concatenate(c) for c in zip(*found, strict=True))
-        to = part_of(key, parts)
+        to = part_of(key, parts * FINE)
         order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(parts + 1, dtype=U64))
+        cuts = np.searchsorted(to[order], np.arange(parts * FINE + 1, dtype=U64))
+        slices: dict[int, list[bytes]] = {}
         for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             if a < b:
                 own = order[a:b]
                 distinct, which = _distinct(around[own])
                 columns = b"".join(pack_ints(c) for c in (which.astype(np.int64), doc[own], place[own]))
-                payload = struct.pack("<I", len(distinct)) + distinct.tobytes() + columns
-                rows.append((p, False, zstandard.ZstdCompressor(level=1).compress(payload)))
+                payload = zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(distinct)) + distinct.tobytes() + columns)
+                slices.setdefault(p // FINE, []).append(struct.pack("<BI", p % FINE, len(payload)) + payload)
+        rows += [(p, False, b"".join(payloads)) for p, payloads in slices.items()]
         return _table(rows)
 
     return run
 
 
+def _hash(rows: np.ndarray) -> np.ndarray:
+    """Of each row of bytes; some at a time, as numbers take eight times the room."""
+    powers = POWERS[LENGTH - rows.shape[1] :]
+    return np.concatenate([_spread(mix((rows[a : a + 50_000].astype(U64) + U64(1)) @ powers)) for a in range(0, max(1, len(rows)), 50_000)])
+
+
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct rows of bytes, and which of them each row is."""
     cells = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1]))).ravel()
@@ -329,56 +343,69 @@ def _repeated(parts: int):
     """A hash range's surroundings -> the stretches that a smaller document has too, by document."""
 
     def run(block: pa.Table) -> pa.Table:
-        data, wholes = _split(block)
-        rows = [(int(p), True, w) for p, w, whole in zip(block.column("part").to_pylist(), block.column("payload").to_pylist(), block.column("whole").to_pylist(), strict=True) if whole]
-        del wholes
-        tables, which, docs, places, total = [], [], [], [], 0
-        for payload in data:
-            raw = memoryview(zstandard.ZstdDecompressor().decompress(payload))
-            n = struct.unpack_from("<I", raw)[0]
-            tables.append(np.frombuffer(raw, np.uint8, n * (AROUND + 2), 4).reshape(n, AROUND + 2))
-            at = 4 + n * (AROUND + 2)
-            for column in (which, docs, places):
-                values, at = unpack_ints(raw, at)
-                column.append(values.view(np.int64))
-            which[-1] = which[-1] + total
-            total += n
-        if not tables:
-            return _table(rows)
-        distinct, again = _distinct(np.concatenate(tables))
-        which, doc, place = again[np.concatenate(which)], np.concatenate(docs), np.concatenate(places)
-        smallest = np.full(len(distinct), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, which, doc)
-        width = AROUND + 1
-        text = np.zeros((len(distinct), width), np.uint8)
-        text[:, :AROUND] = distinct[:, :AROUND]
-        order, same = two_stage(text.ravel())
-        column = order % width
-        row = order // width
-        valid = (column >= distinct[row, AROUND]) & (column <= distinct[row, AROUND + 1])
-        group = np.cumsum(~same)[valid]
-        row, column = row[valid], column[valid]
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        least = np.repeat(np.minimum.reduceat(smallest[row], starts), np.diff(np.append(starts, len(group))))
-        has = np.full((len(distinct), NEAR), np.iinfo(np.int64).max)
-        has[row, column] = least
-        found = []
-        for a in range(0, len(which), 1 << 18):
-            b = a + (1 << 18)
-            removed = np.zeros((len(which[a:b]), NEAR + 2), np.int8)
-            removed[:, 1:-1] = has[which[a:b]] < doc[a:b, None]
-            turn = np.diff(removed, axis=1)
-            i, low = np.nonzero(turn == 1)
-            _, high = np.nonzero(turn == -1)
-            found.append((doc[a:b][i], place[a:b][i] - NEAR + 1 + low, place[a:b][i] - NEAR + high + LENGTH))
-        doc, low, high = merged(*(np.concatenate(c) for c in zip(*found, strict=True)))
-        if len(doc):
-            rows += _homed(doc.view(U64), [low.astype(U64), high.astype(U64)], parts, False)
+        columns = (block.column(c).to_pylist() for c in ("part", "whole", "payload"))
+        rows, fine = [], {}
+        for part, whole, payload in zip(*columns, strict=True):
+            if whole:
+                rows.append((part, True, payload))
+            else:
+                at = 0
+                while at < len(payload):
+                    which, size = struct.unpack_from("<BI", payload, at)
+                    fine.setdefault(which, []).append(payload[at + 5 : at + 5 + size])
+                    at += 5 + size
+        found = [_stretches(payloads) for payloads in fine.values()]  # one after another, to be small
+        if found:
+            doc, low, high = merged(*(np.concatenate(c) for c in zip(*found, strict=True)))
+            if len(doc):
+                rows += _homed(doc.view(U64), [low.astype(U64), high.astype(U64)], parts, False)
         return _table(rows)
 
     return run
 
 
+def _stretches(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end of what is in a smaller document too."""
+    tables, which, docs, places, total = [], [], [], [], 0
+    for payload in data:
+        raw = memoryview(zstandard.ZstdDecompressor().decompress(payload))
+        n = struct.unpack_from("<I", raw)[0]
+        tables.append(np.frombuffer(raw, np.uint8, n * (AROUND + 2), 4).reshape(n, AROUND + 2))
+        at = 4 + n * (AROUND + 2)
+        for column in (which, docs, places):
+            values, at = unpack_ints(raw, at)
+            column.append(values.view(np.int64))
+        which[-1] = which[-1] + total
+        total += n
+    distinct, again = _distinct(np.concatenate(tables))
+    which, doc, place = again[np.concatenate(which)], np.concatenate(docs), np.concatenate(places)
+    smallest = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, which, doc)
+    width = AROUND + 1
+    text = np.zeros((len(distinct), width), np.uint8)
+    text[:, :AROUND] = distinct[:, :AROUND]
+    order, same = two_stage(text.ravel())
+    column = order % width
+    row = order // width
+    valid = (column >= distinct[row, AROUND]) & (column <= distinct[row, AROUND + 1])
+    group = np.cumsum(~same)[valid]
+    row, column = row[valid], column[valid]
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    least = np.repeat(np.minimum.reduceat(smallest[row], starts), np.diff(np.append(starts, len(group))))
+    has = np.full((len(distinct), NEAR), np.iinfo(np.int64).max)
+    has[row, column] = least
+    found = []
+    for a in range(0, len(which), 1 << 16):
+        b = a + (1 << 16)
+        removed = np.zeros((len(which[a:b]), NEAR + 2), np.int8)
+        removed[:, 1:-1] = has[which[a:b]] < doc[a:b, None]
+        turn = np.diff(removed, axis=1)
+        i, low = np.nonzero(turn == 1)
+        _, high = np.nonzero(turn == -1)
+        found.append((doc[a:b][i], place[a:b][i] - NEAR + 1 + low, place[a:b][i] - NEAR + high + LENGTH))
+    return merged(*(np.concatenate(c) for c in zip(*found, strict=True)))
+
+
 def merged(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of each document, touching ones joined, in order."""
     if not len(doc):
@@ -421,7 +448,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """RESULT: of every document, what is removed (stretches from starts to ends, in bytes) and the digest of the rest."""
     spark = docs.sparkSession
     parts = shuffle_width(spark)
-    hot = docs.count() // (4 * parts) + 1000
+    hot = docs.count() // parts + 1000  # more than a range has documents
     known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     sent = known.mapInArrow(_send_anchors(parts), ROWS)
     shared = sent.groupBy("part").applyInArrow(_shared(parts, hot), ROWS)
