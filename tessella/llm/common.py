@@ -57,11 +57,12 @@ def in_fold(doc_id, modulus: int, remainder: int):
 
 
 def worker_memory(name: str, key: object, make: Callable[[], Any]) -> Any:
-    """make(), kept in the Python worker for its later tasks; one object for each name, anew when the key changes.
+    """make(), kept in the Python worker for its later tasks. It keeps one object, so another name or key replaces it.
 
     What is kept must be a pure memory of results: a worker may start empty at any time.
     """
     kept = sys.modules.setdefault("tessella_worker_memory", types.ModuleType("tessella_worker_memory"))
-    if getattr(kept, name, (None,))[0] != key:
-        setattr(kept, name, (key, make()))
-    return getattr(kept, name)[1]
+    if getattr(kept, "slot", (None, None))[0] != (name, key):
+        kept.slot = (None, None)  # the old one goes first
+        kept.slot = ((name, key), make())
+    return kept.slot[1]

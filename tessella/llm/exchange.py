@@ -8,7 +8,6 @@ bytes that one row for each hash would, and the receiving side works on arrays.
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ from tessella.llm.common import ASCII_LOWER
 U64 = np.uint64
 #: Entries that a task gathers before it sends them.
 BLOCK = 3_000_000
-MEMORY = 1_000_000
+MEMORY = 400_000
 LONG = 200
 
 
@@ -94,11 +93,17 @@ def together(payloads: list[bytes], columns: int) -> list[np.ndarray]:
     return [np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=U64) for i in range(columns)]
 
 
+def word_hash(word: str) -> int:
+    """64 bits of a word with A-Z in lower case."""
+    lower = word.lower() if word.isascii() else word.translate(ASCII_LOWER)
+    return xxhash.xxh3_64_intdigest(lower.encode("utf-8", "surrogatepass"))
+
+
 class WordHashes(dict):
     """64-bit hashes of words with A-Z in lower case; remembers a bounded number of them."""
 
     def __missing__(self, word: str) -> int:
-        value = xxhash.xxh3_64_intdigest(word.translate(ASCII_LOWER).encode("utf-8", "surrogatepass"))
+        value = word_hash(word)
         if len(word) <= LONG:
             if len(self) > MEMORY:
                 self.clear()
@@ -118,7 +123,3 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     for i in range(min(width, len(hashes))):
         total = total * U64(0x9E3779B97F4A7C15 | 1) + hashes[i : i + n]
     return mix(total)
-
-
-def fresh(name: str) -> str:
-    return f"{name}_{uuid.uuid4().hex}"

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import WORDS, materialise, shared_dir, shuffle_width, worker_memory
-from tessella.llm.exchange import BLOCK, U64, WordHashes, dealt, mix, part_of, together
+from tessella.llm.exchange import BLOCK, U64, WordHashes, dealt, mix, part_of, together, word_hash
 
 END = 0xE1D0_0000_0000_0001  # a hash for the end of a text
-SCORED = 500_000  # tokens that are looked up together
+SCORED = 1_000_000  # tokens that are looked up together
 ROWS = "part int, payload binary"
 
 
@@ -85,28 +85,39 @@ class SortedHashes:
 
 
 class WordNumbers(dict):
-    """A text's words as numbers; -1 for unseen ones."""
+    """Words as numbers; -1 for unseen ones. Texts come in groups, which share the look-up of new words."""
 
     def __init__(self, vocabulary: SortedHashes):
-        self.vocabulary, self.hashes = vocabulary, WordHashes()
+        self.vocabulary = vocabulary
         self.end = int(vocabulary.find(np.array([END], U64))[0][0])
 
-    def of(self, words: list[str]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        except KeyError:
-            pass
+    def __missing__(self, word: str) -> int:
+        """For now the word's place among the new ones, as -2 and less."""
+        self.new.append(word)
+        self[word] = n = -1 - len(self.new)
+        return n
+
+    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Each text's numbers and the end's."""
         if len(self) > 1_000_000:
             self.clear()
-        new = [w for w in set(words) if w not in self]
-        hashes = self.hashes.of(new)
-        order = np.argsort(hashes)
-        self.update(zip([new[i] for i in order.tolist()], self.vocabulary.find(hashes[order])[0].tolist(), strict=True))
-        self.hashes.clear()
-        out = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        for w in new:
-            if len(w) > 200:
-                del self[w]
+        self.new: list[str] = []
+        out = [np.fromiter(map(self.__getitem__, [*words, ""]), dtype=np.int64, count=len(words) + 1) for words in texts]
+        if self.new:
+            hashes = np.fromiter(map(word_hash, self.new), dtype=U64, count=len(self.new))
+            order = np.argsort(hashes)
+            places = np.empty(len(order), np.int64)
+            places[order] = self.vocabulary.find(hashes[order])[0]
+            self.update(zip(self.new, places.tolist(), strict=True))
+            for numbers in out:
+                late = numbers < -1
+                numbers[late] = places[-2 - numbers[late]]
+            for word in self.new:
+                if len(word) > 200:
+                    del self[word]
+        self[""] = self.end  # no word is empty
+        for numbers in out:
+            numbers[-1] = self.end
         return out
 
 
@@ -115,10 +126,12 @@ def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(payload, pa.binary())], names=["part", "payload"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+def _groups(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
+    """Some rows and their texts' words; the text is the last column."""
     for batch in batches:
-        for text in batch.column(batch.num_columns - 1):
-            yield WORDS.findall(text.as_py() or "")
+        for at in range(0, len(batch), size):
+            rows = batch.slice(at, size)
+            yield rows, [WORDS.findall(text.as_py() or "") for text in rows.column(rows.num_columns - 1)]
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +153,9 @@ def _count_words(parts: int):
             keys, counts = _summed(np.concatenate(held))
             return _rows(list(dealt(keys, [counts], parts)))
 
-        for words in _texts(batches):
-            held += [memory.of(words), np.array([END], U64)]
-            n += len(words) + 1
+        for _, texts in _groups(batches):
+            held += [memory.of(words) for words in texts] + [np.full(len(texts), END, U64)]
+            n += sum(map(len, texts)) + len(texts)
             if n >= BLOCK:
                 yield send()
                 held, n = [], 0
@@ -169,19 +182,21 @@ def _count_pairs(vocabulary: SortedHashes, parts: int, start: int):
 
         def send() -> pa.RecordBatch:
             keys, counts = _summed(np.concatenate(held))
-            to = part_of(mix(keys), parts)
+            to = part_of(mix(keys), parts).astype(np.uint16 if parts < 1 << 16 else np.int64)
             order = np.argsort(to, kind="stable")  # by range, and by key within it
-            cuts = np.searchsorted(to[order], np.arange(parts + 1, dtype=U64))
+            cuts = np.searchsorted(to[order], np.arange(parts + 1))
             rows = []
             for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if a < b:
                     rows += [(p, data) for _, data in dealt(keys[order[a:b]], [counts[order[a:b]]], 1)]
             return _rows(rows)
 
-        for words in _texts(batches):
-            at = np.concatenate([[start], numbers.of(words), [numbers.end]]).astype(U64)
-            held.append((at[:-1] << U64(32)) | at[1:])
-            n += len(at)
+        for _, texts in _groups(batches):
+            for second in numbers.of(texts):
+                second = second.astype(U64)
+                first = np.concatenate([[U64(start)], second[:-1]])
+                held.append((first << U64(32)) | second)
+                n += len(second)
             if n >= BLOCK:
                 yield send()
                 held, n = [], 0
@@ -241,7 +256,7 @@ def _keep_contexts(folder: str, starts: np.ndarray, d: tuple[float, float, float
         for row, column in zip(table, (total, n1, n2, n3, before), strict=True):
             np.add.at(row, keys.astype(np.int64) - a, column.astype(float))
         left = (d[0] * table[1] + d[1] * table[2] + d[2] * table[3]) / np.maximum(table[0], 1)
-        for name, values in (("total", table[0]), ("left", np.where(table[0] > 0, left, 1.0)), ("before", table[4])):
+        for name, values in (("total", table[0]), ("left", np.where(table[0] > 0, left, 1.0)), ("before", table[4]), ("count", np.append(_map(f"{folder}/word-{p}-n", np.uint32), np.zeros(int(p == len(starts) - 2))) if starts[p] < starts[p + 1] else np.zeros(b - a))):
             with open(f"{folder}/{name}", "r+b") as f:  # one file for all ranges, each writing its own stretch
                 f.seek(8 * a)
                 f.write(values.astype(np.float64).tobytes())
@@ -261,32 +276,23 @@ class Model:
     def map(self) -> Model:
         if not hasattr(self, "maps"):
             self.numbers = WordNumbers(self.words)
-            self.maps = {x: _map(f"{self.folder}/{x}", np.float64) for x in ("total", "left", "before")}
-            self.counts = [_map(f"{self.folder}/word-{p}-n", np.uint32) if self.words.starts[p] < self.words.starts[p + 1] else np.zeros(0, np.uint32) for p in range(self.words.parts)]
+            self.maps = {x: _map(f"{self.folder}/{x}", np.float64) for x in ("total", "left", "before", "count")}
         return self
 
-    def word_counts(self, numbers: np.ndarray) -> np.ndarray:
-        """Of ascending numbers."""
-        cuts = np.searchsorted(numbers, self.words.starts)
-        return np.concatenate([n[numbers[a:b] - s] for n, s, a, b in zip(self.counts, self.words.starts, cuts[:-1], cuts[1:], strict=False)] or [np.zeros(0)])
-
     def logs(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 of p(second | first), and the second words' counts in training. -1: unseen."""
-        take = lambda c, d: np.maximum(c - np.select([c == 0, c == 1, c == 2], [0, d[0], d[1]], d[2]), 0)
-        words, back = np.unique(second, return_inverse=True)
-        seen = words >= 0
-        before, counts = np.zeros(len(words)), np.zeros(len(words))
-        before[seen], counts[seen] = self.maps["before"][words[seen]], self.word_counts(words[seen])
-        single = take(before, self.d1) / max(1, self.types) + self.left / (self.size + 1)
-        p, counts = single[back], counts[back]
-        known = first >= 0
-        contexts, context_of = np.unique(first[known], return_inverse=True)
-        total, left = self.maps["total"][contexts][context_of], self.maps["left"][contexts][context_of]
-        p[known] = p[known] * left
-        both = known & (second >= 0)
-        hashes, pair_of = np.unique(mix((first[both].astype(U64) << U64(32)) | second[both].astype(U64)), return_inverse=True)
-        c = self.pairs.find(hashes)[1].astype(float)
-        p[both] += (take(c, self.d2)[pair_of]) / np.maximum(total[both[known]], 1)
+        taken = lambda c, d: c - np.array([0.0, *d])[np.minimum(c, 3).astype(np.int8)]
+        seen, known = second >= 0, first >= 0
+        before, counts = np.zeros(len(second)), np.zeros(len(second))
+        before[seen], counts[seen] = self.maps["before"][second[seen]], self.maps["count"][second[seen]]
+        p = taken(before, self.d1) / max(1, self.types) + self.left / (self.size + 1)
+        p[known] *= self.maps["left"][first[known]]
+        both = np.flatnonzero(known & seen)
+        hashes = mix((first[both].astype(U64) << U64(32)) | second[both].astype(U64))
+        order = np.argsort(hashes)
+        c = self.pairs.find(hashes[order])[1].astype(float)
+        at = both[order]
+        p[at] += taken(c, self.d2) / np.maximum(self.maps["total"][first[at]], 1)
         return np.log10(p), counts
 
 
@@ -300,7 +306,7 @@ def learn(train: DataFrame) -> Model:
     start = int(words.starts[-1])
     if start >= 2**32 - 1:
         raise ValueError("more than 2^32 distinct words")
-    for name in ("total", "left", "before"):
+    for name in ("total", "left", "before", "count"):
         with open(f"{folder}/{name}", "wb") as f:
             f.truncate(8 * (start + 1))
     kept = materialise(texts.mapInArrow(_count_pairs(words, parts, start), ROWS).groupBy("part").applyInArrow(_keep_pairs(folder, words.starts), ROWS), "contexts")
@@ -334,14 +340,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             columns = [pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat((counts > 0).astype(np.int64), at)), pa.array(np.full(len(ids), m.total, np.int64)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(logs, at))]
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(doc)
-                held.append(np.append(m.numbers.of(WORDS.findall(text.as_py() or "")), m.numbers.end))
-                n += len(held[-1])
-                if n >= SCORED:
-                    yield scored()
-                    ids, held, n = [], [], 0
+        for rows, texts in _groups(batches):
+            ids += rows.column(0).to_pylist()
+            held += m.numbers.of(texts)
+            n += sum(map(len, held[-len(texts) :]))
+            if n >= SCORED:
+                yield scored()
+                ids, held, n = [], [], 0
         if ids:
             yield scored()
 

@@ -80,13 +80,13 @@ class BestFit:
 
 
 class Remembered(dict):
-    """Ids by text; keeps the latest MEMORY to 2 * MEMORY of them."""
+    """Ids by text; keeps the latest `most` to 2 * `most` of them."""
 
-    def __init__(self):
-        self.old: dict[str, bytes] = {}
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
 
     def learn(self, new: set[str], make: Callable[[list[str]], list[bytes]]) -> None:
-        if len(self) > MEMORY:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
         unknown = []
@@ -119,7 +119,7 @@ class WordTokens:
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     SPECIAL, WORD_END = "<|", "</w>"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has put a worker on every core
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -129,7 +129,7 @@ class WordTokens:
         vocabulary = self.bare.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for text, i in vocabulary.items() if text.endswith(self.WORD_END)]] = True
-        self.parts, self.words = Remembered(), Remembered()
+        self.parts, self.words = Remembered(memory // 2), Remembered(memory)
 
     def _encoded(self, parts: list[str]) -> list[bytes]:
         """Of pieces; many at a time, told apart by the ids that end a word."""
@@ -177,7 +177,7 @@ def _in_groups(tokens: WordTokens, texts: pa.Array) -> Iterator[bytes]:
         yield from tokens.ids([t.as_py() or "" for t in texts.slice(at, GROUP)])
 
 
-def _pieces(path: str, size: int, open_bins: int, window: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(path: str, size: int, open_bins: int, window: int, with_ids: bool, memory: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     if with_ids:
@@ -189,7 +189,7 @@ def _pieces(path: str, size: int, open_bins: int, window: int, with_ids: bool) -
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, bins = worker_memory("packing", path, lambda: WordTokens(path)), BestFit(size, open_bins)
+        tokens, bins = worker_memory("packing", (path, memory), lambda: WordTokens(path, memory)), BestFit(size, open_bins)
         base = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         for batch in batches:
@@ -207,14 +207,14 @@ def _pieces(path: str, size: int, open_bins: int, window: int, with_ids: bool) -
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = LENGTH, open_bins: int = OPEN_BINS, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = LENGTH, open_bins: int = OPEN_BINS, window: int = WINDOW, with_ids: bool = False, memory: int = MEMORY) -> DataFrame:
     """One row for each piece, with its sequence and its place there.
 
     docs: doc_id and text. tokenizer: path of a vocabulary file, the same on every machine.
-    with_ids: adds the piece's ids, little-endian unsigned 32-bit, for `sequences`.
+    memory: how many words a worker remembers, and half the most. with_ids: adds the piece's ids, little-endian unsigned 32-bit, for `sequences`.
     """
     schema = PIECES + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_pieces(tokenizer, size, open_bins, window, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_pieces(tokenizer, size, open_bins, window, with_ids, memory), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

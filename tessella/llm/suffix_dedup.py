@@ -213,6 +213,8 @@ def _send_surroundings(parts: int):
         # the first and the last 50-byte string of the surroundings that is within the text
         first = NEAR - 1 - np.minimum(NEAR - 1, place)
         last = np.minimum(NEAR - 1, sizes[at] - place - GRAM)
+        fits = last >= first  # else two texts have one id
+        doc, place, hot, at, first, last = (c[fits] for c in (doc, place, hot, at, first, last))
         views = sliding_window_view(buffer, AROUND)
 
         def cells(start: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
