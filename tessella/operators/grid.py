@@ -116,3 +116,19 @@ def difference(one: DataFrame, other: DataFrame, keys: list[str], value: str) ->
     out = one.select(*keys, F.col(value).alias("__a")).join(other.select(*keys, F.col(value).alias("__b")), keys, "full")
     checked = F.when(F.col("__a").isNull() | F.col("__b").isNull(), F.raise_error(F.lit("grids of different shape")).cast("double")).otherwise(F.col("__a") - F.col("__b"))
     return out.select(*keys, checked.alias(value))
+
+
+def checked_inside(points: DataFrame, x: Axis, y: Axis, what: str = "a point outside the grid") -> DataFrame:
+    """points, or an error if one of them (x, y) is outside."""
+    inside = x.index(F.col("x")).isNotNull() & y.index(F.col("y")).isNotNull()
+    return points.withColumn("x", F.when(inside, F.col("x")).otherwise(F.raise_error(F.lit(what)).cast("double")))
+
+
+def profile_along(cells: DataFrame, pillars: DataFrame, x: Axis, y: Axis, rays: DataFrame, most: float) -> DataFrame:
+    """ray_id, distance of each crossed cell's centre and height of the terrain there over the ray's start, up to a distance.
+
+    cells: ray_id, ix, iy. rays: ray_id, px, py, pz.
+    """
+    out = cells.join(pillars.select("ix", "iy", "zmax"), ["ix", "iy"]).join(rays.select("ray_id", "px", "py", "pz"), "ray_id")
+    dx, dy = x.center(F.col("ix")) - F.col("px"), y.center(F.col("iy")) - F.col("py")
+    return out.select("ray_id", F.sqrt(dx * dx + dy * dy).alias("distance"), (F.col("zmax") - F.col("pz")).alias("height")).filter(F.col("distance") <= most)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.stats import poisson
+
 
 def initial(bins: DataFrame, nx: int, ny: int, x_parts: int, y_parts: int) -> DataFrame:
     """bins with igroup: about equal rectangles."""
@@ -51,6 +53,44 @@ def noise_split(bins: DataFrame, by: list[str], total: float, share: float) -> D
     return bins.join(whole, by).withColumns({"noise_det": noise * (1 - share), "noise_poi": noise * share}).drop("__whole")
 
 
+def observed_counts(rows: DataFrame, key: list[str], draw_signal: bool, seed: int = 42) -> DataFrame:
+    """rows with observed: signal (drawn or not), the noise floor, and the Poisson part of the noise, which is always drawn."""
+    ids = [F.col(k) for k in key]
+    signal = poisson(F.col("signal"), F.lit("signal"), *ids, seed=seed).cast("double") if draw_signal else F.col("signal")
+    return rows.withColumn("observed", signal + F.col("noise_det") + poisson(F.col("noise_poi"), F.lit("noise"), *ids, seed=seed))
+
+
+def expected_counts(rows: DataFrame) -> DataFrame:
+    """rows with expected: signal and the Poisson part of the noise, without the floor."""
+    return rows.withColumn("expected", F.col("signal") + F.col("noise_poi"))
+
+
+def log_counts(rows: DataFrame, total: Column, least: float, fill: float) -> DataFrame:
+    """rows with log_count, which is the fill where the total is below the least."""
+    return rows.withColumn("log_count", F.when(total < least, fill).otherwise(F.log10(total)))
+
+
+def cone_volume(transitions: Column, solid: Column) -> Column:
+    """Volume that an angular bin cuts from a body: cones at the distances where its ray leaves less those where it enters.
+
+    transitions: an array of structs tf_in (whether it enters there) and dist.
+    """
+    cubes = F.aggregate(transitions, F.lit(0.0), lambda s, x: s + F.when(x["tf_in"], -1.0).otherwise(1.0) * x["dist"] * x["dist"] * x["dist"])
+    return cubes * solid / 3
+
+
+def combined_paths(one: DataFrame, other: DataFrame, key: list[str], sign: float) -> DataFrame:
+    """one with pl and dl plus sign times the other's."""
+    added = other.select(*key, F.col("pl").alias("__pl"), F.col("dl").alias("__dl"))
+    return one.join(added, key).withColumns({"pl": F.col("pl") + sign * F.col("__pl"), "dl": F.col("dl") + sign * F.col("__dl")}).drop("__pl", "__dl")
+
+
+def left_out_paths(cells: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """ray_id and the path length in cells that aren't kept: all less the kept."""
+    marked = cells.join(kept.select(*keys).distinct().withColumn("__kept", F.lit(True)), keys, "left")
+    return marked.groupBy("ray_id").agg((F.sum("length") - F.coalesce(F.sum(F.when(F.col("__kept"), F.col("length"))), F.lit(0.0))).alias("pl"))
+
+
 def bounding_boxes(bins: DataFrame, by: list[str]) -> DataFrame:
     out = bins.groupBy(*by).agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("is_rect", F.col("n") == (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import p_one_sided, p_two_sided, z_value
+from tessella.functions.axis import Axis
+from tessella.operators.grid import binned
 from tessella.operators.windows import prefix_sums, rectangle_sums
 
 
@@ -47,3 +49,9 @@ ORDER = (("alpha", False), ("signal_amp", False), ("delta", False), ("size", Tru
 
 def in_order(rows: DataFrame, keys: tuple[tuple[str, bool], ...] = ORDER) -> DataFrame:
     return rows.orderBy(*[F.asc(k) if up else F.desc(k) for k, up in keys])
+
+
+def heat_map(rows: DataFrame, x: Axis, y: Axis, xs: Column, ys: Column, amplifier: float, delta: float) -> DataFrame:
+    """ix, iy, and the mean and least log10 of p (cut off at 1e-10) of the tests with an amplifier and a change."""
+    chosen = rows.filter((F.col("signal_amp") == amplifier) & (F.col("delta") == delta)).withColumn("__log", F.log10(F.greatest(F.lit(1e-10), F.least(F.lit(1.0), F.col("p_val")))))
+    return binned(chosen, x, y, xs, ys).groupBy("ix", "iy").agg(F.avg("__log").alias("mean"), F.min("__log").alias("least"))

@@ -662,6 +662,24 @@ def poisson_draws(t):
     return t("supplier").select("s_suppkey", stats.poisson(F.abs("s_acctbal") / 100, F.col("s_suppkey")).alias("n"))
 
 
+@query(f"WITH {BINS} SELECT l_orderkey, l_linenumber, round(signal + noise_poi, 4) AS expected, round(CASE WHEN signal + noise_poi < 5000 THEN -1.0 ELSE log10(signal + noise_poi) END, 6) AS log_count FROM bins")
+def counts_and_logs(t):
+    out = groups.expected_counts(bins(t))
+    return groups.log_counts(out, F.col("expected"), 5000, -1.0).select("l_orderkey", "l_linenumber", F.round("expected", 4).alias("expected"), F.round("log_count", 6).alias("log_count"))
+
+
+@query("SELECT l_orderkey, round(sum((CASE WHEN l_linenumber % 2 = 1 THEN -1 ELSE 1 END) * pow(l_quantity, 3)) * 0.01 / 3, 3) AS volume FROM lineitem GROUP BY 1")
+def cone_volumes(t):
+    steps = F.array_sort(F.collect_list(F.struct((F.col("l_linenumber") % 2 == 1).alias("tf_in"), F.col("l_quantity").alias("dist"))))
+    return t("lineitem").groupBy("l_orderkey").agg(steps.alias("s")).select("l_orderkey", F.round(groups.cone_volume(F.col("s"), F.lit(0.01)), 3).alias("volume"))
+
+
+@query(f"WITH {CELLS} SELECT ray_id, round(sum(CASE WHEN ix % 2 = 0 THEN 0 ELSE length END), 5) AS pl FROM cells GROUP BY 1")
+def left_out_paths(t):
+    every = trace.crossings(rays(t), GRID)
+    return groups.left_out_paths(every, every.filter("ix % 2 = 0"), ["ix", "iy"]).withColumn("pl", F.round("pl", 5))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raster, interpolation at every line, and sums by group."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

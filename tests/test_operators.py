@@ -195,6 +195,21 @@ def test_significance_order(spark):
     assert got[0].alpha == 0.3 and got[0]["size"] == 2 and all(r.is_signi for r in got) and {r.signal_modi / r.signal_base for r in got} == {1.5}
 
 
+def test_counts_volumes_and_profiles(spark):
+    df = spark.createDataFrame([(g, 100.0, 7.0, 3.0) for g in range(500)], "g int, signal double, noise_poi double, noise_det double")
+    seen = groups.observed_counts(df, ["g"], False)
+    assert rows(seen) == rows(groups.observed_counts(df.repartition(5), ["g"], False)) and abs(seen.agg(F.avg("observed")).first()[0] - 110) < 1
+    shell = F.array(F.struct(F.lit(True).alias("tf_in"), F.lit(1.0).alias("dist")), F.struct(F.lit(False).alias("tf_in"), F.lit(2.0).alias("dist")))
+    assert abs(spark.range(1).select(groups.cone_volume(shell, F.lit(4 * math.pi))).first()[0] - 4 / 3 * math.pi * 7) < 1e-12
+    x = Axis("x", 4, 0.0, 4.0)
+    pillars = spark.createDataFrame([(i, 0, 10.0 * i) for i in range(4)], "ix int, iy int, zmax double")
+    rays = spark.createDataFrame([(1, 0.5, 0.5, 5.0)], "ray_id long, px double, py double, pz double")
+    cells = spark.createDataFrame([(1, i, 0) for i in range(4)], "ray_id long, ix int, iy int")
+    assert rows(grid.profile_along(cells, pillars, x, x, rays, 2.0)) == [(1, 0.0, -5.0), (1, 1.0, 5.0), (1, 2.0, 15.0)]
+    with pytest.raises(Exception, match="outside"):
+        grid.checked_inside(spark.createDataFrame([(9.0, 0.0)], "x double, y double"), x, x).collect()
+
+
 def test_matrices(spark):
     m = spark.createDataFrame([(0, 0, 1.0), (0, 5, 2.0), (1, 5, 3.0)], "row long, col long, value double")
     assert rows(matrix.renumbered(m, m.filter("col = 5").select("col"))) == [(0, 0, 2.0), (1, 0, 3.0)]
