@@ -85,7 +85,11 @@ class SortedHashes:
 
 
 class WordNumbers(dict):
-    """Words as numbers; -1 for unseen ones. Texts come in groups, which share the look-up of new words."""
+    """Words as numbers; -1 for unseen ones.
+
+    Texts come in groups. A word that is new gets a place among the group's new words at first, so a text is
+    gone through once; the numbers of all of them are looked up together.
+    """
 
     def __init__(self, vocabulary: SortedHashes):
         self.vocabulary = vocabulary
