@@ -39,7 +39,7 @@ NEAR = LENGTH - GRAM + 1  # 24-byte strings within 50 bytes
 AROUND = LENGTH + NEAR - 1  # bytes that hold all 50-byte strings with an anchor
 #: Anchors that a task gathers before it sends them; bytes that are hashed at once.
 BLOCK, CHUNK = 1_500_000, 1 << 18
-#: Slices of a hash range that are sorted one after another.
+#: Slices of a hash range that are sorted one after another, which bounds what is sorted at once.
 FINE = 8
 ROWS = "part int, whole boolean, payload binary"
 PRIME = 0x9E3779B97F4A7C15
