@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORDS, worker_memory
+from tessella.llm.common import WORDS, tidy_batches, worker_memory
 
 LENGTH = 2048
 OPEN_BINS = 8192
 WINDOW = 8192
 END = b"\0\0\0\0"
-#: Words whose ids a worker remembers at least, and half the most.
+#: Pieces whose ids a worker remembers at least, and half the most.
 MEMORY = 900_000
 #: Longer words aren't remembered.
 LONG = 200
@@ -108,15 +108,16 @@ class Remembered(dict):
 class WordTokens:
     """Ids of texts as little-endian bytes.
 
-    The vocabulary never joins text across white space, nor letters with other characters, so ids are kept by word and
-    by piece of a word. Words of plain letters and signs are cut here the way the vocabulary's own
-    pattern does, and their pieces go to the library without its normaliser, which would leave them as they are; all
-    other words go to the library whole.
+    The vocabulary never joins text across white space, nor letters with other characters, so ids are kept by piece.
+    Texts of plain letters and signs are cut here the way the vocabulary's own pattern does, and their
+    pieces go to the library without its normaliser, which would leave them as they are. Other texts are cut into
+    words, and what isn't plain of these goes to the library whole.
     """
 
     #: The vocabulary's own pattern, within the characters of PLAIN; what begins its special tokens and ends its words.
-    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    PARTS = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    PLAIN_TEXT = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
     SPECIAL, WORD_END = "<|", "</w>"
 
     def __init__(self, path: str, memory: int = MEMORY):
@@ -129,7 +130,7 @@ class WordTokens:
         vocabulary = self.bare.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for text, i in vocabulary.items() if text.endswith(self.WORD_END)]] = True
-        self.parts, self.words = Remembered(memory // 2), Remembered(memory)
+        self.parts, self.words = Remembered(memory), Remembered(memory // 2)
 
     def _encoded(self, parts: list[str]) -> list[bytes]:
         """Of pieces; many at a time, told apart by the ids that end a word."""
@@ -153,22 +154,29 @@ class WordTokens:
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        get, out, gaps, new = self.words.get, [], [], set()
-        for i, text in enumerate(texts):
-            words = WORDS.findall(text)
-            found = list(map(get, words))
+        """Texts of plain characters are cut into pieces at once, others into words first."""
+        plain = [bool(self.PLAIN_TEXT.fullmatch(t)) and self.SPECIAL not in t for t in texts]
+        pieces = self._joined(self.parts, [self.PARTS.findall(t.lower()) for t, p in zip(texts, plain, strict=True) if p], self._encoded)
+        words = self._joined(self.words, [WORDS.findall(t) for t, p in zip(texts, plain, strict=True) if not p], self._made)
+        return [next(pieces) if p else next(words) for p in plain]
+
+    def _joined(self, memory: Remembered, lists: list[list[str]], make: Callable[[list[str]], list[bytes]]) -> Iterator[bytes]:
+        """The ids of each list, end to end. All that is new is made together."""
+        get, out, gaps, new = memory.get, [], [], set()
+        for i, units in enumerate(lists):
+            found = list(map(get, units))
             if None in found:
-                new.update([w for w, v in zip(words, found, strict=True) if v is None])
-                gaps.append((i, words, found))
+                new.update([u for u, v in zip(units, found, strict=True) if v is None])
+                gaps.append((i, units, found))
                 out.append(b"")
             else:
                 out.append(b"".join(found))
         if gaps:
-            self.words.learn(new, self._made)
-            for i, words, found in gaps:
-                out[i] = b"".join([self.words[w] if v is None else v for w, v in zip(words, found, strict=True)])
-            self.words.forget(new)
-        return out
+            memory.learn(new, make)
+            for i, units, found in gaps:
+                out[i] = b"".join([memory[u] if v is None else v for u, v in zip(units, found, strict=True)])
+            memory.forget(new)
+        return iter(out)
 
 
 def _in_groups(tokens: WordTokens, texts: pa.Array) -> Iterator[bytes]:
@@ -177,7 +185,7 @@ def _in_groups(tokens: WordTokens, texts: pa.Array) -> Iterator[bytes]:
         yield from tokens.ids([t.as_py() or "" for t in texts.slice(at, GROUP)])
 
 
-def _pieces(path: str, size: int, open_bins: int, window: int, with_ids: bool, memory: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(path: str, size: int, open_bins: int, window: int, with_ids: bool, memory: int, keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     if with_ids:
@@ -189,7 +197,8 @@ def _pieces(path: str, size: int, open_bins: int, window: int, with_ids: bool, m
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*columns, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, bins = worker_memory("packing", (path, memory), lambda: WordTokens(path, memory)), BestFit(size, open_bins)
+        tokens = worker_memory("packing", (path, memory), lambda: WordTokens(path, memory)) if keep else WordTokens(path, memory)
+        bins = BestFit(size, open_bins)
         base = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
         for batch in batches:
@@ -207,14 +216,14 @@ def _pieces(path: str, size: int, open_bins: int, window: int, with_ids: bool, m
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = LENGTH, open_bins: int = OPEN_BINS, window: int = WINDOW, with_ids: bool = False, memory: int = MEMORY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = LENGTH, open_bins: int = OPEN_BINS, window: int = WINDOW, with_ids: bool = False, memory: int = MEMORY, keep: bool = True) -> DataFrame:
     """One row for each piece, with its sequence and its place there.
 
     docs: doc_id and text. tokenizer: path of a vocabulary file, the same on every machine.
-    memory: how many words a worker remembers, and half the most. with_ids: adds the piece's ids, little-endian unsigned 32-bit, for `sequences`.
+    memory: how many pieces a worker remembers, and half the most; keep: whether beyond a task. with_ids: adds the piece's ids, little-endian unsigned 32-bit, for `sequences`.
     """
     schema = PIECES + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(_pieces(tokenizer, size, open_bins, window, with_ids, memory), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(tidy_batches(_pieces(tokenizer, size, open_bins, window, with_ids, memory, keep)), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
