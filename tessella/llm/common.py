@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import sys
 import types
@@ -9,6 +11,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +26,15 @@ ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstu
 #: A side of a join is broadcast only if it was counted and has no more rows.
 BROADCAST_ROWS = 20_000
 
+#: Bytes of a table, as its files have them, in a hash range; an estimate of more ranges isn't believed.
+RANGE_BYTES, MOST_RANGES = 256 << 20, 200_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; one of our own where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = "file:///tmp/checkpoints/tessella"
-        spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
@@ -47,8 +52,12 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def hash_ranges(df: DataFrame) -> int:
+    """Into how many ranges hashes of df are dealt: as many as there are shuffle partitions, and more for a
+    table so large that a range of it would not fit a worker. A task takes several ranges one after another."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    wanted = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // RANGE_BYTES
+    return max(least, wanted) if wanted <= MOST_RANGES else least  # an unknown size counts as without bounds
 
 
 def in_fold(doc_id, modulus: int, remainder: int):
@@ -66,3 +75,34 @@ def worker_memory(name: str, key: object, make: Callable[[], Any]) -> Any:
         kept.slot = (None, None)  # the old one goes first
         kept.slot = ((name, key), make())
     return kept.slot[1]
+
+
+def give_back() -> None:
+    """Returns memory that this Python worker has freed to the machine, so that idle workers are small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(f: Callable) -> Callable:
+    """f of a group's table, after which memory is given back."""
+
+    @functools.wraps(f)
+    def of_group(table):
+        out = f(table)
+        give_back()
+        return out
+
+    return of_group
+
+
+def tidy_batches(f: Callable) -> Callable:
+    """f of a task's batches, after which memory is given back."""
+
+    @functools.wraps(f)
+    def of_batches(batches):
+        yield from f(batches)
+        give_back()
+
+    return of_batches

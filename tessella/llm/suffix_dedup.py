@@ -30,7 +30,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import shuffle_width
+from tessella.llm.common import hash_ranges
 from tessella.llm.exchange import U64, dealt, mix, pack, pack_ints, part_of, together, unpack_ints
 
 LENGTH = 50
@@ -448,8 +448,7 @@ def _result(docs: pa.Table, block: pa.Table) -> pa.Table:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """RESULT: of every document, what is removed (stretches from starts to ends, in bytes) and the digest of the rest."""
-    spark = docs.sparkSession
-    parts = shuffle_width(spark)
+    parts = hash_ranges(docs)
     hot = docs.count() // parts + 1000  # more than a range has documents
     known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     sent = known.mapInArrow(_send_anchors(parts), ROWS)
