@@ -19,7 +19,7 @@ from tessella.llm.common import ASCII_LOWER
 U64 = np.uint64
 #: Entries that a task gathers before it sends them.
 BLOCK = 3_000_000
-MEMORY = 400_000
+MEMORY = 200_000
 LONG = 200
 
 
