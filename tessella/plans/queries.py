@@ -36,6 +36,12 @@ def query(sql: str | None) -> Callable:
     return register
 
 
+def whole_sql(name: str, cut: str) -> str:
+    """A query's SQL without the filter that cuts its rows."""
+    assert cut in SQL[name]
+    return SQL[name].replace(cut, "")
+
+
 def bin_sql(column: str, a: Axis) -> str:
     at = f"floor(({column} - ({a.min!r}) + {EPSILON * a.interval!r}) / {a.interval!r})"
     return f"CASE WHEN {column} >= {a.min!r} AND {column} < {a.max!r} THEN CAST(least({at}, {a.nbin - 1}) AS INTEGER) END"
@@ -195,19 +201,21 @@ def grid_difference(t):
 RAYS = "rays AS (SELECT o_orderkey AS ray_id, -1.0 AS px, CAST(o_custkey % 10 AS DOUBLE) + 0.35 AS py, 1.0 AS vx, (o_orderkey % 7 - 3) * 0.11 AS vy FROM orders WHERE o_orderkey % 5 = 0)"
 
 
-def rays(t) -> DataFrame:
-    return t("orders").filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("ray_id"), F.lit(-1.0).alias("px"), ((F.col("o_custkey") % 10).cast("double") + 0.35).alias("py"), F.lit(1.0).alias("vx"), ((F.col("o_orderkey") % 7 - 3) * 0.11).alias("vy"))
+def rays(t, every: bool = False) -> DataFrame:
+    """A ray for each fifth order, or for every one; the queries *_all take every one."""
+    orders = t("orders") if every else t("orders").filter("o_orderkey % 5 = 0")
+    return orders.select(F.col("o_orderkey").alias("ray_id"), F.lit(-1.0).alias("px"), ((F.col("o_custkey") % 10).cast("double") + 0.35).alias("py"), F.lit(1.0).alias("vx"), ((F.col("o_orderkey") % 7 - 3) * 0.11).alias("vy"))
 
 
 @query(f"""WITH {RAYS}, boxes AS (SELECT n_nationkey, n_nationkey * 1.0 AS x0, n_nationkey * 1.0 + 2 AS x1, (n_nationkey % 6) * 1.0 AS y0, (n_nationkey % 6) * 1.0 + 3 AS y1 FROM nation),
     s AS (SELECT ray_id, n_nationkey, (x0 - px) / vx AS a0, (x1 - px) / vx AS a1, vy, py, y0, y1, (y0 - py) / nullif(vy, 0) AS b0, (y1 - py) / nullif(vy, 0) AS b1 FROM rays, boxes),
     w AS (SELECT ray_id, n_nationkey, greatest(0, a0, CASE WHEN vy <> 0 THEN least(b0, b1) ELSE 0 END) AS t0, least(a1, CASE WHEN vy <> 0 THEN greatest(b0, b1) ELSE a1 END) AS t1 FROM s WHERE vy <> 0 OR (py >= y0 AND py <= y1))
     SELECT ray_id, n_nationkey, round(t1 - t0, 6) AS length FROM w WHERE t1 > t0""")
-def slab_intersect(t):
+def slab_intersect(t, every=False):
     n = F.col("n_nationkey")
     boxes = t("nation").select(n, (n * 1.0).alias("x0"), (n * 1.0 + 2).alias("x1"), (n % 6 * 1.0).alias("y0"), (n % 6 * 1.0 + 3).alias("y1"))
     enter, leave = geometry.slab([F.col("px"), F.col("py")], [F.col("vx"), F.col("vy")], [F.col("x0"), F.col("y0")], [F.col("x1"), F.col("y1")])
-    return rays(t).crossJoin(F.broadcast(boxes)).withColumn("length", F.round(leave - enter, 6)).filter("length IS NOT NULL").select("ray_id", "n_nationkey", "length")
+    return rays(t, every).crossJoin(F.broadcast(boxes)).withColumn("length", F.round(leave - enter, 6)).filter("length IS NOT NULL").select("ray_id", "n_nationkey", "length")
 
 
 CELLS = f"""{RAYS}, bound AS (SELECT *, greatest(1.0, CASE WHEN vy <> 0 THEN least((0 - py) / vy, (12 - py) / vy) ELSE 1.0 END) AS t0, least(11.0, CASE WHEN vy <> 0 THEN greatest((0 - py) / vy, (12 - py) / vy) ELSE 11.0 END) AS t1
@@ -222,18 +230,18 @@ GRID = [Axis("x", 10, 0.0, 10.0), Axis("y", 12, 0.0, 12.0)]
 
 
 @query(f"WITH {CELLS} SELECT ray_id, ix, iy, round(length, 6) AS length FROM cells WHERE length > 1e-9")
-def ray_cells_window(t):
-    return trace.crossings(rays(t), GRID).filter("length > 1e-9").withColumn("length", F.round("length", 6))
+def ray_cells_window(t, every=False):
+    return trace.crossings(rays(t, every), GRID).filter("length > 1e-9").withColumn("length", F.round("length", 6))
 
 
 @query(f"WITH {CELLS} SELECT ray_id, ix, iy, round(length, 6) AS length FROM cells WHERE length > 1e-9")
-def ray_cells_batched(t):
-    return trace.traced(rays(t), GRID).groupBy("ray_id", "ix", "iy").agg(F.sum("length").alias("length")).filter("length > 1e-9").withColumn("length", F.round("length", 6))
+def ray_cells_batched(t, every=False):
+    return trace.traced(rays(t, every), GRID).groupBy("ray_id", "ix", "iy").agg(F.sum("length").alias("length")).filter("length > 1e-9").withColumn("length", F.round("length", 6))
 
 
 @query(f"WITH {CELLS} SELECT ray_id, round(sum(length), 5) AS pl, round(sum(length * (1 + (ix + iy) % 3)), 5) AS dl FROM cells GROUP BY 1")
-def path_density_sum(t):
-    every = trace.crossings(rays(t), GRID)
+def path_density_sum(t, every=False):
+    every = trace.crossings(rays(t, every), GRID)
     densities = every.select("ix", "iy").distinct().withColumn("density", 1.0 + (F.col("ix") + F.col("iy")) % 3)
     out = trace.path_sums(every, densities, ["ix", "iy"])
     return out.select("ray_id", F.round("pl", 5).alias("pl"), F.round("dl", 5).alias("dl"))
@@ -675,11 +683,42 @@ def cone_volumes(t):
 
 
 @query(f"WITH {CELLS} SELECT ray_id, round(sum(CASE WHEN ix % 2 = 0 THEN 0 ELSE length END), 5) AS pl FROM cells GROUP BY 1")
-def left_out_paths(t):
-    every = trace.crossings(rays(t), GRID)
+def left_out_paths(t, every=False):
+    every = trace.crossings(rays(t, every), GRID)
     return groups.left_out_paths(every, every.filter("ix % 2 = 0"), ["ix", "iy"]).withColumn("pl", F.round("pl", 5))
 
 
+# ---- the ray queries over all orders; those above keep the rays that their SQL names
+
+
+EACH_FIFTH = " WHERE o_orderkey % 5 = 0"
+
+
+@query(whole_sql("slab_intersect", EACH_FIFTH))
+def slab_intersect_all(t):
+    return slab_intersect(t, every=True)
+
+
+@query(whole_sql("ray_cells_window", EACH_FIFTH))
+def ray_cells_window_all(t):
+    return ray_cells_window(t, every=True)
+
+
+@query(whole_sql("ray_cells_batched", EACH_FIFTH))
+def ray_cells_batched_all(t):
+    return ray_cells_batched(t, every=True)
+
+
+@query(whole_sql("path_density_sum", EACH_FIFTH))
+def path_density_sum_all(t):
+    return path_density_sum(t, every=True)
+
+
+@query(whole_sql("left_out_paths", EACH_FIFTH))
+def left_out_paths_all(t):
+    return left_out_paths(t, every=True)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raster, interpolation at every line, and sums by group."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
