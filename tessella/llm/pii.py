@@ -10,7 +10,9 @@ halves take turns in being shifted by a keyed hash of the other, which is a perm
     ip       four octets up to 255, radix 256 each
     email    letters and digits of the local part, each within its own kind
     date     ISO or day-first dates that exist, 1800 to 2199: the day within those 400 years
-    key      AKIA... and hexadecimal secrets of 32 and more digits, within their alphabet
+    key      AKIA... and hexadecimal secrets of 32 and more digits, within their alphabet and case; where both
+             cases are mixed, each character within its own kind. Long ones in even pieces of up to 128 digits.
+             One character more than 128 times in a row is no secret.
 
 Numbers that don't validate and impossible dates stay as they are. Null text stays null, empty text
 empty. Rows are independent: equal rows give equal rows and an empty table an empty one. All columns
@@ -33,12 +35,13 @@ SHAPES = {
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4})(?![/.-]?\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})|\(\d{3}\)|\d{3}(?=[.-]))[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "key": r"\bAKIA[A-Z0-9]{16}\b|\b[0-9a-f]{32,128}\b",
+    "key": r"\bAKIA[A-Z0-9]{16}\b|\b[0-9a-fA-F]{32,}+\b",
 }
 PATTERN = "|".join(SHAPES.values())
 FIRST_DAY = "1800-01-01"
 DAYS, DAY_RADIXES = 146_097, (339, 431)  # 400 years of the calendar; 339 * 431
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+PIECE = 128  # hexadecimal digits that are permuted together: work grows with the square
 
 
 def _quoted(text: str) -> str:
@@ -88,13 +91,19 @@ def _pseudonym(key: str) -> str:
     number = f"datediff({day}, date'{FIRST_DAY}')"
     moved = _let("t", feistel(f"array(cast({number} div {DAY_RADIXES[1]} AS int), {number} % {DAY_RADIXES[1]})", f"array({DAY_RADIXES[0]}, {DAY_RADIXES[1]})", key, "date"), f"date_add(date'{FIRST_DAY}', t[0] * {DAY_RADIXES[1]} + t[1])")
     date = f"CASE WHEN {iso} THEN date_format({moved}, 'yyyy-MM-dd') ELSE date_format({moved}, concat('dd', substr(m, 3, 1), 'MM', substr(m, 6, 1), 'yyyy')) END"
+    # the same secret in capitals has the same pseudonym in capitals
+    alphabet = f"CASE WHEN NOT m RLIKE '[A-F]' THEN '{HEX}' WHEN NOT m RLIKE '[a-f]' THEN '{HEX.upper()}' WHEN c RLIKE '^[0-9]$' THEN '{DIGITS}' WHEN c RLIKE '^[a-f]$' THEN 'abcdef' ELSE 'ABCDEF' END"
+    pieces = f"cast(ceil(length(m) / {PIECE}) AS int)"
+    piece = "substr(m, cast(j * length(m) div pieces AS int) + 1, cast((j + 1) * length(m) div pieces - j * length(m) div pieces AS int))"
+    permuted = _let("h", piece, _by_alphabet("h", alphabet, "false", key, "hex"))
+    secret = _let("pieces", pieces, f"array_join(transform(sequence(0, pieces - 1), j -> {permuted}), '')")
     pair = lambda kind, text: f"struct('{kind}' AS kind, {text} AS text)"
     none = "struct(cast(NULL AS string) AS kind, m AS text)"
     email = _let("l", "substring_index(m, '@', 1)", f"concat({_by_alphabet('l', classes, 'false', key, 'email')}, substr(m, length(l) + 1))")
     return f"""CASE
         WHEN contains(m, '@') THEN {pair("email", email)}
         WHEN m RLIKE r'^AKIA' THEN {pair("key", _by_alphabet("m", f"'{UPPER}{DIGITS}'", "i < 4", key, "AKIA"))}
-        WHEN m RLIKE r'^[0-9a-f]{{32,}}$' THEN {pair("key", _by_alphabet("m", f"'{HEX}'", "false", key, "hex"))}
+        WHEN m RLIKE r'^[0-9a-fA-F]{{32,}}$' THEN CASE WHEN length(m) > 128 AND length(replace(m, substr(m, 1, 1), '')) = 0 THEN {none} ELSE {pair("key", secret)} END
         WHEN m RLIKE r'^\\d+\\.\\d+\\.\\d+\\.\\d+$' THEN CASE WHEN exists({octets}, x -> x > 255) THEN {none} ELSE {pair("ip", f"array_join({feistel(octets, 'array(256, 256, 256, 256)', key, 'ip')}, '.')")} END
         WHEN m RLIKE r'^(\\d{{4}}-\\d\\d-\\d\\d|\\d\\d[/.]\\d\\d[/.]\\d{{4}})$' THEN CASE WHEN coalesce({number} BETWEEN 0 AND {DAYS - 1}, false) THEN {pair("date", date)} ELSE {none} END
         WHEN m RLIKE r'^(\\+|\\()|^\\d{{3}}[.-]\\d{{3}}[ .-]?\\d{{4}}$' THEN {pair("phone", _by_alphabet("m", only_digits, f"i < {country}", key, "phone"))}

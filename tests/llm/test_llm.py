@@ -469,6 +469,21 @@ def test_pseudonyms_odd_tables(spark):
     assert pii.pseudonymise(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_hexadecimal_secrets_of_either_case_and_any_length(spark):
+    lower = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    mixed, long, huge = "9233A8ecF7c5B09fe5949719b6B82bc439e9329B", (lower * 5), "0123456789abcdef" * 2000
+    texts = [lower, lower.upper(), mixed, long, long.upper(), huge, "A" * 200, "a" * 40, lower[:31].upper()]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame([(i, f'TOKEN = "{t}"') for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    new = [re.fullmatch(r'TOKEN = "(.*)"', t)[1] for t in got]
+    kinds = lambda t: re.sub("[a-f]", "a", re.sub("[A-F]", "A", re.sub("[0-9]", "0", t)))
+    assert all(len(a) == len(b) for a, b in zip(texts, new, strict=True))
+    assert all(a != b for a, b in zip(texts[:6], new[:6], strict=True)) and new[6] == texts[6] and new[7] != texts[7] and new[8] == texts[8]
+    assert new[1] == new[0].upper() and new[4] == new[3].upper() and kinds(new[2]) == kinds(mixed)
+    assert all(re.fullmatch("[0-9a-f]+", t) for t in (new[0], new[3], new[5]))
+    for i in range(0, 200, 40):  # no stretch stays
+        assert new[3][i : i + 40] != lower
+
+
 # ---- top k
 
 
