@@ -6,6 +6,7 @@ else of the text changes. A value is an array of digits, each with a radix of it
 halves take turns in being shifted by a keyed hash of the other, which is a permutation for any radixes:
 
     card     13-19 digits, Luhn valid: digits after the first permuted, check digit made anew
+             a run that fails is searched for valid cards beside other numbers, from group to group
     phone    +country and 10 digits, or a 10-digit number in groups: digits after the country code
     ip       four octets up to 255, radix 256 each
     email    letters and digits of the local part, each within its own kind
@@ -34,10 +35,16 @@ SHAPES = {
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4})(?![/.-]?\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})|\(\d{3}\)|\d{3}(?=[.-]))[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "key": r"\bAKIA[A-Z0-9]{16}\b|\b[0-9a-fA-F]{32,}+\b",
 }
 PATTERN = "|".join(SHAPES.values())
+#: Cards are the runs that validate, and in what is left, any groups of a chain of groups that do.
+RUN = r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"
+CHAIN = r"(?<![\d.-])(?=\d(?:[ -]?\d){12})\d++(?!-(?!\d))(?:[ -]\d++(?!-(?!\d)))*+(?![\d-])"
+GROUPS = [rf"(?<!\d)(?=(\d(?:[ -]?\d){{{n - 1}}})(?!\d))" for n in range(19, 12, -1)]
+#: Tried before other groups: one in ten of those validates by chance.
+PRINTED = [r"(?<!\d)(?=(\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d))"]
+CARDS = (r"(?:(?<![\d.-])|(?<=\d[ -]))(?:", r")(?!\d)(?!-(?!\d))")
 FIRST_DAY = "1800-01-01"
 DAYS, DAY_RADIXES = 146_097, (339, 431)  # 400 years of the calendar; 339 * 431
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
@@ -75,6 +82,25 @@ def _luhn(digits: str) -> str:
     return f"aggregate(sequence(1, length({digits})), 0, (s, i) -> {_let('d', f'cast(substr({digits}, i, 1) AS int) * (1 + (length({digits}) - i) % 2)', 's + cast(d div 10 AS int) + d % 10')})"
 
 
+def _cards(text: str) -> str:
+    """SQL for a text's cards as they are written, longer ones first."""
+    valid = lambda found: f"filter({found}, x -> {_let('y', "regexp_replace(x, '[^0-9]', '')", f"{_luhn('y')} % 10 = 0")})"
+    def more(cards: str, shapes: list[str], then: str) -> str:
+        """The cards, and those of these shapes in what they leave, which `printed` stands for in then."""
+        left = f"CASE WHEN size({cards}) = 0 THEN array({text}) ELSE split({text}, {_either(cards)}) END"
+        chains = f"flatten(transform({left}, l -> regexp_extract_all(l, {_quoted(CHAIN)}, 0)))"
+        parts = ", ".join(f"flatten(transform(chains, x -> regexp_extract_all(x, {_quoted(g)}, 1)))" for g in shapes)
+        both = _let("chains", chains, f"CASE WHEN size(chains) = 0 THEN {cards} ELSE concat({cards}, {valid(f'array_distinct(concat({parts}))')}) END")
+        return _let("printed", both, then) if then else both
+
+    every = _let("runs", valid(f"array_distinct(regexp_extract_all({text}, {_quoted(RUN)}, 0))"), more("runs", PRINTED, more("printed", GROUPS, "")))
+    return f"CASE WHEN {text} RLIKE {_quoted(CHAIN)} OR {text} RLIKE {_quoted(RUN)} THEN array_sort({every}, (a, b) -> length(b) - length(a)) ELSE cast(array() AS array<string>) END"
+
+
+def _either(cards: str) -> str:
+    return f"concat({_quoted(CARDS[0])}, array_join({cards}, '|'), {_quoted(CARDS[1])})"
+
+
 def _pseudonym(key: str) -> str:
     """SQL for (kind, text) of a match m; the kind is null if it doesn't validate."""
     classes = f"CASE WHEN c RLIKE '^[0-9]$' THEN '{DIGITS}' WHEN c RLIKE '^[a-z]$' THEN '{LOWER}' WHEN c RLIKE '^[A-Z]$' THEN '{UPPER}' ELSE '' END"
@@ -113,9 +139,11 @@ def _pseudonym(key: str) -> str:
 
 def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
     """docs with the text's personal data replaced, n_pii, and n_<kind> for each of KINDS."""
-    pattern = _quoted(PATTERN)
+    pattern = "__pattern"
     taken = {"n_pii", *(f"n_{k}" for k in KINDS)}
     out = docs.select(*[F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(docs.columns)], F.col(f"`{column}`").cast("string").alias("__text"))
+    out = out.withColumn("__cards", F.expr(_cards("__text")))
+    out = out.withColumn(pattern, F.expr(f"CASE WHEN size(__cards) > 0 THEN concat({_quoted(PATTERN + '|')}, {_either('__cards')}) ELSE {_quoted(PATTERN)} END"))
     out = out.withColumn("__found", F.expr(f"coalesce(regexp_extract_all(__text, {pattern}, 0), array())"))
     out = out.withColumn("__new", F.expr(f"CASE WHEN size(__found) = 0 THEN cast(array() AS array<struct<kind:string,text:string>>) ELSE transform(__found, m -> {_pseudonym(key)}) END"))
     text = F.expr(f"CASE WHEN size(__new) = 0 THEN __text ELSE array_join(zip_with(split(__text, {pattern}), __new, (s, r) -> concat(s, coalesce(r.text, ''))), '') END")

@@ -484,6 +484,21 @@ def test_hexadecimal_secrets_of_either_case_and_any_length(spark):
         assert new[3][i : i + 40] != lower
 
 
+def test_cards_beside_other_numbers(spark):
+    card, spaced, amex = "4111111111111111", "4111 1111 1111 1111", "378282246310005"
+    texts = [f"{card} 12/27", f"{spaced} 123", f"7 {card}", f"1 2 3 4 {spaced}", f"{spaced} 1234", f"{card} {amex} 99", f"4111-1111-1111-1111-12 {amex}", f"12 {card} 2024-02-29", f"{card} 154.127.37.204", f"{card} 521-555-6210", "4111 1111 1111 1112 " + spaced]
+    got = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    alone = {r.text: r.new for r in pii.pseudonymise(spark.createDataFrame([(t, t) for t in (card, spaced, amex, "4111-1111-1111-1111", "2024-02-29", "154.127.37.204", "521-555-6210")], "old string, text string")).select(F.col("old").alias("text"), F.col("text").alias("new")).collect()}
+    for text, r in zip(texts, got, strict=True):
+        want = text
+        for old, new in alone.items():
+            want = want.replace(old, new)
+        assert r.text == want != text, text
+    assert [r.n_card for r in got] == [1, 1, 1, 1, 1, 2, 2, 1, 1, 1, 1]
+    numbers = " ".join(map(str, range(3000)))  # a long chain
+    assert len(pii.pseudonymise(spark.createDataFrame([(numbers,)], "text string")).first().text) == len(numbers)
+
+
 # ---- top k
 
 
