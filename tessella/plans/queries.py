@@ -255,8 +255,12 @@ def path_density_sum(t, every=False):
     f AS (SELECT l_orderkey, (x - (1.0 + ix * 5.0)) / 5.0 AS fx, (y - (-0.005 + iy * {Y.interval!r})) / {Y.interval!r} AS fy, z00, z10, z01, coalesce(d11, z10 + z01 - z00) AS z11 FROM p JOIN w USING (ix, iy))
     SELECT l_orderkey, round(z00 * (1 - fx) * (1 - fy) + z10 * fx * (1 - fy) + z01 * (1 - fx) * fy + z11 * fx * fy, 3) AS z FROM f""")
 def bilinear_lookup(t):
-    points = t("lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_quantity", "l_discount")
-    return lookup.interpolated(points, lookup.widened(raster(t).select("ix", "iy", "z")), X, Y, F.col("l_quantity"), F.col("l_discount")).select("l_orderkey", F.round("z", 3).alias("z"))
+    return at_points(t, t("lineitem").filter("l_linenumber = 1"), ["l_orderkey"])
+
+
+def at_points(t, points: DataFrame, keys: list[str]) -> DataFrame:
+    points = points.select(*keys, "l_quantity", "l_discount")
+    return lookup.interpolated(points, lookup.widened(raster(t).select("ix", "iy", "z")), X, Y, F.col("l_quantity"), F.col("l_discount")).select(*keys, F.round("z", 3).alias("z"))
 
 
 MONTHS = "months AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS x, round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1), seg AS (SELECT x AS x0, lead(x) OVER (ORDER BY x) AS x1, y AS y0, lead(y) OVER (ORDER BY x) AS y1 FROM months)"
@@ -433,8 +437,9 @@ def group_bounding_box(t):
     n AS (SELECT g, rho, sum(1000 * exp(-pl * rho / 20)) AS n FROM b, d GROUP BY 1, 2), c AS (SELECT g, sum(1000 * exp(-pl * 1.3 / 20)) AS target FROM b GROUP BY 1),
     r AS (SELECT g, rho, abs(n - target) AS off, row_number() OVER (PARTITION BY g ORDER BY abs(n - target), rho) AS k FROM n JOIN c USING (g))
     SELECT g, CAST(rho AS DOUBLE) AS rho, round(off, 3) AS off FROM r WHERE k = 1""")
-def proj_density_scan(t):
-    b = t("lineitem").filter("l_linenumber <= 2").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("pl"))
+def proj_density_scan(t, every=False):
+    lines = t("lineitem") if every else t("lineitem").filter("l_linenumber <= 2")
+    b = lines.select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("pl"))
     target = b.groupBy("g").agg(F.sum(1000 * F.exp(-F.col("pl") * 1.3 / 20)).alias("target"))
     return groups.best_density(b, ["g"], [0.5 + i * 0.25 for i in range(11)], 1000 * F.exp(-F.col("pl") * F.col("rho") / 20), target).withColumn("off", F.round("off", 3))
 
@@ -460,9 +465,9 @@ def obs_matrix_group(t):
 
 
 @query(f"WITH {COO} SELECT n_nationkey AS left_out, count(*) AS n, sum(value) AS value FROM coo JOIN supplier ON s_suppkey = \"row\" JOIN nation ON s_nationkey <> n_nationkey WHERE n_nationkey IN (0, 1, 2) GROUP BY 1")
-def leave_one_out_rows(t):
+def leave_one_out_rows(t, owners=(0, 1, 2)):
     owned = coo(t).join(t("supplier").select(F.col("s_suppkey").alias("row"), "s_nationkey"), "row")
-    return matrix.leave_one_out(owned, F.col("s_nationkey"), [0, 1, 2]).groupBy("left_out").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+    return matrix.leave_one_out(owned, F.col("s_nationkey"), list(owners)).groupBy("left_out").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
 HITS = "hits AS (SELECT col, count(DISTINCT s_nationkey) AS owners, count(*) AS \"rows\" FROM coo JOIN supplier ON s_suppkey = \"row\" GROUP BY 1)"
@@ -688,7 +693,7 @@ def left_out_paths(t, every=False):
     return groups.left_out_paths(every, every.filter("ix % 2 = 0"), ["ix", "iy"]).withColumn("pl", F.round("pl", 5))
 
 
-# ---- the ray queries over all orders; those above keep the rays that their SQL names
+# ---- queries over all rows, for those above that keep the rows that their SQL names
 
 
 EACH_FIFTH = " WHERE o_orderkey % 5 = 0"
@@ -719,6 +724,21 @@ def left_out_paths_all(t):
     return left_out_paths(t, every=True)
 
 
+@query(whole_sql("bilinear_lookup", " WHERE l_linenumber = 1").replace("fy, z00", "fy, l_linenumber, z00").replace("SELECT l_orderkey, round(", "SELECT l_orderkey, l_linenumber, round("))
+def bilinear_lookup_all(t):
+    return at_points(t, t("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query(whole_sql("proj_density_scan", " WHERE l_linenumber <= 2"))
+def proj_density_scan_all(t):
+    return proj_density_scan(t, every=True)
+
+
+@query(whole_sql("leave_one_out_rows", " WHERE n_nationkey IN (0, 1, 2)"))
+def leave_one_out_rows_all(t):
+    return leave_one_out_rows(t, [r[0] for r in t("nation").select("n_nationkey").distinct().collect()])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raster, interpolation at every line, and sums by group."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

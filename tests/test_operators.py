@@ -263,3 +263,11 @@ def test_ray_queries_take_every_order(spark):
     for name, df in against_sql(spark, names).items():
         rays = df.select("ray_id").distinct().count()  # some miss all boxes, none misses the grid
         assert rays > orders / 2 if name == "slab_intersect_all" else rays == orders, name
+
+
+def test_queries_take_every_line_and_nation(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    got = against_sql(spark, ["bilinear_lookup_all", "proj_density_scan_all", "leave_one_out_rows_all"])
+    assert got["bilinear_lookup_all"].count() == lines.count()
+    assert got["proj_density_scan_all"].count() == lines.select("l_suppkey").distinct().count()
+    assert got["leave_one_out_rows_all"].count() == spark.read.parquet("/root/testdata/sf0.001/nation.parquet").count()
