@@ -53,6 +53,20 @@ def between(a: list[Column], b: list[Column]) -> Column:
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a[0] * b[0] + a[1] * b[1] + a[2] * b[2])))
 
 
+def between_near(a: list[Column], b: list[Column], cut: float) -> Column:
+    """The angle between vectors of any length; null where a component differs by more than cut, or a length is 0."""
+    near = (F.abs(a[0] - b[0]) <= cut) & (F.abs(a[1] - b[1]) <= cut) & (F.abs(a[2] - b[2]) <= cut)
+    norm = lambda v: F.nullif(F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]), F.lit(0.0))
+    return F.when(near & norm(a).isNotNull() & norm(b).isNotNull(), between([x / norm(a) for x in a], [x / norm(b) for x in b]))
+
+
+def radial_lateral(base: list[Column], delta: list[Column]) -> tuple[Column, Column]:
+    """The parts of delta along base and across it, to the right; 0 where base is 0. Both in the plane."""
+    norm = F.sqrt(base[0] * base[0] + base[1] * base[1])
+    along, across = delta[0] * base[0] + delta[1] * base[1], delta[0] * base[1] - delta[1] * base[0]
+    return tuple(F.when(norm == 0, 0.0).otherwise(F.try_divide(x, norm)) for x in (along, across))
+
+
 def _corner(a: Column, b: Column) -> Column:
     return F.asin(a * b / (F.sqrt(1 + a * a) * F.sqrt(1 + b * b)))
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.angles import convert
+
 INFINITY = float("inf")
 
 
@@ -89,3 +92,35 @@ def cylinder_radius(length: Column, angle: Column) -> Column:
 
 def cylinder_angle(length: Column, radius: Column) -> Column:
     return F.asin(radius / length)
+
+
+def cylinder_diameter(length: Column, step: Column, n: Column) -> Column:
+    """Of a cylinder that n bins of step (radians) cover at a distance; null unless all are positive."""
+    return F.when((length > 0) & (step > 0) & (n > 0), length * F.tan(step) * n)
+
+
+def cylinder_range(point: list[Column], direction: list[Column], center: list[Column], diameter: Column) -> tuple[Column, Column]:
+    """Lower and upper horizontal angle of a cylinder from the direction; null from within it or without a diameter."""
+    dx, dy, r = center[0] - point[0], center[1] - point[1], diameter / 2
+    outside = (diameter > 0) & (dx * dx + dy * dy > r * r)
+    half = F.atan2(r, F.sqrt(F.greatest(F.lit(0.0), dx * dx + dy * dy - r * r)))
+    middle = F.atan2(dy, dx) - F.atan2(direction[1], direction[0])
+    turn = lambda a: a - 2 * math.pi * F.ceil(a / (2 * math.pi) - 0.5)  # into (-pi, pi]
+    ends = turn(middle - half), turn(middle + half)
+    return F.when(outside, F.least(*ends)), F.when(outside, F.greatest(*ends))
+
+
+def highest_allowed(height: Column, size: Column, unit: str) -> Column:
+    """The elevation above which a ray's path in an upright cylinder is shorter than its diameter (size); 0: none is allowed."""
+    top = convert(F.asin(F.least(F.lit(1.0), F.try_divide(height, size))), "radian", unit)
+    return F.when((size <= 0) | (height <= 0), 0.0).when(size <= height, sys.float_info.max).otherwise(top)
+
+
+def candidate_angles(length: Column, limit: float, interval: Column, nbin: Column, unit: str) -> Column:
+    """Multiples of a bin, in radians, as sizes to try: fewer than half the bins, up to the first that reaches the angle of
+    a cylinder of diameter limit. Null from within that cylinder."""
+    widest = F.when(length > limit / 2, cylinder_angle(length, F.lit(limit / 2)))
+    half = F.floor(nbin / 2).cast("int")
+    numbers = F.when(half > 1, F.sequence(F.lit(1), F.greatest(F.lit(1), half - 1))).otherwise(F.array().cast("array<int>"))
+    tried = F.filter(numbers, lambda n: convert((n - 1) * interval, unit, "radian") < widest)
+    return F.when(widest.isNotNull(), F.transform(tried, lambda n: convert(n * interval, unit, "radian")))

@@ -47,6 +47,13 @@ def p_one_sided(z: Column) -> Column:
     return p_two_sided(z) / 2
 
 
+def is_significant(one: Column, other: Column, distribution: str, alpha: float) -> Column:
+    """Whether counts differ, two-sided, by the variance that a distribution gives their difference. Negative counts: null."""
+    at_least = lambda x: F.greatest(F.lit(LEAST_VARIANCE), x)
+    variance = {"gaussian": at_least(one) + at_least(other), "poisson": at_least(one + other), "chi_square": 2 * at_least(one)}[distribution]
+    return F.when((one >= 0) & (other >= 0), p_two_sided((one - other) / F.sqrt(variance)) < alpha)
+
+
 def asymmetric_gauss(x: Column, mean: float, below: float, above: float) -> Column:
     sigma = F.when(x < mean, below).otherwise(above)
     return math.sqrt(2 / math.pi) / (below + above) * F.exp(-(x - mean) * (x - mean) / (2 * sigma * sigma))

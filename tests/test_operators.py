@@ -271,3 +271,23 @@ def test_queries_take_every_line_and_nation(spark):
     assert got["bilinear_lookup_all"].count() == lines.count()
     assert got["proj_density_scan_all"].count() == lines.select("l_suppkey").distinct().count()
     assert got["leave_one_out_rows_all"].count() == spark.read.parquet("/root/testdata/sf0.001/nation.parquet").count()
+
+
+def test_methods_of_the_depth_sweep(spark):
+    one = lambda *columns: spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    n = lambda *values: [F.lit(float(v)) for v in values]
+    assert np.allclose(one(*angles.radial_lateral(n(3, 4), n(1, 2)), *angles.radial_lateral(n(0, 0), n(1, 2))), [11 / 5, -2 / 5, 0, 0])
+    assert np.isclose(one(angles.between_near(n(2, 0, 0), n(2, 1, 0), 1.5))[0], math.atan(0.5)) and one(angles.between_near(n(2, 0, 0), n(2, 1, 0), 0.5))[0] is None
+    assert np.isclose(one(geometry.cylinder_diameter(*n(10, 0.1, 3)))[0], 30 * math.tan(0.1)) and one(geometry.cylinder_diameter(*n(-1, 0.1, 3)))[0] is None
+    assert np.allclose(one(*geometry.cylinder_range(n(0, 0), n(1, 0), n(10, 0), F.lit(2.0))), [-math.asin(0.1), math.asin(0.1)])
+    back = one(*geometry.cylinder_range(n(0, 0), n(-1, 0), n(10, 0), F.lit(2.0)))
+    assert np.allclose(back, [math.asin(0.1) - math.pi, math.pi - math.asin(0.1)])
+    assert tuple(one(*geometry.cylinder_range(n(0, 0), n(1, 0), n(0.5, 0), F.lit(2.0)))) == (None, None)
+    limits = one(*[geometry.highest_allowed(*n(h, d), u) for h, d, u in ((1, 2, "degree"), (1, 2, "tangent"), (2, 1, "degree"), (0, 1, "degree"), (1, 0, "degree"))])
+    assert np.allclose(limits[:2], [30, math.tan(math.pi / 6)]) and limits[2] > 1e300 and tuple(limits[3:]) == (0, 0)
+    tries = one(*[geometry.candidate_angles(F.lit(10.0), 2.0, F.lit(0.03), F.lit(b), "radian") for b in (40, 6, 2)], geometry.candidate_angles(F.lit(0.5), 2.0, F.lit(0.03), F.lit(40), "radian"))
+    assert np.allclose(tries[0], [0.03, 0.06, 0.09, 0.12]) and np.allclose(tries[1], [0.03, 0.06]) and tries[2] == [] and tries[3] is None
+    # differences of 20 at 100: z of 1.35, 1.35 and 1.41
+    p = [math.erfc(z / math.sqrt(2)) for z in (20 / math.sqrt(220), 20 / math.sqrt(220), 20 / math.sqrt(200))]
+    for kind, value in zip(("gaussian", "poisson", "chi_square"), p, strict=True):
+        assert list(one(*[stats.is_significant(*n(100, 120), kind, a) for a in (value + 1e-5, value - 1e-5)])) == [True, False]
