@@ -26,24 +26,31 @@ ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstu
 #: A side of a join is broadcast only if it was counted and has no more rows.
 BROADCAST_ROWS = 20_000
 
-#: Bytes of a table, as its files have them, in a hash range; an estimate of more ranges isn't believed.
-RANGE_BYTES, MOST_RANGES = 256 << 20, 200_000
+#: Bytes of a table, as its files have them, in a hash range: what a worker sorts at once is a few times that.
+RANGE_BYTES = 8 << 20
+#: Rows of a written table of small rows in one of its files, where their number is known.
+FILE_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; one of our own where that is unset and one machine does everything."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file:///tmp/checkpoints/tessella"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: a cut of lineage that outlives executors."""
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: a cut of lineage that outlives executors.
+
+    rows: the most rows it can have, if known and small each; then it takes no more files than these need.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,12 +59,23 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _bytes(df: DataFrame) -> int | None:
+    """Bytes of what df is read from; None if Spark doesn't know."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return size if size < 1 << 60 else None
+
+
+def of_known_size(df: DataFrame, name: str) -> DataFrame:
+    """df; written as a table and read back if Spark doesn't know how large it is."""
+    return materialise(df, name) if _bytes(df) is None else df
+
+
 def hash_ranges(df: DataFrame) -> int:
     """Into how many ranges hashes of df are dealt: as many as there are shuffle partitions, and more for a
-    table so large that a range of it would not fit a worker. A task takes several ranges one after another."""
+    table so large that a range of it would not fit a worker. df: of known size."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    wanted = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // RANGE_BYTES
-    return max(least, wanted) if wanted <= MOST_RANGES else least  # an unknown size counts as without bounds
+    return max(least, -(-_bytes(df) // RANGE_BYTES))
 
 
 def in_fold(doc_id, modulus: int, remainder: int):
@@ -97,6 +115,18 @@ def tidy(f: Callable) -> Callable:
     return of_group
 
 
+def tidy_pair(f: Callable) -> Callable:
+    """f of the tables of two groups of one key, after which memory is given back."""
+
+    @functools.wraps(f)
+    def of_groups(left, right):
+        out = f(left, right)
+        give_back()
+        return out
+
+    return of_groups
+
+
 def tidy_batches(f: Callable) -> Callable:
     """f of a task's batches, after which memory is given back."""
 

@@ -8,11 +8,14 @@ bytes that one row for each hash would, and the receiving side works on arrays.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessella.llm.common import ASCII_LOWER
 
@@ -21,6 +24,8 @@ U64 = np.uint64
 BLOCK = 3_000_000
 MEMORY = 200_000
 LONG = 200
+#: Ranges that a block is cut into at once; payload bytes that the second cut of many ranges takes at once.
+FANOUT, SECOND = 2048, 48 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -78,13 +83,62 @@ def unpack(payload: bytes, columns: int) -> list[np.ndarray]:
     return out
 
 
+def runs(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of each part in an ascending array."""
+    if len(parts):
+        at = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
+        yield from zip(parts[at].tolist(), at.tolist(), [*at[1:].tolist(), len(parts)], strict=True)
+
+
 def dealt(keys: np.ndarray, columns: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
     """(range, payload) of entries sorted by key, for every range that has some."""
-    cuts = np.searchsorted(part_of(keys, parts), np.arange(parts + 1, dtype=U64))
-    for p in range(parts):
-        a, b = int(cuts[p]), int(cuts[p + 1])
-        if a < b:
-            yield p, pack([keys[a:b], *[c[a:b] for c in columns]])
+    for p, a, b in runs(part_of(keys, parts)):
+        yield p, pack([keys[a:b], *[c[a:b] for c in columns]])
+
+
+class Ranges:
+    """How entries are dealt into hash ranges.
+
+    Up to FANOUT ranges a block is cut into all of them. With more, blocks are cut into coarse ranges first, and what
+    a coarse range has is gathered into new blocks that are cut into its fine ones. So a payload stays large however many ranges there are.
+    """
+
+    def __init__(self, parts: int, fanout: int | None = None):
+        fanout = fanout or FANOUT
+        self.coarse = -(-parts // fanout) if parts > fanout else 0
+        self.fine = fanout if self.coarse else 1
+        self.parts = self.coarse * fanout if self.coarse else parts
+        self.first = self.coarse or parts
+
+    def grouped(self, rows: DataFrame, again: Callable[[int, int, list[bytes]], Iterator[tuple[int, int, bytes]]]):
+        """rows (part, a flag or kind, payload), dealt into the `first` ranges, grouped by the range of `parts`.
+
+        again: coarse range, flag or kind, and payloads -> rows by fine ranges. A range has a task of its own.
+        """
+        if self.coarse:
+            names, kind = rows.columns, pa.bool_() if dict(rows.dtypes)[rows.columns[1]] == "boolean" else pa.int32()
+
+            def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                held: dict[tuple[int, int], list[bytes]] = {}
+                size: dict[tuple[int, int], int] = {}
+
+                def out(key: tuple[int, int]) -> pa.RecordBatch:
+                    made = list(again(*key, held.pop(key)))
+                    size.pop(key)
+                    columns = zip(*made, strict=True) if made else ([], [], [])
+                    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), kind, pa.binary()), strict=True)], names=names)
+
+                for batch in batches:
+                    for part, flag, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        held.setdefault((part, flag), []).append(payload)
+                        size[part, flag] = size.get((part, flag), 0) + len(payload)
+                        if size[part, flag] >= SECOND:
+                            yield out((part, flag))
+                for key in list(held):
+                    yield out(key)
+
+            rows = rows.repartitionById(self.coarse, F.col("part")).mapInArrow(cut, rows.schema)
+        return rows.repartitionById(self.parts, F.col("part")).groupBy("part")
 
 
 def together(payloads: list[bytes], columns: int) -> list[np.ndarray]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORDS, hash_ranges, materialise, shared_dir, worker_memory
+from tessella.llm.common import WORDS, hash_ranges, materialise, of_known_size, shared_dir, worker_memory
 from tessella.llm.exchange import BLOCK, U64, WordHashes, dealt, mix, part_of, together, word_hash
 
 END = 0xE1D0_0000_0000_0001  # a hash for the end of a text
@@ -302,8 +302,8 @@ class Model:
 
 def learn(train: DataFrame) -> Model:
     """The model of all rows of train (text); its files lie in the shared folder."""
-    parts, folder = hash_ranges(train), _folder(train)
-    texts = train.select("text")
+    texts = of_known_size(train.select("text"), "texts")
+    parts, folder = hash_ranges(texts), _folder(train)
     sizes = texts.mapInArrow(_count_words(parts), ROWS).groupBy("part").applyInArrow(_keep_words(folder), "part int, size long, total long").collect()
     by_part = {r["part"]: r for r in sizes}
     words = SortedHashes(folder, "word", [by_part[p]["size"] if p in by_part else 0 for p in range(parts)])

@@ -1,14 +1,18 @@
 """Removal of byte strings that an earlier document holds too, by suffix arrays.
 
 1. A text's 24-byte strings are hashed, and the least of every 27 neighbours is an anchor: the 50 bytes that
-   span those 27 hold the same anchor wherever they stand. Anchors are counted by hash range over all
+   span those 27 hold the same anchor wherever they stand. Where a text repeats itself every few bytes, equal anchors follow
+   each other at one distance; such a run is one entry. Anchors are counted by hash range over all
    documents; those of one document only are done with, and with them nearly all of an ordinary corpus.
+   An anchor that a task sees in many documents is known to be shared there: one occurrence is counted, the others go straight home.
 2. The other anchors go back to their documents, which send the 76 bytes around each (all 50-byte strings
-   with that anchor) to the anchor's hash range. Equal surroundings are sent once by a task. Anchors that
-   very many documents have are sent as their single 50-byte strings instead, so they spread over all ranges.
+   with that anchor) to the anchor's hash range. Equal surroundings are sent once by a task.
+   Anchors that very many documents have, or that stand in runs, go as their single 50-byte strings: a document range sends
+   every distinct one with its smallest document, gets the smallest of all documents back, and keeps the occurrences at home.
+   So no task gets all occurrences of anything, and a run of any length costs as much as its period.
 3. A range joins its distinct surroundings to one text and sorts its suffixes in two stages: suffixes smaller
    than their successors are sorted directly, all others are induced by scans over the buckets of first
-   bytes. Adjacent common prefixes of 50 bytes and more make groups, each with its smallest document.
+   bytes. Adjacent common prefixes of 50 bytes and more make groups, each with its smallest document. Single strings likewise.
 4. Documents gather the bytes that are covered by strings of a smaller document.
 
 Texts of less than 50 bytes and null text lose nothing. A text equal to that of a smaller document loses all. Rows with
@@ -30,8 +34,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import hash_ranges
-from tessella.llm.exchange import U64, dealt, mix, pack, pack_ints, part_of, together, unpack_ints
+from tessella.llm.common import hash_ranges, of_known_size, tidy, tidy_batches, tidy_pair
+from tessella.llm.exchange import U64, Ranges, dealt, mix, pack, pack_ints, part_of, runs, together, unpack, unpack_ints
 
 LENGTH = 50
 GRAM = 24
@@ -40,15 +44,20 @@ AROUND = LENGTH + NEAR - 1  # bytes that hold all 50-byte strings with an anchor
 #: Anchors that a task gathers before it sends them; bytes that are hashed at once.
 BLOCK, CHUNK = 1_500_000, 1 << 18
 #: Slices of a hash range that are sorted one after another, which bounds what is sorted at once.
-FINE = 8
-ROWS = "part int, whole boolean, payload binary"
+FINE = 4
+#: Entries of an anchor that make it hot: in one block, where several documents have it, and in all. Single strings that are handled at once.
+HOT_HERE, HOT, STRINGS = 32, 1000, 200_000
+ROWS = "part int, kind int, payload binary"
+#: Kinds of rows: by hash range, anchors or surroundings, and questions about strings; by document range, what is done with
+#: (shared anchors, stretches), whole copies, occurrences of strings, and answers.
+DATA, ASK, WHOLE, OWN, ANSWER, HOME = range(6)
 PRIME = 0x9E3779B97F4A7C15
 POWERS = np.array([pow(PRIME, LENGTH - 1 - i, 1 << 64) for i in range(LENGTH)], dtype=U64)
 
 
-def _table(rows: list[tuple[int, bool, bytes]]) -> pa.Table:
-    part, whole, payload = zip(*rows, strict=True) if rows else ([], [], [])
-    return pa.table({"part": pa.array(part, pa.int32()), "whole": pa.array(whole, pa.bool_()), "payload": pa.array(payload, pa.binary())})
+def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    part, kind, payload = zip(*rows, strict=True) if rows else ([], [], [])
+    return pa.table({"part": pa.array(part, pa.int32()), "kind": pa.array(kind, pa.int32()), "payload": pa.array(payload, pa.binary())})
 
 
 def spark_hash(ids: np.ndarray) -> np.ndarray:
@@ -66,12 +75,12 @@ def _home(ids: np.ndarray, parts: int) -> np.ndarray:
     return np.mod(spark_hash(ids).view(np.int64), parts)
 
 
-def _homed(ids: np.ndarray, columns: list[np.ndarray], parts: int, whole: bool) -> list[tuple[int, bool, bytes]]:
-    to = _home(ids, parts)
+def _homed(ids: np.ndarray, columns: list[np.ndarray], parts: int, kind: int, fine: int = 1) -> list[tuple[int, int, bytes]]:
+    """By document range; by `fine` of them together."""
+    to = _home(ids, parts) // fine
     order = np.lexsort((ids.view(np.int64), to))
     to, ids, columns = to[order], ids[order], [c[order] for c in columns]
-    cuts = np.searchsorted(to, np.arange(parts + 1))
-    return [(p, whole, pack([ids[a:b], *[c[a:b] for c in columns]])) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+    return [(p, kind, pack([ids[a:b], *[c[a:b] for c in columns]])) for p, a, b in runs(to)]
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -96,8 +105,11 @@ def _slide(h: np.ndarray, best: np.ufunc) -> np.ndarray:
     return best(h[: -(NEAR - 16)], h[NEAR - 16 :])
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, place and hash of the anchors; texts have LENGTH bytes at least."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place, hash and shape of the anchors; texts have LENGTH bytes at least.
+
+    shape: 64 * n + 2 * d of a run of n equal anchors, each d bytes after the one before; 64 for one that stands alone.
+    """
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     h = grams(np.frombuffer(b"".join(texts), np.uint8))
@@ -106,25 +118,38 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     least[at] = 0
     around = np.zeros(NEAR - 1, U64)
     found = np.flatnonzero(_slide(np.concatenate([around, least, around]), np.maximum) == h)
-    text = np.searchsorted(ends, found, "right")
-    return text, found - (ends - sizes)[text], _spread(h[found])
+    text, h = np.searchsorted(ends, found, "right"), _spread(h[found])
+    place = found - (ends - sizes)[text]
+    # one anchor goes on with the run of the one before if it is equal, near, and as far from it as that from its own
+    step = np.diff(place, prepend=-1)
+    equal = np.zeros(len(h), bool)
+    equal[1:] = (h[1:] == h[:-1]) & (text[1:] == text[:-1]) & (step[1:] <= GRAM)
+    if not equal.any():
+        return text, place, h, np.full(len(h), 64)
+    goes_on = equal.copy()
+    goes_on[1:] &= ~equal[:-1] | (step[1:] == step[:-1])
+    at = np.flatnonzero(~goes_on)
+    n = np.diff(np.append(at, len(h)))
+    stride = np.where(n > 1, step[np.minimum(at + 1, len(h) - 1)], 0)
+    return text[at], place[at], h[at], 64 * n + 2 * stride
 
 
 def _send_anchors(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         texts: list[bytes] = []
         ids: list[int] = []
+        starts: list[int] = []
         seen: dict[bytes, int] = {}
         wholes: list[tuple[int, int]] = []
         n = size = 0
 
         def hashed() -> int:
-            nonlocal texts, ids, size
+            nonlocal texts, ids, starts, size
             if texts:
-                text, place, h = anchors(texts)
-                held.append((h, np.array(ids, np.int64)[text].view(U64), place.astype(U64)))
-                texts, ids, size = [], [], 0
+                text, place, h, shape = anchors(texts)
+                held.append((h, np.array(ids, np.int64)[text].view(U64), (place + np.array(starts)[text]).astype(U64), shape.astype(U64)))
+                texts, ids, starts, size = [], [], [], 0
                 return len(h)
             return 0
 
@@ -132,12 +157,23 @@ def _send_anchors(parts: int):
             nonlocal held, n, seen, wholes
             rows = []
             if held:
-                h, doc, place = (np.concatenate(c) for c in zip(*held, strict=True))
+                h, doc, place, shape = (np.concatenate(c) for c in zip(*held, strict=True))
                 order = np.argsort(h)
-                rows = [(p, False, data) for p, data in dealt(h[order], [doc[order], place[order]], parts)]
+                h, doc, place, shape = h[order], doc[order], place[order], shape[order]
+                at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                counts = np.diff(np.append(at, len(h)))
+                here = np.zeros(len(h), bool)
+                for a, c in zip(at[counts >= HOT_HERE].tolist(), counts[counts >= HOT_HERE].tolist(), strict=True):
+                    if doc[a : a + c].min() != doc[a : a + c].max():
+                        here[a + 1 : a + c] = True
+                        shape[a] |= U64(1)  # hot, whatever the range counts
+                if here.any():
+                    rows += [(int(doc[here][0] % U64(parts)), HOME, pack([doc[here], place[here] * U64(2) + U64(1), shape[here]], ascending=False))]
+                    h, doc, place, shape = h[~here], doc[~here], place[~here], shape[~here]
+                rows += [(p, DATA, data) for p, data in dealt(h, [doc, place, shape], parts)]
             if wholes:
                 doc, length = (np.array(c, np.int64).view(U64) for c in zip(*wholes, strict=True))
-                rows.append((int(doc[0] % U64(parts)), True, pack([doc, length], ascending=False)))
+                rows.append((int(doc[0] % U64(parts)), WHOLE, pack([doc, length], ascending=False)))
             held, n, seen, wholes = [], 0, {}, []
             yield from _table(rows).to_batches()
 
@@ -150,55 +186,112 @@ def _send_anchors(parts: int):
                 if first < doc:
                     wholes.append((doc, len(data)))
                     continue
-                texts.append(data), ids.append(doc)
-                size += len(data)
-                if size >= CHUNK:
-                    n += hashed()
-                    if n >= BLOCK:
-                        yield from send()
+                for start in range(0, len(data) - LENGTH + 1, CHUNK):  # every 50-byte string in one stretch
+                    some = data[start : start + CHUNK + LENGTH - 1]
+                    texts.append(some), ids.append(doc), starts.append(start)
+                    size += len(some)
+                    if size >= CHUNK:
+                        n += hashed()
+                        if n >= BLOCK:
+                            yield from send()
         hashed()
         yield from send()
 
     return run
 
 
-def _split(block: pa.Table) -> tuple[list[bytes], list[bytes]]:
-    whole, payload = block.column("whole").to_pylist(), block.column("payload").to_pylist()
-    return [p for p, w in zip(payload, whole, strict=True) if not w], [p for p, w in zip(payload, whole, strict=True) if w]
+def _kinds(block: pa.Table) -> dict[int, list[bytes]]:
+    found: dict[int, list[bytes]] = {k: [] for k in range(6)}
+    for kind, payload in zip(block.column("kind").to_pylist(), block.column("payload").to_pylist(), strict=True):
+        found[kind].append(payload)
+    return found
+
+
+def _anchors_again(ranges: Ranges):
+    """The second cut of many ranges: anchors by hash, other rows anywhere."""
 
+    def again(part: int, kind: int, payloads: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+        if kind != DATA:
+            yield from ((part * ranges.fine + i % ranges.fine, kind, p) for i, p in enumerate(payloads))
+        else:
+            h, *rest = together(payloads, 4)
+            order = np.argsort(h, kind="stable")
+            yield from ((p, DATA, data) for p, data in dealt(h[order], [c[order] for c in rest], ranges.parts))
 
-def _shared(parts: int, hot: int):
+    return again
+
+
+def _home_again(ranges: Ranges):
+    """The second cut of many ranges: what goes to documents."""
+
+    def again(part: int, kind: int, payloads: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+        for payload in payloads:
+            if kind in (OWN, ANSWER):
+                yield struct.unpack_from("<I", payload)[0], kind, payload
+            else:
+                doc, *rest = unpack(payload, 2 if kind == WHOLE else 3)
+                yield from _homed(doc, rest, ranges.parts, kind)
+
+    return again
+
+
+def _shared(parts: int, fine: int, hot: int):
     """A hash range -> the anchors that several documents have, by document; the lowest bit of the place says hot."""
 
     def run(block: pa.Table) -> pa.Table:
-        data, wholes = _split(block)
-        rows = [r for w in wholes for r in _homed(*(lambda c: (c[0], c[1:]))(together([w], 2)), parts, True)]
-        h, doc, place = together(data, 3)
+        found = _kinds(block)
+        rows = [r for kind, n in ((WHOLE, 2), (HOME, 3)) for w in found[kind] for r in _homed(*(lambda c: (c[0], c[1:]))(unpack(w, n)), parts, kind, fine)]
+        h, doc, place, shape = together(found[DATA], 4)
         order = np.argsort(h)
-        h, doc, place = h[order], doc[order].view(np.int64), place[order]
+        h, doc, place, shape = h[order], doc[order].view(np.int64), place[order], shape[order]
         if len(h):
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             counts = np.diff(np.append(starts, len(h)))
-            several = np.repeat(np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts), counts)
-            many = np.repeat(counts > hot, counts)[several].astype(U64)
-            rows += _homed(doc[several].view(U64), [place[several] * U64(2) + many], parts, False)
+            odd = np.maximum.reduceat((shape != U64(64)).astype(np.int8), starts) > 0
+            forced = np.maximum.reduceat((shape & U64(1)).astype(np.int8), starts) > 0
+            several = np.repeat((np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)) | forced, counts)
+            many = np.repeat((counts > hot) | odd, counts)[several].astype(U64)
+            rows += _homed(doc[several].view(U64), [place[several] * U64(2) + many, shape[several]], parts, HOME, fine)
         return _table(rows)
 
     return run
 
 
-def _send_surroundings(parts: int):
-    """Documents and their shared anchors -> the bytes around these, by hash range."""
+def _strings(place: np.ndarray, shape: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which entry, start and extent of the 50-byte strings with hot anchors.
+
+    A string within a run stands for all equal ones at the run's distance: its extent says how far the last starts after it.
+    """
+    n, d = shape >> 6, (shape & 63) >> 1
+    last = place + (n - 1) * d
+    end = last + GRAM  # from place to here the text repeats itself every d bytes
+    inner = np.where(n > 1, np.minimum(place + d, end - LENGTH + 1), place)  # of the inner strings those before here are distinct
+    inner = np.maximum(inner, place)
+    late = np.where(n > 1, np.maximum(place, end - LENGTH + 1), place)
+    out = []
+    for low, high, extends in ((place - NEAR + 1, place, False), (place, inner, True), (late, last + 1, False)):
+        low, high = np.maximum(low, 0), np.minimum(high, size - LENGTH + 1)
+        count = np.maximum(high - low, 0)
+        which = np.repeat(np.arange(len(place)), count)
+        start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        step = np.maximum(d[which], 1)
+        out.append((which, start, (end[which] - LENGTH - start) // step * step if extends else np.zeros(len(start), np.int64)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _send_surroundings(first: int):
+    """Documents and their shared anchors -> the bytes around these and questions about strings, by hash range."""
 
     def run(docs: pa.Table, block: pa.Table) -> pa.Table:
-        data, wholes = _split(block)
+        found = _kinds(block)
         home = block.column("part")[0].as_py() if len(block) else 0
-        rows = [(home, True, w) for w in wholes]
-        doc, place = (c.view(np.int64) for c in together(data, 2))
+        # what is at home already only passes through
+        rows = [(home % first, WHOLE, w) for w in found[WHOLE]]
+        doc, place, shape = (c.view(np.int64) for c in together(found[HOME], 3))
         if not len(doc):
             return _table(rows)
         order = np.argsort(doc, kind="stable")
-        doc, place = doc[order], place[order]
+        doc, place, shape = doc[order], place[order], shape[order]
         wanted = np.unique(doc)
         texts: dict[int, bytes] = {}
         ids = np.array(docs.column("doc_id").to_numpy())
@@ -208,49 +301,106 @@ def _send_surroundings(parts: int):
         buffer = np.frombuffer(pad + pad.join(texts[i] for i in wanted.tolist()) + pad, np.uint8)
         sizes = np.array([len(texts[i]) for i in wanted.tolist()])
         offsets = AROUND + np.cumsum(sizes + AROUND) - sizes - AROUND
+        texts.clear()
         at = np.searchsorted(wanted, doc)
         hot, place = (place & 1).astype(bool), place >> 1
-        # the first and the last 50-byte string of the surroundings that is within the text
-        first = NEAR - 1 - np.minimum(NEAR - 1, place)
-        last = np.minimum(NEAR - 1, sizes[at] - place - GRAM)
-        fits = last >= first  # else two texts have one id
-        doc, place, hot, at, first, last = (c[fits] for c in (doc, place, hot, at, first, last))
-        views = sliding_window_view(buffer, AROUND)
-
-        def cells(start: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-            out = np.empty((len(start), AROUND + 2), np.uint8)
-            out[:, :AROUND] = views[start]
-            out[:, AROUND], out[:, AROUND + 1] = low, high
-            return out
-
-        cold = ~hot
-        around = cells(offsets[at[cold]] + place[cold] - NEAR + 1, first[cold], last[cold])
-        found = [(_hash(around[:, NEAR - 1 : LENGTH]), doc[cold], place[cold], around)]
-        if hot.any():
-            n = (last - first + 1)[hot]
-            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[hot], n)
-            start = np.repeat(place[hot], n) - NEAR + 1 + k
-            single = cells(np.repeat(offsets[at[hot]], n) + start, np.zeros(len(k), np.uint8), np.zeros(len(k), np.uint8))
-            single[:, LENGTH:AROUND] = 0
-            found.append((_hash(single[:, :LENGTH]), np.repeat(doc[hot], n), start + NEAR - 1, single))
-        key, doc, place, around = (np.concatenate(c) for c in zip(*found, strict=True))
-        to = part_of(key, parts * FINE)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(parts * FINE + 1, dtype=U64))
-        slices: dict[int, list[bytes]] = {}
-        for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if a < b:
-                own = order[a:b]
-                distinct, which = _distinct(around[own])
-                columns = b"".join(pack_ints(c) for c in (which.astype(np.int64), doc[own], place[own]))
-                payload = zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(distinct)) + distinct.tobytes() + columns)
-                slices.setdefault(p // FINE, []).append(struct.pack("<BI", p % FINE, len(payload)) + payload)
-        rows += [(p, False, b"".join(payloads)) for p, payloads in slices.items()]
+        # two texts of one id: an anchor may lie beyond the one that is here
+        fits = place + GRAM <= sizes[at]
+        doc, place, shape, hot, at = (c[fits] for c in (doc, place, shape, hot, at))
+        total = 0
+        for a in range(0, int(hot.sum()), STRINGS // 64):
+            own = np.flatnonzero(hot)[a : a + STRINGS // 64]
+            which, start, extent = _strings(place[own], shape[own], sizes[at[own]])
+            spot = offsets[at[own[which]]] + start
+            order = np.lexsort((-extent, spot))
+            order = order[np.concatenate([[True], np.diff(spot[order]) != 0])] if len(order) else order
+            which, start, extent, spot = which[order], start[order], extent[order], spot[order]
+            for b in range(0, len(spot), STRINGS):
+                some = slice(b, b + STRINGS)
+                strings, same = _distinct(sliding_window_view(buffer, LENGTH)[spot[some]])
+                owner = doc[own[which[some]]]
+                least = np.full(len(strings), np.iinfo(np.int64).max)
+                np.minimum.at(least, same, owner)
+                rows.append((home % first, OWN, struct.pack("<I", home) + pack([same.astype(np.int64).view(U64) + U64(total), owner.view(U64), start[some].view(U64), extent[some].view(U64)], ascending=False)))
+                rows += _asked(strings, np.arange(total, total + len(strings)), least, home, first)
+                total += len(strings)
+        cold = np.flatnonzero(~hot)
+        if len(cold):
+            doc, place, at = doc[cold], place[cold], at[cold]
+            around = np.empty((len(doc), AROUND + 2), np.uint8)
+            around[:, :AROUND] = sliding_window_view(buffer, AROUND)[offsets[at] + place - NEAR + 1]
+            # the first and the last 50-byte string of the surroundings that is within the text
+            around[:, AROUND], around[:, AROUND + 1] = NEAR - 1 - np.minimum(NEAR - 1, place), np.minimum(NEAR - 1, sizes[at] - place - GRAM)
+            rows += _dealt_around(around, doc, place, first)
         return _table(rows)
 
     return run
 
 
+def _asked(strings: np.ndarray, index: np.ndarray, least: np.ndarray, home: int, parts: int) -> list[tuple[int, int, bytes]]:
+    """Questions for the smallest document of each string, by range of its hash."""
+    to = part_of(_hash(strings), parts)
+    order = np.argsort(to, kind="stable")
+    return [(p, ASK, struct.pack("<II", home, b - a) + zstandard.ZstdCompressor(level=1).compress(strings[order[a:b]].tobytes() + pack_ints(index[order[a:b]]) + pack_ints(least[order[a:b]]))) for p, a, b in runs(to[order])]
+
+
+def _question(payload: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    home, n = struct.unpack_from("<II", payload)
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(payload[8:]))
+    index, at = unpack_ints(raw, n * LENGTH)
+    least, _ = unpack_ints(raw, at)
+    return home, np.frombuffer(raw, np.uint8, n * LENGTH).reshape(n, LENGTH), index.view(np.int64), least.view(np.int64)
+
+
+def _dealt_around(around: np.ndarray, doc: np.ndarray, place: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
+    """Surroundings by hash range, in slices: frames of slice, size and the distinct rows with their occurrences."""
+    to = part_of(_hash(around[:, NEAR - 1 : LENGTH]), parts * FINE)
+    order = np.argsort(to, kind="stable")
+    slices: dict[int, list[bytes]] = {}
+    for p, a, b in runs(to[order]):
+        own = order[a:b]
+        distinct, which = _distinct(around[own])
+        columns = b"".join(pack_ints(c) for c in (which.astype(np.int64), doc[own], place[own]))
+        payload = zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(distinct)) + distinct.tobytes() + columns)
+        slices.setdefault(p // FINE, []).append(struct.pack("<BI", p % FINE, len(payload)) + payload)
+    return [(p, DATA, b"".join(payloads)) for p, payloads in slices.items()]
+
+
+def _frames(payload: bytes) -> Iterator[tuple[int, bytes]]:
+    at = 0
+    while at < len(payload):
+        which, size = struct.unpack_from("<BI", payload, at)
+        yield which, payload[at + 5 : at + 5 + size]
+        at += 5 + size
+
+
+def _occurrences(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct surroundings of a frame; which of them, document and place of each occurrence."""
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(payload))
+    n = struct.unpack_from("<I", raw)[0]
+    at, out = 4 + n * (AROUND + 2), []
+    for _ in range(3):
+        values, at = unpack_ints(raw, at)
+        out.append(values.view(np.int64))
+    return np.frombuffer(raw, np.uint8, n * (AROUND + 2), 4).reshape(n, AROUND + 2), *out
+
+
+def _surroundings_again(ranges: Ranges):
+    def again(part: int, kind: int, payloads: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+        for payload in payloads:
+            if kind == DATA:
+                for _, frame in _frames(payload):
+                    table, which, doc, place = _occurrences(frame)
+                    yield from _dealt_around(table[which], doc, place, ranges.parts)
+            elif kind == ASK:
+                home, strings, index, least = _question(payload)
+                yield from _asked(strings, index, least, home, ranges.parts)
+            else:
+                yield part * ranges.fine, kind, payload
+
+    return again
+
+
 def _hash(rows: np.ndarray) -> np.ndarray:
     """Of each row of bytes; some at a time, as numbers take eight times the room."""
     powers = POWERS[LENGTH - rows.shape[1] :]
@@ -341,44 +491,57 @@ def two_stage(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.nda
     return places, same
 
 
-def _repeated(parts: int):
-    """A hash range's surroundings -> the stretches that a smaller document has too, by document."""
+def _repeated(parts: int, fine: int):
+    """A hash range's surroundings -> the stretches that a smaller document has too, by document; and answers about strings."""
 
     def run(block: pa.Table) -> pa.Table:
-        columns = (block.column(c).to_pylist() for c in ("part", "whole", "payload"))
-        rows, fine = [], {}
-        for part, whole, payload in zip(*columns, strict=True):
-            if whole:
-                rows.append((part, True, payload))
-            else:
-                at = 0
-                while at < len(payload):
-                    which, size = struct.unpack_from("<BI", payload, at)
-                    fine.setdefault(which, []).append(payload[at + 5 : at + 5 + size])
-                    at += 5 + size
-        found = [_stretches(payloads) for payloads in fine.values()]  # one after another, to be small
+        kinds = _kinds(block)
+        rows = [r for w in kinds[WHOLE] for r in _homed(*(lambda c: (c[0], c[1:]))(unpack(w, 2)), parts, WHOLE, fine)]
+        rows += [(struct.unpack_from("<I", own)[0] // fine, OWN, own) for own in kinds[OWN]]
+        slices: dict[int, list[bytes]] = {}
+        for payload in kinds[DATA]:
+            for which, frame in _frames(payload):
+                slices.setdefault(which, []).append(frame)
+        found = [_stretches(payloads) for payloads in slices.values()]  # one after another, to be small
         if found:
             doc, low, high = merged(*(np.concatenate(c) for c in zip(*found, strict=True)))
             if len(doc):
-                rows += _homed(doc.view(U64), [low.astype(U64), high.astype(U64)], parts, False)
+                rows += _homed(doc.view(U64), [low.astype(U64), high.astype(U64)], parts, HOME, fine)
+        if kinds[ASK]:
+            asked = [_question(p) for p in kinds[ASK]]
+            strings, which = _distinct(np.concatenate([s for _, s, _, _ in asked]))
+            smallest = np.full(len(strings), np.iinfo(np.int64).max)
+            np.minimum.at(smallest, which, np.concatenate([x for _, _, _, x in asked]))
+            smallest = _smallest(strings, smallest)[which]
+            cuts = np.cumsum([0, *[len(i) for _, _, i, _ in asked]])
+            for (home, _, index, _), a, b in zip(asked, cuts[:-1], cuts[1:], strict=True):
+                rows.append((home // fine, ANSWER, struct.pack("<I", home) + pack([index.view(U64), smallest[a:b].view(U64)], ascending=False)))
         return _table(rows)
 
     return run
 
 
+def _smallest(strings: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The smallest document of each string, by their order as suffixes of one text."""
+    width = LENGTH + 1
+    text = np.zeros((len(strings), width), np.uint8)
+    text[:, :LENGTH] = strings
+    order, same = two_stage(text.ravel())
+    whole = order % width == 0
+    row, group = order[whole] // width, np.cumsum(~same)[whole]
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    out = np.empty(len(strings), np.int64)
+    out[row] = np.repeat(np.minimum.reduceat(least[row], starts), np.diff(np.append(starts, len(row))))
+    return out
+
+
 def _stretches(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, start and end of what is in a smaller document too."""
     tables, which, docs, places, total = [], [], [], [], 0
     for payload in data:
-        raw = memoryview(zstandard.ZstdDecompressor().decompress(payload))
-        n = struct.unpack_from("<I", raw)[0]
-        tables.append(np.frombuffer(raw, np.uint8, n * (AROUND + 2), 4).reshape(n, AROUND + 2))
-        at = 4 + n * (AROUND + 2)
-        for column in (which, docs, places):
-            values, at = unpack_ints(raw, at)
-            column.append(values.view(np.int64))
-        which[-1] = which[-1] + total
-        total += n
+        table, own, doc, place = _occurrences(payload)
+        tables.append(table), which.append(own + total), docs.append(doc), places.append(place)
+        total += len(table)
     distinct, again = _distinct(np.concatenate(tables))
     which, doc, place = again[np.concatenate(which)], np.concatenate(docs), np.concatenate(places)
     smallest = np.full(len(distinct), np.iinfo(np.int64).max)
@@ -426,10 +589,18 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _result(docs: pa.Table, block: pa.Table) -> pa.Table:
-    data, wholes = _split(block)
-    doc, low, high = (c.view(np.int64) for c in together(data, 3))
-    all_of, length = (c.view(np.int64) for c in together(wholes, 2))
-    doc, low, high = merged(np.concatenate([doc, all_of]), np.concatenate([low, np.zeros(len(all_of), np.int64)]), np.concatenate([high, length]))
+    kinds = _kinds(block)
+    found = [tuple(c.view(np.int64) for c in together(kinds[HOME], 3))]
+    doc, length = (c.view(np.int64) for c in together(kinds[WHOLE], 2))
+    found.append((doc, np.zeros(len(doc), np.int64), length))
+    index, least = (np.concatenate(c).view(np.int64) for c in zip(*[unpack(p[4:], 2) for p in kinds[ANSWER]], strict=True)) if kinds[ANSWER] else (np.zeros(0, np.int64),) * 2
+    smallest = np.zeros(len(index), np.int64)
+    smallest[index] = least
+    for own in kinds[OWN]:
+        index, doc, start, extent = (c.view(np.int64) for c in unpack(own[4:], 4))
+        out = smallest[index] < doc
+        found.append(merged(doc[out], start[out], start[out] + extent[out] + LENGTH))
+    doc, low, high = merged(*(np.concatenate(c) for c in zip(*found, strict=True)))
     rows = []
     ids = docs.column("doc_id").to_numpy()
     a, b = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
@@ -446,17 +617,22 @@ def _result(docs: pa.Table, block: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"), columns, types, strict=True)})
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """RESULT: of every document, what is removed (stretches from starts to ends, in bytes) and the digest of the rest."""
-    parts = hash_ranges(docs)
-    hot = docs.count() // parts + 1000  # more than a range has documents
+def repeated_spans(docs: DataFrame, hot: int = HOT, parts: int | None = None, fanout: int | None = None) -> DataFrame:
+    """RESULT: of every document, what is removed (stretches from starts to ends, in bytes) and the digest of the rest.
+
+    hot: occurrences beyond which an anchor goes by its single strings. parts, fanout: of `Ranges`, by default by the table's size.
+    """
+    docs = of_known_size(docs.select("doc_id", "text"), "texts")
+    ranges = Ranges(hash_ranges(docs) if parts is None else parts, fanout)
+    parts, first = ranges.parts, ranges.first
     known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    sent = known.mapInArrow(_send_anchors(parts), ROWS)
-    shared = sent.groupBy("part").applyInArrow(_shared(parts, hot), ROWS)
-    homed = known.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    around = homed.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_send_surroundings(parts), ROWS)
-    found = around.groupBy("part").applyInArrow(_repeated(parts), ROWS)
-    out = homed.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(_result, RESULT)
+    sent = known.mapInArrow(tidy_batches(_send_anchors(first)), ROWS)
+    home = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+    homed = known.withColumn("part", home).repartitionById(parts, F.col("part")).groupBy("part")
+    shared = ranges.grouped(sent, _anchors_again(ranges)).applyInArrow(tidy(_shared(parts, ranges.fine, hot)), ROWS)
+    around = homed.cogroup(ranges.grouped(shared, _home_again(ranges))).applyInArrow(tidy_pair(_send_surroundings(first)), ROWS)
+    found = ranges.grouped(around, _surroundings_again(ranges)).applyInArrow(tidy(_repeated(parts, ranges.fine)), ROWS)
+    out = homed.cogroup(ranges.grouped(found, _home_again(ranges))).applyInArrow(tidy_pair(_result), RESULT)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     none = F.array().cast("array<long>")
     lost = docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), none.alias("starts"), none.alias("ends"))
