@@ -5,9 +5,11 @@ by the n-grams of the highest order of which it holds a known one, from 4 charac
 mean of their log frequencies; word ends count as characters. The sum over a text's words decides,
 and the score is the winner's share by Bayes' rule with equal priors.
 
-The model is fitted on a bounded sample of labelled rows (`sample` documents, drawn by a hash of the
-id) and keeps a bounded number of words and n-grams, so it is small enough to broadcast whatever the
-corpus. Every text is scored as a whole, where it is read; there is no shuffle of texts.
+The model is fitted on a bounded sample of labelled rows: `sample` documents in all, drawn by a hash of the
+id, an even part for each language and what a language hasn't got for the others. So no language is missing for being
+rare. It keeps every word and n-gram that occurs twice or more in the sample (`least`), whatever the language and
+length; the sample bounds them, so the model is small enough to broadcast whatever the corpus. Every text is scored as a
+whole, where it is read; there is no shuffle of texts.
 
 Null text and text without a letter give und and score 0. If nothing of a text is known, the language
 with most training words is given, with an equal share as score. Without training rows every text is und with
@@ -18,6 +20,7 @@ doc_id, text and lang are read, so other columns can't clash; an empty table giv
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -29,57 +32,77 @@ from pyspark.sql import functions as F
 from tessella.llm.common import worker_memory
 
 SAMPLE = 10_000
-MAX_WORDS = 100_000
-MAX_GRAMS = 60_000
+#: Units that occur less often in the sample tell little and are most of all.
+LEAST = 2
 ORDERS = (4, 3, 2, 1)
-#: Longer words are scored by n-grams only.
+#: Longer words are scored each time, not remembered.
 LONGEST = 40
 SMOOTHING = 0.5
 MEMORY = 500_000
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that count as alphanumeric, but are neither letters nor decimal digits, as fractions and superscripts.
+NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERIC}]+")
 
 
-def _pruned(counts: DataFrame, unit: str, most: int) -> list:
-    """The most frequent units with their counts by language; a bounded number of rows."""
-    by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
-    return counts.groupBy(unit).agg(F.sum("n").alias("total"), by_lang.alias("by")).orderBy(F.desc("total"), unit).limit(most).collect()
+class Units:
+    """Words or n-grams with a row of log frequencies each."""
 
+    def __init__(self, units: list[str], logs: np.ndarray):
+        self.at, self.logs = {u: i for i, u in enumerate(units)}, logs
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> dict:
+    def __contains__(self, unit: str) -> bool:
+        return unit in self.at
+
+    def __getitem__(self, unit: str) -> np.ndarray:
+        return self.logs[self.at[unit]]
+
+
+def shares(counts: dict[str, int], sample: int) -> dict[str, float]:
+    """What part of each language's rows is drawn: all of the rare ones, and of the others equally many."""
+    out, left = {}, sample
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(1.0, left / (len(counts) - k) / max(1, n))
+        left -= min(n, left // (len(counts) - k))
+    return out
+
+
+def _counted(counts: DataFrame, unit: str, langs: list[str], least: int) -> tuple[list[str], np.ndarray]:
+    """The units that occur often enough, in order, and their counts by language. counts: lang, the unit and n, of the sample."""
+    by_lang = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+    found = counts.groupBy(unit).agg(F.sum("n").alias("total"), *by_lang).filter(F.col("total") >= least).drop("total").toArrow().sort_by(unit)
+    return found.column(unit).to_pylist(), np.stack([found.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1).astype(float) if langs else np.zeros((0, 0))
+
+
+def learn(labelled: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> dict:
     """The model as arrays: languages, words and n-grams with a row of log frequencies each.
 
     labelled: doc_id, text and a non-null lang.
     """
-    n = labelled.count()
-    if n > sample:
-        share = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30))
-        labelled = labelled.filter(share < int(sample / n * (1 << 30)))
+    share = shares({r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}, sample)
+    if any(s < 1 for s in share.values()):
+        below = F.element_at(F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(int(s * (1 << 30))))]), F.col("lang"))
+        labelled = labelled.filter(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < below)
     words = labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     words = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).cache()
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
-    column = {x: i for i, x in enumerate(langs)}
     padded = F.concat(F.lit("\u0002"), "word", F.lit("\u0003"))
     grams = F.flatten(F.array(*[F.expr(f"CASE WHEN length(p) >= {k} THEN transform(sequence(1, length(p) - {k - 1}), i -> substr(p, i, {k})) ELSE array() END") for k in ORDERS]))
-    spelled = words.filter(F.length("word") <= LONGEST).withColumn("p", padded).select("lang", "n", F.explode(grams).alias("gram"))
+    spelled = words.withColumn("p", padded).select("lang", "n", F.explode(grams).alias("gram"))
     spelled = spelled.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
-    def logs(rows: list, whole: list[float]) -> np.ndarray:
-        table = np.full((len(rows), len(langs)), SMOOTHING)
-        for i, r in enumerate(rows):
-            for lang, c in r["by"].items():
-                table[i, column[lang]] += c
-        return np.log(table) - np.log(np.array(whole) + SMOOTHING * max(1, len(rows)))
+    def logs(counts: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        return np.log(counts + SMOOTHING) - np.log(whole + SMOOTHING * max(1, len(counts)))
 
-    known = _pruned(words.filter(F.length("word") <= LONGEST), "word", max_words)
-    pieces = _pruned(spelled, "gram", max_grams)
+    known, counts = _counted(words, "word", langs, least)
+    pieces, by_gram = _counted(spelled, "gram", langs, least)
     words.unpersist()
-    model = {"langs": langs, "words": [r["word"] for r in known], "logs": logs(known, [totals[x] for x in langs]), "grams": {}, "most": max(langs, key=lambda x: (totals[x], x), default=None)}
+    frequencies = np.zeros_like(by_gram)
+    sizes = np.array([len(g) for g in pieces])
     for k in ORDERS:
-        rows = [r for r in pieces if len(r["gram"]) == k]
-        whole = [float(sum(r["by"].get(x, 0) for r in rows)) for x in langs]
-        model["grams"].update(zip([r["gram"] for r in rows], logs(rows, whole), strict=True))
-    return model
+        frequencies[sizes == k] = logs(by_gram[sizes == k], by_gram[sizes == k].sum(axis=0))
+    most = min(langs, key=lambda x: (-totals[x], x), default=None)
+    return {"langs": langs, "words": known, "logs": logs(counts, np.array([float(totals[x]) for x in langs])), "grams": Units(pieces, frequencies), "most": most}
 
 
 class Scorer:
@@ -95,9 +118,9 @@ class Scorer:
     def backoff(self, word: str) -> np.ndarray:
         grams, padded = self.model["grams"], f"\x02{word}\x03"
         for k in ORDERS:
-            hits = [g for i in range(len(padded) - k + 1) if (g := grams.get(padded[i : i + k])) is not None]
+            hits = [at for i in range(len(padded) - k + 1) if (at := grams.at.get(padded[i : i + k])) is not None]
             if hits:
-                return np.mean(hits, axis=0)
+                return grams.logs[hits].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def remember(self, word: str) -> int:
@@ -130,10 +153,11 @@ class Scorer:
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred and score of each row; reads doc_id and text alone."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    plain = model | {"grams": (list(model["grams"].at), model["grams"].logs)}  # as workers needn't have this module
+    shared, key = docs.sparkSession.sparkContext.broadcast(plain), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = worker_memory("language", key, lambda: Scorer(shared.value))
+        scorer = worker_memory("language", key, lambda: Scorer(shared.value | {"grams": Units(*shared.value["grams"])}))
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])

@@ -10,8 +10,9 @@ the parent already shows that they are too far, before any distance to them is c
 Scores are inner products of integers and exact; bounds are floating point with a margin, so
 rounding never loses a row. Vectors that are null, or hold null or a non-finite component, and rows
 without an id take no part; shorter vectors count as padded with zeros. Rows with equal ids are separate
-candidates, and none of them is a candidate of a query with that id. Ties go to the smaller id. An empty table, or one without
-queries, gives an empty result. Only the id and the vector are read.
+candidates, and none of them is a candidate of a query with that id. Query rows with equal ids are one query; if their
+vectors differ, with the least of them by components. Ties go to the smaller id. Components and scores beyond a 64-bit number are taken as the
+nearest one. An empty table, or one without queries, gives an empty result. Only the id and the vector are read.
 """
 
 from __future__ import annotations
@@ -98,7 +99,7 @@ class Tree:
                 continue
             self.computed += len(rows)
             if children[0] < 0:
-                scores = (self.points[rows, :-1] @ q.astype(float)).astype(np.int64) if exact else self.vectors[rows] @ q
+                scores = (self.points[rows, :-1] @ q.astype(float)).astype(np.int64) if exact else _products(self.vectors[rows], q)
                 ids = self.ids[rows]
                 if len(found) == k:
                     hopeful = scores >= found[0][0]
@@ -143,6 +144,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return out
 
 
+def _products(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products, as far as 64 bits go."""
+    products = vectors.astype(object) @ q.astype(object)
+    return np.clip(products, -(2**63), 2**63 - 1).astype(np.int64)
+
+
 def _grow(block: pa.Table) -> pa.Table:
     tree = Tree(block.column("id").to_numpy(), _matrix(block.column("vector")))
     return pa.table({"tree": block.column("tree").slice(0, 1), "payload": pa.array([tree.dump()], pa.binary())})
@@ -167,7 +174,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
     dealt = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(parts)).cast("int")
     grown = rows.select("id", "vector", dealt("tree", trees).alias("tree")).groupBy("tree").applyInArrow(_grow, "tree int, payload binary")
     grown = materialise(grown, "trees")
-    asked = rows.filter("asks").select("id", "vector", dealt("query", blocks).alias("block")).groupBy("block").applyInArrow(_gather, "queries binary")
+    asked = rows.filter("asks").groupBy("id").agg(F.min("vector").alias("vector")).withColumn("block", dealt("query", blocks)).groupBy("block").applyInArrow(_gather, "queries binary")
     meets = asked.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).join(grown, "tree").select("payload", "queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

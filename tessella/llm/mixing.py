@@ -9,7 +9,8 @@ Only sums by pattern, and by pattern and hash bucket, are gathered; the order wi
 never sorted as a whole: buckets are taken whole up to one that is cut, and only that one is sorted.
 
 Null or empty text has size 0 and takes no part (taken 0, copies 0). A null source is a source of its own, last in
-order. Equal rows are separate documents; rows that also share their id stand next to each other in the order. An empty table gives an empty result. Extra columns are carried along.
+order. Equal rows are separate documents; rows that also share their id stand next to each other in the order. An empty table gives an empty result.
+Extra columns are carried along, by `mix` all but those that have a name of its results, which it replaces, by `mixed_documents` all.
 """
 
 from __future__ import annotations

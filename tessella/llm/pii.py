@@ -7,34 +7,40 @@ halves take turns in being shifted by a keyed hash of the other, which is a perm
 
     card     13-19 digits, Luhn valid: digits after the first permuted, check digit made anew
              a run that fails is searched for valid cards beside other numbers, from group to group
-    phone    +country and 10 digits, or a 10-digit number in groups: digits after the country code
+    phone    +country and 10 digits, or a 10-digit number in groups: digits after the country code; where the groups
+             have only blanks between them, if area and exchange begin with 2 to 9 and no number goes before
+    ssn      three, two and four digits with hyphens that can be one (no area 000, 666 or 9xx, no group 00, no serial 0000)
     ip       four octets up to 255, radix 256 each
     email    letters and digits of the local part, each within its own kind
-    date     ISO or day-first dates that exist, 1800 to 2199: the day within those 400 years
+    date     ISO or day-first dates that exist, or with slashes month-first ones, 1800 to 2199: the day within those 400 years
     key      AKIA... and hexadecimal secrets of 32 and more digits, within their alphabet and case; where both
              cases are mixed, each character within its own kind. Long ones in even pieces of up to 128 digits.
              One character more than 128 times in a row is no secret.
 
 Numbers that don't validate and impossible dates stay as they are. Null text stays null, empty text
-empty. Rows are independent: equal rows give equal rows and an empty table an empty one. All columns
-are carried along, whatever their names; the counts are added by `pseudonymise`.
+empty. Rows are independent: equal rows give equal rows and an empty table an empty one. `clean_text` carries all columns
+along, whatever their names; `pseudonymise` adds the counts, and replaces columns that have their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import warnings
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "a key that every deployment sets for itself"
+#: Where the key is looked for; without it the queries take one that is public, so their pseudonyms hide nothing.
+SETTING, PUBLIC_KEY = "spark.tessella.pii.key", "a key that every deployment sets for itself"
 ROUNDS = 6
-KINDS = ("card", "phone", "ip", "email", "date", "key")
+KINDS = ("card", "phone", "ssn", "ip", "email", "date", "key")
 
 #: The shapes that are looked for. Every one starts at the beginning of a run, so none is tried within one.
 SHAPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4})(?![/.-]?\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})|\(\d{3}\)|\d{3}(?=[.-]))[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{3}\)|\d{3})|\(\d{3}\)|\d{3}(?=[.-]))[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d+])(?<!\d )[2-9]\d\d [2-9]\d\d \d{4}(?!\d)(?! \d)",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "key": r"\bAKIA[A-Z0-9]{16}\b|\b[0-9a-fA-F]{32,}+\b",
 }
 PATTERN = "|".join(SHAPES.values())
@@ -45,6 +51,7 @@ GROUPS = [rf"(?<!\d)(?=(\d(?:[ -]?\d){{{n - 1}}})(?!\d))" for n in range(19, 12,
 #: Tried before other groups: one in ten of those validates by chance.
 PRINTED = [r"(?<!\d)(?=(\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d))"]
 CARDS = (r"(?:(?<![\d.-])|(?<=\d[ -]))(?:", r")(?!\d)(?!-(?!\d))")
+SSN = (898, 99, 9999)  # areas, groups and serials that exist
 FIRST_DAY = "1800-01-01"
 DAYS, DAY_RADIXES = 146_097, (339, 431)  # 400 years of the calendar; 339 * 431
 LOWER, UPPER, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
@@ -113,10 +120,15 @@ def _pseudonym(key: str) -> str:
     country = r"length(regexp_extract(m, r'^\+\d{1,3}?(?=[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}$)', 0))"
     octets = "transform(split(m, r'\\.'), x -> cast(x AS int))"
     iso = r"m RLIKE r'^\d{4}-'"
-    day = f"CASE WHEN {iso} THEN try_to_date(m, 'yyyy-MM-dd') ELSE try_to_date(translate(m, '/', '.'), 'dd.MM.yyyy') END"
+    day = f"CASE WHEN {iso} THEN try_to_date(m, 'yyyy-MM-dd') ELSE coalesce(try_to_date(translate(m, '/', '.'), 'dd.MM.yyyy'), try_to_date(m, 'MM/dd/yyyy')) END"
     number = f"datediff({day}, date'{FIRST_DAY}')"
     moved = _let("t", feistel(f"array(cast({number} div {DAY_RADIXES[1]} AS int), {number} % {DAY_RADIXES[1]})", f"array({DAY_RADIXES[0]}, {DAY_RADIXES[1]})", key, "date"), f"date_add(date'{FIRST_DAY}', t[0] * {DAY_RADIXES[1]} + t[1])")
-    date = f"CASE WHEN {iso} THEN date_format({moved}, 'yyyy-MM-dd') ELSE date_format({moved}, concat('dd', substr(m, 3, 1), 'MM', substr(m, 6, 1), 'yyyy')) END"
+    month_first = "try_to_date(translate(m, '/', '.'), 'dd.MM.yyyy') IS NULL"
+    date = f"CASE WHEN {iso} THEN date_format({moved}, 'yyyy-MM-dd') WHEN {month_first} THEN date_format({moved}, 'MM/dd/yyyy') ELSE date_format({moved}, concat('dd', substr(m, 3, 1), 'MM', substr(m, 6, 1), 'yyyy')) END"
+    area = "cast(substr(m, 1, 3) AS int)"
+    possible = f"{area} BETWEEN 1 AND 899 AND {area} <> 666 AND substr(m, 5, 2) <> '00' AND substr(m, 8, 4) <> '0000'"
+    parts = f"array({area} - CASE WHEN {area} < 666 THEN 1 ELSE 2 END, cast(substr(m, 5, 2) AS int) - 1, cast(substr(m, 8, 4) AS int) - 1)"
+    ssn = _let("n", feistel(parts, f"array({SSN[0]}, {SSN[1]}, {SSN[2]})", key, "ssn"), "concat(lpad(cast(n[0] + CASE WHEN n[0] < 665 THEN 1 ELSE 2 END AS string), 3, '0'), '-', lpad(cast(n[1] + 1 AS string), 2, '0'), '-', lpad(cast(n[2] + 1 AS string), 4, '0'))")
     # the same secret in capitals has the same pseudonym in capitals
     alphabet = f"CASE WHEN NOT m RLIKE '[A-F]' THEN '{HEX}' WHEN NOT m RLIKE '[a-f]' THEN '{HEX.upper()}' WHEN c RLIKE '^[0-9]$' THEN '{DIGITS}' WHEN c RLIKE '^[a-f]$' THEN 'abcdef' ELSE 'ABCDEF' END"
     pieces = f"cast(ceil(length(m) / {PIECE}) AS int)"
@@ -132,13 +144,23 @@ def _pseudonym(key: str) -> str:
         WHEN m RLIKE r'^[0-9a-fA-F]{{32,}}$' THEN CASE WHEN length(m) > 128 AND length(replace(m, substr(m, 1, 1), '')) = 0 THEN {none} ELSE {pair("key", secret)} END
         WHEN m RLIKE r'^\\d+\\.\\d+\\.\\d+\\.\\d+$' THEN CASE WHEN exists({octets}, x -> x > 255) THEN {none} ELSE {pair("ip", f"array_join({feistel(octets, 'array(256, 256, 256, 256)', key, 'ip')}, '.')")} END
         WHEN m RLIKE r'^(\\d{{4}}-\\d\\d-\\d\\d|\\d\\d[/.]\\d\\d[/.]\\d{{4}})$' THEN CASE WHEN coalesce({number} BETWEEN 0 AND {DAYS - 1}, false) THEN {pair("date", date)} ELSE {none} END
-        WHEN m RLIKE r'^(\\+|\\()|^\\d{{3}}[.-]\\d{{3}}[ .-]?\\d{{4}}$' THEN {pair("phone", _by_alphabet("m", only_digits, f"i < {country}", key, "phone"))}
+        WHEN m RLIKE r'^\\d{{3}}-\\d{{2}}-\\d{{4}}$' THEN CASE WHEN {possible} THEN {pair("ssn", ssn)} ELSE {none} END
+        WHEN m RLIKE r'^(\\+|\\()|^\\d{{3}}[.-]\\d{{3}}[ .-]?\\d{{4}}$|^\\d{{3}} \\d{{3}} \\d{{4}}$' THEN {pair("phone", _by_alphabet("m", only_digits, f"i < {country}", key, "phone"))}
         WHEN {_let("d", digits, f"{_luhn('d')} % 10 = 0")} THEN {pair("card", card)}
         ELSE {none} END"""
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
-    """docs with the text's personal data replaced, n_pii, and n_<kind> for each of KINDS."""
+def session_key(spark: SparkSession) -> str:
+    """The key that the session has in SETTING; without one the public key, which is for trials, and a warning."""
+    key = spark.conf.get(SETTING, None)
+    if not key:
+        warnings.warn(f"{SETTING} is not set: pseudonyms are made with a public key and hide nothing", stacklevel=3)
+    return key or PUBLIC_KEY
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, column: str = "text") -> DataFrame:
+    """docs with the text's personal data replaced, n_pii, and n_<kind> for each of KINDS. key: by default the session's."""
+    key = session_key(docs.sparkSession) if key is None else key
     pattern = "__pattern"
     taken = {"n_pii", *(f"n_{k}" for k in KINDS)}
     out = docs.select(*[F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(docs.columns)], F.col(f"`{column}`").cast("string").alias("__text"))
@@ -152,7 +174,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, column: str = "text") -> DataF
     return out.select(*own, *[v.alias(f"n_{k}") for k, v in kinds.items()], F.expr("cast(size(filter(__new, x -> x.kind IS NOT NULL)) AS long)").alias("n_pii"))
 
 
-def clean_text(docs: DataFrame, key: str = KEY) -> DataFrame:
+def clean_text(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs, all columns as they were but for the text."""
     hidden = docs.select(*[F.col(f"`{c}`").alias(c if c == "text" else f"__in_{i}") for i, c in enumerate(docs.columns)])
     out = pseudonymise(hidden, key)

@@ -3,14 +3,15 @@
 Each rule compares one measure of a text with a cutoff. Labelled rows are the holdout: for every
 stratum, rule and candidate cutoff the false rejections among rows labelled good are counted, and
 the exact binomial tail P(X <= k | n, alpha) says how surely the rate of false rejections is below
-alpha. Cutoffs are certified if that tail is at most delta divided by the number of rules and strata
+alpha. The rules share a limit: each gets an even part of LIMIT as its alpha, so all of them together falsely reject
+less than LIMIT of a stratum's good documents, with probability 1 - delta for all strata at once. Cutoffs are certified if that tail is at most delta divided by the number of rules and strata
 (Bonferroni); within one rule they are tested from the most lenient to the strictest, each only if
 all before it passed, which needs no further correction. Among the certified ones the rule takes the
 cutoff that best separates bad rows from good ones, the most lenient of equals; a rule that certifies
 nothing, or gains nothing, is off in its stratum.
 
 Null or empty text has no words and fails the base rule. Documents without a stratum form a stratum of
-their own. Without labels all rules are off. Several labels of a document all count. Extra columns are carried along by
+their own. Without labels all rules are off. A document counts once: it is good if all its labels say so. Extra columns are carried along by
 `accepted` and ignored elsewhere; an empty table gives an empty result.
 """
 
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import SPACE, WORD, materialise, small_side
 
-ALPHA = 0.02
+#: The share of a stratum's good documents that all rules together may reject, and the risk that it is more.
+LIMIT = 0.1
 DELTA = 0.1
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
@@ -34,6 +36,11 @@ RULES: dict[str, tuple[float, ...]] = {
     "mean_word_length": (40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 12.0),
 }
 
+#: A rule's share of the limit.
+ALPHA = LIMIT / len(RULES)
+#: Labels that are sent to every task, about 30 bytes each; with more, documents meet them after they are measured.
+LABELS = 500_000
+
 
 def _without(text: str, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
@@ -106,9 +113,14 @@ def _stratum(docs: DataFrame) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rules as one row for each stratum: stratum, and a column cut_<rule> that is null where the rule is off."""
-    seen = measures(docs, F.col("doc_id").alias("__id"), _stratum(docs).alias("stratum")).drop("__text")
-    good = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), (F.col("quality") == 1).alias("good"))
-    labelled = materialise(seen.join(good, "__id").drop("__id"), "labelled")
+    good = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg((F.min("quality") == 1).alias("good"))
+    few = small_side(good, LABELS)
+    if few is good:
+        labelled = measures(docs, F.col("doc_id").alias("__id"), _stratum(docs).alias("stratum")).drop("__text").join(good, "__id")
+    else:  # only labelled documents are measured
+        own = docs.select(F.col("doc_id").alias("__id"), "text", "lang").join(few, "__id")
+        labelled = measures(own, F.col("__id"), F.col("good"), _stratum(own).alias("stratum")).drop("__text")
+    labelled = materialise(labelled.drop("__id"), "labelled")
     rules = options.get("rules", RULES)
     wide = [F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in rules]
     return materialise(cutoffs(labelled, **options).groupBy("stratum").agg(*wide), "cutoffs")

@@ -79,9 +79,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from tessella.llm.token_counts import count_tokens, vocabulary
+    from tessella.llm.token_counts import count_tokens, learn, vocabulary
 
-    return count_tokens(table(spark, sf_dir, "documents"), vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    docs = table(spark, sf_dir, "documents")
+    return count_tokens(docs, learn(docs, vocabulary(public_tokenizers.path("piece_bpe_32k.model"))))
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

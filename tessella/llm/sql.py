@@ -39,7 +39,7 @@ QUALITY = rf"""
     repeats AS (SELECT doc_id, count(DISTINCT spot) AS r FROM twice GROUP BY doc_id),
     counts AS (SELECT doc_id, stratum, len(w) AS n_words, length(solid) AS word_chars, length(solid) - length(regexp_replace(solid, '[#*$%&|<>]+', '', 'g')) AS n_symbols, length(solid) - length(regexp_replace(solid, '\p{{Lu}}+', '', 'g')) AS upper, length(solid) - length(regexp_replace(solid, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS other, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words FROM texts LEFT JOIN repeats USING (doc_id)),
     measured AS (SELECT *, coalesce(CAST(n_symbols AS DOUBLE) / nullif(n_words, 0), 0) AS symbols_per_word, coalesce(CAST(upper AS DOUBLE) / nullif(word_chars, 0), 0) AS upper_share, coalesce(CAST(other AS DOUBLE) / nullif(word_chars, 0), 0) AS punctuation_share, coalesce(CAST(n_dup_lines AS DOUBLE) / nullif(n_lines, 0), 0) AS dup_line_share, coalesce(CAST(word_chars AS DOUBLE) / nullif(n_words, 0), 0) AS mean_word_length FROM counts),
-    labelled AS (SELECT measured.*, quality = 1 AS good FROM measured JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+    labelled AS (SELECT measured.*, quality = 1 AS good FROM measured JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)),
     tested AS (SELECT stratum, rule, step, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND out) AS k, count(*) FILTER (WHERE NOT good) AS bad, count(*) FILTER (WHERE NOT good AND out) AS caught FROM ({_TESTS}) GROUP BY ALL),
     gains AS (SELECT *, caught / nullif(CAST(bad AS DOUBLE), 0) - k / nullif(CAST(n AS DOUBLE), 0) AS gain, n > 0 AND k < n * {ALPHA} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})))) <= {DELTA} / ({len(RULES)} * (SELECT count(DISTINCT stratum) FROM labelled)) AS certified FROM tested),
     chosen AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, step) AS place FROM gains WHERE certified AND gain > 0) WHERE place = 1),

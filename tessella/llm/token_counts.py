@@ -5,9 +5,10 @@ they span. A node's forward score is the best score of any segmentation of the p
 computed once, when the node is first entered, and serves all pre-tokens below. What a pre-token's last
 node holds, its number of pieces, is stored, so a text costs one look-up a word.
 
-A pre-token is a word with a mark in front, as vocabularies of this kind have it. Pieces score by
-rank under Zipf's law (the vocabulary orders pieces, it has no frequencies). A character that no
-piece has costs one piece for each of its UTF-8 bytes. Equal scores go to the longer last piece.
+A pre-token is a word with a mark in front, as vocabularies of this kind have it. The vocabulary orders its pieces but has
+no frequencies. They are learned from the corpus by one step of expectation and maximisation with best segmentations: all
+words of all documents are cut under scores by rank (Zipf's law), the pieces are counted, and a piece's score is the
+logarithm of its share. A character that no piece has costs one piece for each of its UTF-8 bytes. Equal scores go to the longer last piece.
 
 Null or empty text has no tokens. Equal rows get equal counts. Only doc_id and text are read; an empty table gives an
 empty result. Very long words are scored like others but not remembered.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -50,10 +52,10 @@ class PrefixScores:
             node[""] = score
         self.entered = 0
 
-    def counts(self, words: Iterable[str]) -> Iterator[tuple[str, int]]:
-        """Each word, in sorted order, and its number of pieces."""
+    def _visited(self, words: Iterable[str]) -> Iterator[tuple[str, list[str], list[int], list[int]]]:
+        """Each word, in sorted order, with the path to it; and for each node of the path its pieces and where its last one begins."""
         path: list[str] = []
-        best, pieces = [0.0], [0]
+        best, pieces, begins = [0.0], [0], [0]
         for word in sorted(words):
             text = MARK + word
             same = 0
@@ -61,25 +63,70 @@ class PrefixScores:
                 if a != b:
                     break
                 same += 1
-            del path[same:], best[same + 1 :], pieces[same + 1 :]
+            del path[same:], best[same + 1 :], pieces[same + 1 :], begins[same + 1 :]
             for c in text[same:]:
                 path.append(c)
                 self.entered += 1
                 width = len(c.encode("utf-8", "surrogatepass"))
-                top, n = best[-1] + self.byte * width, pieces[-1] + width
-                node, at, known = self.ends, len(path), False
+                top, n, begin = best[-1] + self.byte * width, pieces[-1] + width, -1
+                node, at = self.ends, len(path)
                 while at:
                     at -= 1
                     node = node.get(path[at])
                     if node is None:
                         break
                     score = node.get("")
-                    if score is not None and (not known or best[at] + score >= top) and (at == len(path) - 1 or best[at] + score >= top):
-                        top, n, known = best[at] + score, pieces[at] + 1, True
+                    if score is not None and best[at] + score >= top:
+                        top, n, begin = best[at] + score, pieces[at] + 1, at
                 best.append(top)
                 pieces.append(n)
+                begins.append(begin)
+            yield word, path, pieces, begins
+
+    def counts(self, words: Iterable[str]) -> Iterator[tuple[str, int]]:
+        """Each word, in sorted order, and its number of pieces."""
+        for word, _, pieces, _ in self._visited(words):
             yield word, pieces[-1]
 
+    def cut(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+        """Each word, in sorted order, and its pieces; characters that no piece has are left out."""
+        for word, path, _, begins in self._visited(words):
+            found, at = [], len(path)
+            while at:
+                if begins[at] >= 0:
+                    found.append("".join(path[begins[at] : at]))
+                at = begins[at] if begins[at] >= 0 else at - 1
+            yield word, found
+
+
+def learn(docs: DataFrame, scores: dict[str, float], smoothing: float = 0.5) -> dict[str, float]:
+    """The vocabulary with scores by how often the best segmentations of all words of docs use each piece."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(scores), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = worker_memory("token_counts", key, lambda: PrefixScores(shared.value))
+        seen: Counter = Counter()
+
+        def send() -> pa.RecordBatch:
+            used: Counter = Counter()
+            for word, pieces in trie.cut(seen):
+                for piece in pieces:
+                    used[piece] += seen[word]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(used), pa.string()), pa.array(list(used.values()), pa.int64())], names=["piece", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(WORDS.findall(text.as_py() or ""))
+                if len(seen) > MEMORY // 4:
+                    yield send()
+        yield send()
+
+    used = docs.select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # pieces at most
+    counts = {r["piece"]: r["n"] for r in used}
+    whole = math.log(sum(counts.values()) + smoothing * len(scores))
+    return {p: math.log(counts.get(p, 0) + smoothing) - whole for p in scores}
+
 
 def count_tokens(docs: DataFrame, scores: dict[str, float]) -> DataFrame:
     """doc_id, n_words and n_tokens of each row. scores: the vocabulary, which is small, sent to every worker."""

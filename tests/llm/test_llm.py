@@ -552,3 +552,97 @@ def test_pipeline_stages_against_their_parts(spark, tmp_path):
             assert {r.doc_id for r in at.collect()} <= {r.doc_id for r in before.collect()}
     lengths = at.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert max(r.n for r in lengths) <= 2048
+
+
+# ---- many ranges, long runs, hot keys
+
+
+@pytest.mark.parametrize("options", [{"hot": 3}, {"parts": 40, "fanout": 6}, {"parts": 7, "hot": 2, "fanout": 2}])
+def test_suffix_dedup_of_texts_that_repeat_themselves(spark, options):
+    rng = random.Random(9)
+    table = corpus(50)
+    units = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 28))) for _ in range(8)]
+    some = lambda n: "".join(rng.choice("xyz ") for _ in range(rng.randint(0, n)))
+    for k in range(80):
+        unit = rng.choice(units)
+        a = rng.randrange(len(unit))
+        table.append((300 + k, some(60) + (unit * 400)[a : a + rng.randint(45, 300)] + some(40) + rng.choice(["", table[rng.randrange(50)][1]]), "en", "a", 1))
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(table, SCHEMA).repartition(3), **options).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in got} == plain_removal(table)
+
+
+def test_runs_of_ten_million_bytes_are_a_few_entries():
+    for unit in ("-", "ab", "abcdefghijk"):
+        text = (unit * 10_000_000)[: 1 << 18].encode()
+        assert len(suffix_dedup.anchors([text])[0]) < 20
+    which, start, extent = suffix_dedup._strings(np.array([30]), np.array([64 * 1000 + 2 * 2]), np.array([4000]))
+    assert len(which) < 100 and int((start + extent).max()) == 30 + 999 * 2
+
+
+def test_suffix_dedup_of_very_long_runs(spark):
+    df = spark.range(2).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("-"), 10_000_000), F.col("id").cast("string")).alias("text"))
+    got = suffix_dedup.repeated_spans(df).orderBy("doc_id").collect()
+    assert [(r.n_removed, r.n_spans) for r in got] == [(0, 0), (10_000_000, 1)]
+
+
+def test_jaccard_join_over_many_ranges(spark):
+    table = corpus(90, 8)
+    got = jaccard_join.join(spark.createDataFrame(table, SCHEMA), parts=11, fanout=3).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(table)
+
+
+# ---- cases of single operators
+
+
+def test_any_vocabulary_packs_as_the_library_cuts(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.WordTokens.knows(public_tokenizers.path("word_bpe_49k.json")) and not packing.WordTokens.knows(path)
+    t, table = Tokenizer.from_file(path), corpus(20)
+    got = packing.pack(spark.createDataFrame(table, SCHEMA), path, with_ids=True).collect()
+    assert {r.doc_id: r.ids for r in got} == {d: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes() for d, x, *_ in table}
+
+
+def test_repeated_query_rows_are_one_query(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [3.0, 1.0]), (2, [2.0, 1.0]), (3, [1.0, 1.0]), (4, [1.0, 5.0]), (5, [0.5, 1.0]), (6, [-1.0, 1.0])]
+    got = metric_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+    large = [(0, [1e16, 1e16]), (1, [1e16, -1e16]), (2, [-1e16, -1e16]), (3, [5e15, 4e15])]
+    got = metric_tree.top_k(spark.createDataFrame(large, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(3, 2**63 - 1), (1, 0), (2, -(2**63))]
+
+
+def test_months_first_blanks_and_social_security_numbers(spark):
+    texts = ["call 555 234 4567 now", "born 12/25/1980 or 25/12/1980", "ssn 123-45-6789, not 000-12-3456", "12 555 234 4567 100 200 3000"]
+    a, b, c, d = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert re.fullmatch(r"call \d{3} \d{3} \d{4} now", a.text) and a.text != texts[0] and a.n_phone == 1
+    month_first, day_first = re.fullmatch(r"born (\S+) or (\S+)", b.text).groups()
+    assert datetime.datetime.strptime(month_first, "%m/%d/%Y") == datetime.datetime.strptime(day_first, "%d/%m/%Y") and b.n_date == 2
+    assert re.fullmatch(r"ssn (?!123-45-6789)\d{3}-\d\d-\d{4}, not 000-12-3456", c.text) and (c.n_ssn, d.n_pii, d.text) == (1, 0, texts[3])
+
+
+def test_piece_frequencies_against_a_plain_count(spark, docs):
+    scores = token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    learned, used = token_counts.learn(docs, scores), collections.Counter()
+    trie = token_counts.PrefixScores(scores)
+    words = collections.Counter(w for r in docs.collect() for w in WORD.findall(r.text))
+    for w, pieces in trie.cut(words):
+        used.update({p: n * words[w] for p, n in collections.Counter(pieces).items()})
+        assert len("".join(pieces)) <= len(w) + 1
+    whole = sum(used.values()) + 0.5 * len(scores)
+    assert learned == pytest.approx({p: math.log((used[p] + 0.5) / whole) for p in scores})
+    assert len(token_counts.learn(docs.filter("false"), scores)) == len(scores)
+
+
+def test_rare_languages_stay_in_the_sample():
+    assert language_id.shares({"en": 10**6, "de": 100, "fr": 10**5}, 10_000) == {"de": 1.0, "fr": 4950 / 10**5, "en": 4950 / 10**6}
+    assert language_id.shares({"en": 5}, 10) == {"en": 1.0} and not language_id.LETTERS.search("½²Ⅷ7_")
+
+
+def test_a_labelled_document_counts_once(spark):
+    table = [(i, f"{'#' * 40 if i % 2 else 'a'} " + " ".join(f"w{i}x{k}" for k in range(20)), "en", "a", 1) for i in range(1200)]
+    labels = [(i, 1 - i % 2, 0) for i in range(1200)]
+    df, schema = spark.createDataFrame(table, SCHEMA), "doc_id long, quality int, toxic int"
+    cuts = [quality_rules.learn(df, spark.createDataFrame(x, schema)).collect() for x in (labels, labels * 3, [*labels, (0, 0, 0)])]
+    assert cuts[0] == cuts[1] and cuts[0][0].cut_symbols_per_word is not None and quality_rules.ALPHA * len(quality_rules.RULES) == quality_rules.LIMIT
