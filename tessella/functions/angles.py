@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,17 +22,21 @@ def from_tangents(tx: Column, ty: Column) -> list[Column]:
 
 
 def from_azimuth(azimuth: Column, elevation: Column) -> list[Column]:
-    """The unit vector of an azimuth (0: +y, clockwise) and an elevation, turned round where it points down."""
+    """The unit vector of an azimuth (0: +y, clockwise) and an elevation, turned round where it points down.
+
+    An elevation beyond a right angle is an error.
+    """
+    elevation = F.when(F.abs(elevation) <= math.pi / 2, elevation).otherwise(F.raise_error(F.lit("elevation beyond a right angle")).cast("double"))
     s = F.when(F.sin(elevation) < 0, -1.0).otherwise(1.0)
     return [s * F.cos(elevation) * F.sin(azimuth), s * F.cos(elevation) * F.cos(azimuth), s * F.sin(elevation)]
 
 
 def rotation(yaw: Column, roll: Column, pitch: Column, order: str = "local") -> list[list[Column]]:
-    """Rz Ry Rx (local) or Rx Ry Rz (global); pitch turns about x, roll about y, yaw about z. Radians."""
+    """Rz Ry Rx (local) or Rx Ry Rz (global); roll turns about x, pitch about y, yaw about z. Radians."""
     one, zero = F.lit(1.0), F.lit(0.0)
     c, s = F.cos, F.sin
-    x = [[one, zero, zero], [zero, c(pitch), -s(pitch)], [zero, s(pitch), c(pitch)]]
-    y = [[c(roll), zero, s(roll)], [zero, one, zero], [-s(roll), zero, c(roll)]]
+    x = [[one, zero, zero], [zero, c(roll), -s(roll)], [zero, s(roll), c(roll)]]
+    y = [[c(pitch), zero, s(pitch)], [zero, one, zero], [-s(pitch), zero, c(pitch)]]
     z = [[c(yaw), -s(yaw), zero], [s(yaw), c(yaw), zero], [zero, zero, one]]
     product = lambda a, b: [[a[i][0] * b[0][j] + a[i][1] * b[1][j] + a[i][2] * b[2][j] for j in range(3)] for i in range(3)]
     return product(product(z, y), x) if order == "local" else product(product(x, y), z)
@@ -40,6 +46,33 @@ def turned(matrix: list[list[Column]], vector: list[Column]) -> list[Column]:
     return [row[0] * vector[0] + row[1] * vector[1] + row[2] * vector[2] for row in matrix]
 
 
+def _dot(a: list[Column], b: list[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def _cross(a: list[Column], b: list[Column]) -> list[Column]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def aimed(v: list[Column], source: list[Column], target: list[Column]) -> list[Column]:
+    """v turned as source must be to point like target: about z first, then by the shortest way. source and target are unit
+    vectors; where they are opposite after the first turn, the second goes by way of the axis that source has least of."""
+    flat = (F.hypot(source[0], source[1]) > 1e-15) & (F.hypot(target[0], target[1]) > 1e-15)
+    psi = F.when(flat, F.atan2(target[1], target[0]) - F.atan2(source[1], source[0])).otherwise(0.0)
+    about_z = lambda u: [F.cos(psi) * u[0] - F.sin(psi) * u[1], F.sin(psi) * u[0] + F.cos(psi) * u[1], u[2]]
+    a, w = about_z(source), about_z(v)
+    cosine, axis = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(a, target))), _cross(a, target)
+    sine = F.sqrt(_dot(axis, axis))
+    size = [F.abs(x) for x in a]
+    first, second = (size[0] < size[1]) & (size[0] < size[2]), size[1] < size[2]
+    other = [F.when(first, 1.0).otherwise(0.0), F.when(~first & second, 1.0).otherwise(0.0), F.when(~first & ~second, 1.0).otherwise(0.0)]
+    side = _cross(a, other)
+    k = [F.when(sine < 1e-15, F.try_divide(s, F.sqrt(_dot(side, side)))).otherwise(F.try_divide(x, sine)) for x, s in zip(axis, side, strict=True)]
+    across, along = _cross(k, w), _dot(k, w)
+    turned_ = [w[i] * cosine + across[i] * sine + k[i] * along * (1 - cosine) for i in range(3)]
+    return [F.when(cosine >= 1 - 1e-12, w[i]).otherwise(turned_[i]) for i in range(3)]
+
+
 def azimuth(v: list[Column]) -> Column:
     return F.atan2(v[0], v[1])
 
@@ -72,10 +105,11 @@ def _corner(a: Column, b: Column) -> Column:
 
 
 def solid_angle(x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
-    """Of a rectangle of tangents, by its four corners."""
-    return _corner(x1, y1) - _corner(x0, y1) - _corner(x1, y0) + _corner(x0, y0)
+    """Of a rectangle of tangents, by its four corners. One that isn't positive is an error."""
+    omega = _corner(x1, y1) - _corner(x0, y1) - _corner(x1, y0) + _corner(x0, y0)
+    return F.when(omega > 0, omega).otherwise(F.raise_error(F.lit("a solid angle that isn't positive")).cast("double"))
 
 
-def effective_area(dot: Column, tx: Column, ty: Column, hori: float, vert: float, dept: float, units: int) -> Column:
+def effective_area(dot: Column, tx: Column, ty: Column, hori: float | Column, vert: float | Column, dept: float | Column, units: int | Column) -> Column:
     """Of panels of a depth, seen under an angle. May be negative, as it isn't clamped."""
     return dot * (hori - dept * F.abs(tx)) * (vert - dept * F.abs(ty)) * units

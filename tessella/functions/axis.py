@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ class Axis:
     nbin: int
     min: float
     max: float
+    #: The interval as it was given or read; without it, by the bounds.
+    given: float | None = field(default=None, compare=False)
 
     def __post_init__(self) -> None:
         if self.nbin < 1 or not self.max > self.min or not math.isfinite(self.max - self.min):
@@ -24,7 +26,7 @@ class Axis:
 
     @property
     def interval(self) -> float:
-        return (self.max - self.min) / self.nbin
+        return (self.max - self.min) / self.nbin if self.given is None else self.given
 
     def index(self, value: Column) -> Column:
         at = F.floor((value - F.lit(self.min) + F.lit(EPSILON * self.interval)) / F.lit(self.interval))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.axis import Axis
+from tessella.functions import geometry
+from tessella.functions.axis import EPSILON, Axis
 
 
 def binned(points: DataFrame, x: Axis, y: Axis, xs: Column, ys: Column) -> DataFrame:
@@ -28,26 +31,44 @@ def last_in_cell(points: DataFrame, x: Axis, y: Axis, xs: Column, ys: Column, z:
     return cells.select("ix", "iy", F.lit(base).alias("zmin"), "zmax", F.when(F.col("zmax") > base, density).otherwise(0.0).alias("density"))
 
 
-def infer_axis(values: DataFrame, column: str, tolerance: float = 1e-4, shifted: bool = True) -> DataFrame:
+def infer_axis(values: DataFrame, column: str, tolerance: float = 1e-4, shifted: bool = True, strict: bool = False) -> DataFrame:
     """min, max, interval, nbin and uniform of the axis that the distinct values stand on; edges half a step out if shifted.
 
-    Only the distinct values are ordered, which are as many as the axis has bins.
+    The interval is the first step; the axis is uniform if no step departs from it by more than `tolerance` of that step. strict: else
+    it is an error. Only the distinct values are ordered, which are as many as the axis has bins.
     """
     distinct = values.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL").distinct()
-    steps = distinct.withColumn("step", F.col("v") - F.lag("v").over(Window.orderBy("v")))
-    out = steps.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.min("step").alias("interval"), F.max("step").alias("widest"))
+    w = Window.orderBy("v")
+    steps = distinct.withColumn("step", F.col("v") - F.lag("v").over(w))
+    steps = steps.withColumn("first", F.first("step", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    out = steps.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.first("first").alias("interval"), F.max(F.abs(F.col("step") - F.col("first")) - F.col("step") * tolerance).alias("off"))
     half = F.col("interval") / 2 if shifted else F.lit(0.0)
     end = F.col("interval") / 2 if shifted else F.col("interval")
     nbin = (F.floor((F.col("high") - F.col("low")) / F.col("interval") + 0.5) + 1).cast("int")
-    return out.select((F.col("low") - half).alias("min"), (F.col("high") + end).alias("max"), "interval", nbin.alias("nbin"), (F.col("widest") - F.col("interval") <= tolerance).alias("uniform"))
+    even = F.col("off") <= 0
+    even = F.when(even, True).otherwise(F.raise_error(F.lit(f"{column} has uneven steps")).cast("boolean")) if strict else even
+    return out.select((F.col("low") - half).alias("min"), (F.col("high") + end).alias("max"), "interval", nbin.alias("nbin"), even.alias("uniform"))
+
 
+def merged(cells: DataFrame, keys: list[str], factor: int, value: str, firsts: list[int] | None = None, bins: list[int] | None = None) -> DataFrame:
+    """Blocks of factor cells a side that are complete, with their mean; others are dropped. firsts: where blocks begin.
 
-def merged(cells: DataFrame, keys: list[str], factor: int, value: str, firsts: list[int] | None = None) -> DataFrame:
-    """Blocks of factor cells a side that are complete, with their mean; others are dropped. firsts: where blocks begin."""
+    bins: the numbers of bins of the axes. With them, only blocks that begin before the last possible beginning are
+    made, so a block that ends with the axis is left out; an axis shorter than a block has one.
+    """
     starts = firsts or [0] * len(keys)
     block = [F.floor((F.col(k) - s) / factor).cast("int").alias(k) for k, s in zip(keys, starts, strict=True)]
-    out = cells.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias(value))
-    return out.filter(F.col("n") == factor ** len(keys)).drop("n")
+    out = cells.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias(value)).filter(F.col("n") == factor ** len(keys)).drop("n")
+    for k, s, n in zip(keys, starts, bins or [], strict=False):
+        out = out.filter((F.col(k) * factor + s < n - factor) | F.lit(n < factor))
+    return out
+
+
+def merged_away(cells: DataFrame, blocks: DataFrame, keys: list[str], factor: int) -> DataFrame:
+    """cells, of which those that went into a block no longer exist (tf_exist)."""
+    gone = blocks.select(*[F.col(k).alias(f"__{k}") for k in keys], F.lit(True).alias("__gone"))
+    on = [F.floor(cells[k] / factor).cast("int") == gone[f"__{k}"] for k in keys]
+    return cells.join(gone, on, "left").withColumn("tf_exist", F.col("tf_exist") & F.col("__gone").isNull()).select(*cells.columns)
 
 
 def split(cells: DataFrame, keys: list[str], factor: int) -> DataFrame:
@@ -82,13 +103,15 @@ def shells(pillars: DataFrame, columns: DataFrame, keys: list[str]) -> DataFrame
 
 
 def voxels(pillars: DataFrame, z: Axis) -> DataFrame:
-    """Cells below the terrain: full bins exist; the one with the surface doesn't, and has a density by its fill."""
+    """Cells of pillars: from the bin of their base up to below that of their top they exist; the one with the top doesn't, and has a
+    density by its fill; all others are empty. A pillar that rises above the axis is an error."""
     iz = F.explode(F.sequence(F.lit(0), F.lit(z.nbin - 1))).alias("iz")
-    out = pillars.select("ix", "iy", "zmin", "zmax", "density", iz)
-    low, high = z.lower(F.col("iz")), z.upper(F.col("iz"))
-    full = (high <= F.col("zmax")) & (low >= F.col("zmin")) & (F.col("density") > 0)
-    fill = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("zmax") - low) / z.interval))
-    return out.select("ix", "iy", "iz", full.alias("tf_exist"), F.when(full, F.col("density")).otherwise(F.col("density") * fill).alias("density"))
+    bin_of = lambda v: F.floor((F.col(v) - z.min + EPSILON * z.interval) / z.interval)
+    out = pillars.select("ix", "iy", "zmax", "density", F.greatest(F.lit(0), bin_of("zmin")).alias("__from"), F.least(F.lit(z.nbin - 1), bin_of("zmax")).alias("__to"), iz)
+    fill = (F.col("zmax") - z.lower(F.col("iz"))) / z.interval
+    full, top = (F.col("__from") <= F.col("iz")) & (F.col("iz") < F.col("__to")), F.col("iz") == F.col("__to")
+    part = F.when(fill <= 1, F.col("density") * F.greatest(F.lit(0.0), fill)).otherwise(F.raise_error(F.lit("a pillar above the grid")).cast("double"))
+    return out.select("ix", "iy", "iz", full.alias("tf_exist"), F.when(full, F.col("density")).when(top, part).otherwise(0.0).alias("density"))
 
 
 def slices(pillars: DataFrame, levels: list[float]) -> DataFrame:
@@ -132,3 +155,68 @@ def profile_along(cells: DataFrame, pillars: DataFrame, x: Axis, y: Axis, rays:
     out = cells.join(pillars.select("ix", "iy", "zmax"), ["ix", "iy"]).join(rays.select("ray_id", "px", "py", "pz"), "ray_id")
     dx, dy = x.center(F.col("ix")) - F.col("px"), y.center(F.col("iy")) - F.col("py")
     return out.select("ray_id", F.sqrt(dx * dx + dy * dy).alias("distance"), (F.col("zmax") - F.col("pz")).alias("height")).filter(F.col("distance") <= most)
+
+
+def in_circle(cells: DataFrame, x: Axis, y: Axis, center: tuple[float, float], radius: float) -> DataFrame:
+    """The cells whose centre is within a circle."""
+    dx, dy = x.center(F.col("ix")) - center[0], y.center(F.col("iy")) - center[1]
+    return cells.filter(dx * dx + dy * dy <= radius * radius)
+
+
+def in_rectangle(cells: DataFrame, x: Axis, y: Axis, low: tuple[float, float], high: tuple[float, float]) -> DataFrame:
+    """The cells whose centre is within a half-open rectangle."""
+    return cells.filter(geometry.in_box([x.center(F.col("ix")), y.center(F.col("iy"))], list(low), list(high)))
+
+
+def lowest_top(pillars: DataFrame, x: Axis, y: Axis, circles: DataFrame) -> DataFrame:
+    """circles (cx, cy, radius) with zmax, the least top of the pillars whose centre is within; of the pillar below the middle, if there is none.
+
+    A middle outside the grid is an error.
+    """
+    dx, dy = x.center(F.col("ix")) - F.col("cx"), y.center(F.col("iy")) - F.col("cy")
+    at = (F.col("ix") == x.index(F.col("cx"))) & (F.col("iy") == y.index(F.col("cy")))
+    within = dx * dx + dy * dy <= F.col("radius") * F.col("radius")
+    met = F.broadcast(circles).join(pillars.select("ix", "iy", F.col("zmax").alias("__z")), within | at)
+    out = met.groupBy(*circles.columns).agg(F.coalesce(F.min(F.when(within, F.col("__z"))), F.min(F.when(at, F.col("__z")))).alias("zmax"))
+    inside = x.index(F.col("cx")).isNotNull() & y.index(F.col("cy")).isNotNull()
+    every = circles.withColumn("cx", F.when(inside, F.col("cx")).otherwise(F.raise_error(F.lit("a circle outside the grid")).cast("double")))
+    return every.join(out, circles.columns)
+
+
+def average_density(shell: DataFrame, cells: DataFrame, area: float, volume: float) -> DataFrame:
+    """One row: mass and volume of pillars (of an area) and of cells that exist (of a volume), together and their ratio."""
+    height = F.col("zmax") - F.col("zmin")
+    one = shell.select((height * area).alias("volume"), (height * area * F.col("density")).alias("mass"))
+    other = cells.filter("tf_exist").select(F.lit(volume).alias("volume"), (F.col("density") * volume).alias("mass"))
+    out = one.unionByName(other).agg(F.sum("volume").alias("volume"), F.sum("mass").alias("mass"))
+    return out.withColumn("density", F.try_divide("mass", "volume"))
+
+
+def reconstructed(cells: DataFrame, axes: list[Axis], center: tuple[float, float, float], widths: tuple[float, float, float], radii: tuple[float, float] | None = None, angle: float = 0.0) -> DataFrame:
+    """The cells whose centre is within a box of full widths around a place, and within an upright elliptic cylinder there, if radii are given."""
+    at = [a.center(F.col(f"i{n}")) for a, n in zip(axes, "xyz", strict=True)]
+    inside = geometry.in_box(at, [c - w / 2 for c, w in zip(center, widths, strict=True)], [c + w / 2 for c, w in zip(center, widths, strict=True)])
+    return cells.filter(inside & geometry.in_ellipse(at[0], at[1], center[:2], radii, angle) if radii else inside)
+
+
+def single_shell(pillars: DataFrame, columns: DataFrame, x: Axis, y: Axis, other_x: Axis, other_y: Axis) -> DataFrame:
+    """pillars raised to the highest cell (z_high) of the coarser column that holds their centre; others stay."""
+    placed = pillars.withColumns({"__x": other_x.index(x.center(F.col("ix"))), "__y": other_y.index(y.center(F.col("iy")))})
+    top = columns.select(F.col("ix").alias("__x"), F.col("iy").alias("__y"), "z_high")
+    return placed.join(top, ["__x", "__y"], "left").withColumn("zmin", F.coalesce("z_high", "zmin")).select(*pillars.columns)
+
+
+def nearest_slice(nodes: DataFrame, x: Axis, at: float) -> DataFrame:
+    """iy and z of the column whose lower edge is nearest to a place."""
+    i = min(x.nbin - 1, max(0, math.floor((at - x.min) / x.interval + 0.5)))
+    return nodes.filter(F.col("ix") == i).select("iy", "z")
+
+
+def interpolated_slice(nodes: DataFrame, x: Axis, at: float) -> DataFrame:
+    """iy and z at a place between two columns; the last column stands for what is beyond it."""
+    if not x.min <= at < x.max:
+        raise ValueError("a place outside the axis")
+    i = min(x.nbin - 1, math.floor((at - x.min) / x.interval + EPSILON))
+    f = (at - x.min) / x.interval - i
+    both = nodes.filter(F.col("ix").isin(i, i + 1)).groupBy("iy").agg(F.max(F.when(F.col("ix") == i, F.col("z"))).alias("a"), F.max(F.when(F.col("ix") == i + 1, F.col("z"))).alias("b"))
+    return both.select("iy", (F.col("a") * (1 - f) + F.coalesce("b", "a") * f).alias("z"))

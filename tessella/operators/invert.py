@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.physics import covariance
+
 #: A dense solve takes place in one worker; more unknowns are an error.
 MOST_UNKNOWNS = 20_000
 
@@ -21,33 +25,102 @@ def posterior(a: np.ndarray, residual: np.ndarray, noise: np.ndarray, prior: np.
     return covariance @ (weighted @ residual), covariance
 
 
+def prior_covariance(sigma: float, lengths: tuple[float, ...], kind: str = "iso", diagonal: float = 0.0):
+    """A function of coordinates (n, 3) that gives the covariance of the places: as functions.physics.covariance says it."""
+
+    def of(xyz: np.ndarray) -> np.ndarray:
+        apart = lambda axes: np.sqrt(sum((xyz[:, None, i] - xyz[None, :, i]) ** 2 for i in axes))
+        if kind == "iso":
+            reach = apart((0, 1, 2)) / lengths[0]
+        else:
+            flat, deep = apart((0, 1)) / lengths[0], apart((2,)) / lengths[1]
+            reach = {"separable": lambda: flat + deep, "ellipsoidal": lambda: np.sqrt(flat**2 + deep**2)}[kind]()
+        out = sigma**2 * np.exp(-reach)
+        np.fill_diagonal(out, (diagonal if diagonal > 0 else sigma) ** 2)
+        return out
+
+    of.of_places = True
+    return of
+
+
 def solved(matrix: DataFrame, observed: DataFrame, unknowns: DataFrame, kernel, by: str = "run") -> DataFrame:
     """by, col, density and error of each run.
 
     matrix: by, row, col, value. observed: by, row, residual, variance. unknowns: col, x, y, z, prior; the same for all runs.
-    kernel: (dx, dy, dz) arrays -> covariance.
+    kernel: (dx, dy, dz) arrays -> covariance, or what prior_covariance gives. The covariance is made where it is used, once for all runs of a task.
     """
     n = unknowns.count()
     if n > MOST_UNKNOWNS:
         raise ValueError(f"{n} unknowns; a dense solve takes {MOST_UNKNOWNS} at most")
     place = unknowns.orderBy("col").toPandas()  # bounded by the check above
-    xyz = place[["x", "y", "z"]].to_numpy(float)
-    d = xyz[:, None, :] - xyz[None, :, :]
-    prior = kernel(d[..., 0], d[..., 1], d[..., 2])
-    cols, start = place["col"].to_numpy(), place["prior"].to_numpy(float)
-    kind = matrix.schema[by].dataType.simpleString()
+    xyz, cols, start = place[["x", "y", "z"]].to_numpy(float), place["col"].to_numpy(), place["prior"].to_numpy(float)
+    kind, made = matrix.schema[by].dataType.simpleString(), {}
+
+    def prior() -> np.ndarray:
+        if not made:
+            made[0] = kernel(xyz) if getattr(kernel, "of_places", False) else kernel(*(xyz[:, None, i] - xyz[None, :, i] for i in range(3)))
+        return made[0]
 
     def run(key: tuple, cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         order = {r: i for i, r in enumerate(rows["row"])}
         a = np.zeros((len(rows), len(cols)))
         kept = cells[cells["row"].isin(order)]
         np.add.at(a, (kept["row"].map(order).to_numpy(int), np.searchsorted(cols, kept["col"])), kept["value"].to_numpy(float))
-        change, covariance = posterior(a, rows["residual"].to_numpy(float), rows["variance"].to_numpy(float), prior)
+        change, covariance = posterior(a, rows["residual"].to_numpy(float), rows["variance"].to_numpy(float), prior())
         return pd.DataFrame({by: key[0], "col": cols, "density": start + change, "error": np.sqrt(np.maximum(0, np.diag(covariance)))})
 
     return matrix.groupBy(by).cogroup(observed.groupBy(by)).applyInPandas(run, f"{by} {kind}, col long, density double, error double")
 
 
+def nonnegative(a: np.ndarray, b: np.ndarray, start: np.ndarray, weight: float, most: int = 10_000, near: float = 1e-12) -> np.ndarray:
+    """The x >= 0 with the least |a x - b|^2 + weight |x - start|^2, by accelerated projected gradients."""
+    step = 1 / (np.linalg.norm(a, 2) ** 2 + weight)
+    x = y = np.maximum(start, 0.0)
+    t = 1.0
+    for _ in range(most):
+        new = np.maximum(0.0, y - step * (a.T @ (a @ y - b) + weight * (y - start)))
+        ahead = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        back = (y - new) @ (new - x) > 0  # the momentum leads up again
+        y = new if back else new + (t - 1) / ahead * (new - x)
+        t = 1.0 if back else ahead
+        if np.abs(new - x).max(initial=0) <= near * (1 + np.abs(new).max(initial=0)) and not back:
+            return new
+        x = new
+    return x
+
+
+def solved_nonnegative(matrix: DataFrame, observed: DataFrame, unknowns: DataFrame, weight: float, by: str = "run") -> DataFrame:
+    """by, col and density of each run: least squares of the observations with densities that aren't negative, held to the prior by weight.
+
+    matrix: by, row, col, value. observed: by, row, value. unknowns: col, prior.
+    """
+    n = unknowns.count()
+    if n > MOST_UNKNOWNS:
+        raise ValueError(f"{n} unknowns; a dense solve takes {MOST_UNKNOWNS} at most")
+    place = unknowns.orderBy("col").toPandas()  # bounded by the check above
+    cols, start = place["col"].to_numpy(), place["prior"].to_numpy(float)
+    kind = matrix.schema[by].dataType.simpleString()
+
+    def run(key: tuple, cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        order = {r: i for i, r in enumerate(rows["row"])}
+        a = np.zeros((len(rows), len(cols)))
+        np.add.at(a, (cells["row"].map(order).to_numpy(int), np.searchsorted(cols, cells["col"])), cells["value"].to_numpy(float))
+        return pd.DataFrame({by: key[0], "col": cols, "density": nonnegative(a, rows["value"].to_numpy(float), start, weight)})
+
+    return matrix.groupBy(by).cogroup(observed.groupBy(by)).applyInPandas(run, f"{by} {kind}, col long, density double")
+
+
+def pairs(places: DataFrame, sigma: float, lengths: tuple[float, ...], kind: str = "iso", diagonal: float = 0.0) -> DataFrame:
+    """one, other and the covariance of all pairs of places (col, x, y, z): as many as a dense solve takes, or an error."""
+    n = places.count()
+    if n > MOST_UNKNOWNS:
+        raise ValueError(f"{n} places; a dense covariance takes {MOST_UNKNOWNS} at most")
+    one, other = (places.select(*[F.col(c).alias(f"{c}{i}") for c in ("col", "x", "y", "z")]) for i in (1, 2))
+    d = [F.col(f"{c}1") - F.col(f"{c}2") for c in "xyz"]
+    value = covariance(kind, F.col("col1") == F.col("col2"), *d, sigma, lengths, diagonal)
+    return one.crossJoin(F.broadcast(other)).select(F.col("col1").alias("one"), F.col("col2").alias("other"), value.alias("value"))
+
+
 def largest_change(runs: DataFrame, whole: DataFrame, least: float = 1e-6) -> DataFrame:
     """col and the largest change against the whole, over runs that changed anything at all."""
     moved = runs.join(whole.select("col", F.col("density").alias("__whole")), "col").withColumn("change", F.abs(F.col("density") - F.col("__whole")))

@@ -62,19 +62,43 @@ def traverse(p: np.ndarray, v: np.ndarray, low: np.ndarray, step: np.ndarray, n:
     return cells[ok], np.diff(t)[ok]
 
 
+#: Crossings that are worked out at once, which bounds memory.
+AT_ONCE = 2_000_000
+
+
+def traverse_all(p: np.ndarray, v: np.ndarray, low: np.ndarray, step: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ray, cell (k, d) and length of all stretches of many rays: a row of crossings for each ray, sorted along it."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ends = np.stack([(low - p) / v, (low + n * step - p) / v])
+    moves, inside = v != 0, (p >= low) & (p <= low + n * step)
+    t0 = np.where(moves, ends.min(axis=0), np.where(inside, -np.inf, np.inf)).max(axis=1, initial=0.0)
+    t1 = np.where(moves, ends.max(axis=0), np.where(inside, np.inf, -np.inf)).min(axis=1)
+    met = np.flatnonzero((t1 > t0) & np.isfinite(t1))
+    p, v, t0, t1 = p[met], v[met], t0[met, None], t1[met, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        planes = [(low[i] + np.arange(n[i] + 1) * step[i] - p[:, i, None]) / v[:, i, None] for i in range(len(n))]
+    t = np.concatenate([t0, *[np.clip(np.where(np.isfinite(x), x, t0), t0, t1) for x in planes], t1], axis=1)
+    t.sort(axis=1)
+    ray, at = np.nonzero(np.diff(t, axis=1) > 0)
+    a, b = t[ray, at], t[ray, at + 1]
+    cells = np.floor((p[ray] + (a + b)[:, None] / 2 * v[ray] - low) / step).astype(int)
+    ok = ((cells >= 0) & (cells < n)).all(axis=1)
+    return met[ray[ok]], cells[ok], (b - a)[ok]
+
+
 def traced(rays: DataFrame, axes: list[Axis]) -> DataFrame:
     """What `crossings` gives, by batches of rays: no sort and no shuffle, for grids of many planes."""
     names = "xyz"[: len(axes)]
     low, step, n = (np.array([getattr(a, k) for a in axes]) for k in ("min", "interval", "nbin"))
+    some = max(1, AT_ONCE // int(n.sum()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            ids = batch["ray_id"].to_numpy()
             p, v = (batch[[f"{k}{x}" for x in names]].to_numpy(float) for k in "pv")
-            found = [traverse(a, b, low, step, n) for a, b in zip(p, v, strict=True)]
-            if found:
-                ids = np.repeat(batch["ray_id"].to_numpy(), [len(length) for _, length in found])
-                cells = np.concatenate([c for c, _ in found])
-                yield pd.DataFrame({"ray_id": ids, **{f"i{x}": cells[:, k] for k, x in enumerate(names)}, "length": np.concatenate([length for _, length in found])})
+            for a in range(0, len(ids), some):
+                ray, cells, length = traverse_all(p[a : a + some], v[a : a + some], low, step, n)
+                yield pd.DataFrame({"ray_id": ids[a + ray], **{f"i{x}": cells[:, k] for k, x in enumerate(names)}, "length": length})
 
     columns = ", ".join(f"i{x} int" for x in names)
     return rays.select("ray_id", *[f"{k}{x}" for k in "pv" for x in names]).mapInPandas(run, f"ray_id long, {columns}, length double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -9,9 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def prefix_sums(cells: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """cells with s, the sum over all cells of both indices up to theirs. Two stacked running sums; rows may be missing where a value is 0."""
+def filled(cells: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, ix, iy and value of every cell from 0 to the largest indices; the value is 0 where there was none."""
+    bounds = cells.groupBy(*by).agg(F.max("ix").alias("__x"), F.max("iy").alias("__y")).filter("__x IS NOT NULL")
+    every = bounds.select(*by, F.explode(F.sequence(F.lit(0), F.col("__x").cast("int"))).alias("ix"), "__y").select(*by, "ix", F.explode(F.sequence(F.lit(0), F.col("__y").cast("int"))).alias("iy"))
+    kinds = {c: cells.schema[c].dataType for c in ("ix", "iy", value)}
+    every = every.withColumns({c: F.col(c).cast(kinds[c]) for c in ("ix", "iy")})
+    return every.join(cells.select(*by, "ix", "iy", value), [*by, "ix", "iy"], "left").withColumn(value, F.coalesce(value, F.lit(0).cast(kinds[value])))
+
+
+def prefix_sums(cells: DataFrame, value: str, by: list[str] | None = None, full: bool = False) -> DataFrame:
+    """s, the sum over all cells of both indices up to a cell's: two stacked running sums over a full grid.
+
+    full: whether all cells are there; their other columns then stay. If not, missing ones count as 0 and are added.
+    """
     by = by or []
+    cells = cells if full else filled(cells, value, by)
     along = F.sum(value).over(Window.partitionBy(*by, "iy").orderBy("ix"))
     up = F.sum("__row").over(Window.partitionBy(*by, "ix").orderBy("iy"))
     return cells.withColumn("__row", along).withColumn("s", up).drop("__row")
@@ -43,6 +57,21 @@ def islands(rows: DataFrame, inside: Column, by: list[str], order: list[str]) ->
     return numbered.groupBy(*by, "island").agg(F.count(F.lit(1)).alias("n"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
 
 
+def transitions(cells: DataFrame, inside: Column, near: float = 1e-9) -> DataFrame:
+    """ray_id and changes: distances at which a ray enters (tf_in) and leaves what is inside, in order and in turn.
+
+    cells: ray_id and the stretch (t0, t1) of every cell that a ray crosses. A ray leaves where the next cell isn't inside, doesn't follow
+    on, or is missing.
+    """
+    w = Window.partitionBy("ray_id").orderBy("t0")
+    marked = cells.withColumn("__in", inside).withColumns({"__on": F.coalesce(F.lag("__in").over(w) & (F.abs(F.lag("t1").over(w) - F.col("t0")) <= near), F.lit(False)), "__goes": F.coalesce(F.lead("__in").over(w) & (F.abs(F.lead("t0").over(w) - F.col("t1")) <= near), F.lit(False))}).filter("__in")
+    change = lambda tf, t: F.struct(F.col(t).alias("dist"), F.lit(tf).alias("tf_in"))
+    both = F.concat(F.when(~F.col("__on"), F.array(change(True, "t0"))).otherwise(F.array()), F.when(~F.col("__goes"), F.array(change(False, "t1"))).otherwise(F.array()))
+    found = marked.select("ray_id", F.explode(both).alias("c"))
+    # a ray that leaves and enters at one distance leaves first
+    return found.groupBy("ray_id").agg(F.array_sort(F.collect_list("c")).alias("changes"))
+
+
 def trapezoid(rows: DataFrame, x: Column, y: Column, by: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order)
     piece = (x - F.lag(x).over(w)) * (y + F.lag(y).over(w)) / 2
@@ -50,10 +79,16 @@ def trapezoid(rows: DataFrame, x: Column, y: Column, by: list[str], order: list[
 
 
 def sign_flips(rows: DataFrame, value: Column, by: list[str], order: list[str]) -> DataFrame:
-    """Of each line: values, share of positive ones, and share of neighbours (zeros left out) whose signs differ."""
-    signed = rows.withColumn("__s", F.signum(value)).filter("__s <> 0")
-    flips = signed.withColumn("__f", F.when(F.lag("__s").over(Window.partitionBy(*by).orderBy(*order)) != F.col("__s"), 1).otherwise(0))
-    return flips.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("__s") > 0, 1.0).otherwise(0.0)).alias("positive"), F.try_divide(F.sum("__f"), F.count(F.lit(1)) - 1).alias("flips"))
+    """Of each line: points, those that aren't finite, the share of positive ones, and sign changes by points less one.
+
+    A change is between a value and the last one before it that is neither 0 nor infinite nor missing.
+    """
+    sound = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    signed = rows.withColumn("__s", F.when(sound & (value != 0), F.signum(value)))
+    before = F.last("__s", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    flips = signed.withColumn("__f", F.when(before != F.col("__s"), 1).otherwise(0)).withColumn("__ok", sound)
+    out = flips.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("__ok"), 1)).alias("broken"), F.count(F.when(F.col("__s") > 0, 1)).alias("__p"), F.sum("__f").alias("__f"))
+    return out.select(*by, "n", "broken", (F.col("__p") / F.col("n")).alias("positive"), F.coalesce(F.try_divide(F.col("__f"), F.col("n") - 1), F.lit(0.0)).alias("flips"))
 
 
 def uniform(rows: DataFrame, value: str, by: list[str], tolerance: float) -> DataFrame:
@@ -67,9 +102,11 @@ def contiguous(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/tessella"
-    return where.rstrip("/")
+    """spark.checkpoint.dir, or a folder of our own where it is unset and one machine does everything."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (where or "file:///tmp/checkpoints/tessella").rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

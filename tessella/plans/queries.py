@@ -36,12 +36,6 @@ def query(sql: str | None) -> Callable:
     return register
 
 
-def whole_sql(name: str, cut: str) -> str:
-    """A query's SQL without the filter that cuts its rows."""
-    assert cut in SQL[name]
-    return SQL[name].replace(cut, "")
-
-
 def bin_sql(column: str, a: Axis) -> str:
     at = f"floor(({column} - ({a.min!r}) + {EPSILON * a.interval!r}) / {a.interval!r})"
     return f"CASE WHEN {column} >= {a.min!r} AND {column} < {a.max!r} THEN CAST(least({at}, {a.nbin - 1}) AS INTEGER) END"
@@ -93,15 +87,24 @@ def pillars_last_wins(t):
     return grid.last_in_cell(t("lineitem"), X, Y, F.col("l_quantity"), F.col("l_discount"), F.col("l_extendedprice"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice"), 2000.0, 2.5)
 
 
-@query("""WITH d AS (SELECT DISTINCT l_quantity AS v FROM lineitem), s AS (SELECT v, v - lag(v) OVER (ORDER BY v) AS step FROM d)
-    SELECT min(v) - min(step) / 2 AS min, max(v) + min(step) / 2 AS max, min(step) AS interval, CAST(floor((max(v) - min(v)) / min(step) + 0.5) + 1 AS INTEGER) AS nbin, max(step) - min(step) <= 1e-4 AS uniform FROM s""")
+@query("""WITH d AS (SELECT DISTINCT l_quantity AS v FROM lineitem), s AS (SELECT v, v - lag(v) OVER (ORDER BY v) AS step FROM d), f AS (SELECT step AS first FROM s WHERE step IS NOT NULL ORDER BY v LIMIT 1)
+    SELECT min(v) - first / 2 AS min, max(v) + first / 2 AS max, first AS interval, CAST(floor((max(v) - min(v)) / first + 0.5) + 1 AS INTEGER) AS nbin, max(abs(step - first) - step * 1e-4) <= 0 AS uniform FROM s, f GROUP BY first""")
 def axis_infer(t):
     return grid.infer_axis(t("lineitem"), "l_quantity")
 
 
-@query(f"WITH {RASTER} SELECT CAST(floor(ix / 2.0) AS INTEGER) AS ix, CAST(floor(iy / 2.0) AS INTEGER) AS iy, round(avg(z), 4) AS z FROM raster GROUP BY 1, 2 HAVING count(*) = 4")
+#: A block that ends with the axis isn't made.
+MERGED = f"{RASTER}, merged AS (SELECT CAST(floor(ix / 2.0) AS INTEGER) AS ix, CAST(floor(iy / 2.0) AS INTEGER) AS iy, round(avg(z), 4) AS z FROM raster WHERE floor(ix / 2.0) * 2 < 10 - 2 AND floor(iy / 2.0) * 2 < 11 - 2 GROUP BY 1, 2 HAVING count(*) = 4)"
+
+
+@query(f"WITH {MERGED} SELECT * FROM merged")
 def grid_merge_complete(t):
-    return grid.merged(raster(t), ["ix", "iy"], 2, "z").withColumn("z", F.round("z", 4))
+    return grid.merged(raster(t), ["ix", "iy"], 2, "z", bins=[X.nbin, Y.nbin]).withColumn("z", F.round("z", 4))
+
+
+@query(f"WITH {MERGED} SELECT r.ix, r.iy, m.ix IS NULL AS tf_exist FROM raster r LEFT JOIN merged m ON m.ix = floor(r.ix / 2.0) AND m.iy = floor(r.iy / 2.0)")
+def grid_merge_consumes(t):
+    return grid.merged_away(raster(t).select("ix", "iy", F.lit(True).alias("tf_exist")), grid_merge_complete(t), ["ix", "iy"], 2)
 
 
 @query(f"WITH {RASTER} SELECT ix * 2 + a AS ix, iy * 2 + b AS iy, n, z FROM raster, (VALUES (0), (1)) AS p(a), (VALUES (0), (1)) AS q(b)")
@@ -109,8 +112,7 @@ def grid_split(t):
     return grid.split(raster(t), ["ix", "iy"], 2)
 
 
-@query(f"""WITH {RASTER}, m AS (SELECT CAST(floor(ix / 2.0) AS INTEGER) AS mx, CAST(floor(iy / 2.0) AS INTEGER) AS my, round(avg(z), 4) AS mz FROM raster GROUP BY 1, 2 HAVING count(*) = 4)
-    SELECT ix, iy, n, coalesce(mz, z) AS z FROM raster LEFT JOIN m ON mx = floor(ix / 2.0) AND my = floor(iy / 2.0)""")
+@query(f"WITH {MERGED} SELECT r.ix, r.iy, n, coalesce(m.z, r.z) AS z FROM raster r LEFT JOIN merged m ON m.ix = floor(r.ix / 2.0) AND m.iy = floor(r.iy / 2.0)")
 def grid_overlay(t):
     r = raster(t)
     return grid.overlaid(r, grid_merge_complete(t), ["ix", "iy"], 2, "z")
@@ -162,11 +164,11 @@ def shell_split(t):
     return grid.shells(pillars, columns, ["ix", "iy"]).select("ix", "iy", *[F.round(c, 3).alias(c) for c in ("upper", "lower", "lateral")])
 
 
-@query(f"""WITH {RASTER}, v AS (SELECT ix, iy, CAST(iz AS INTEGER) AS iz, z / n AS top, iz * 10000.0 AS low FROM raster, generate_series(0, 7) AS g(iz))
-    SELECT ix, iy, iz, low + 10000.0 <= top AS tf_exist, round(CASE WHEN low + 10000.0 <= top THEN 2.0 ELSE 2.0 * greatest(0, least(1, (top - low) / 10000.0)) END, 6) AS density FROM v""")
+@query(f"""WITH {RASTER}, v AS (SELECT ix, iy, CAST(iz AS INTEGER) AS iz, z / n AS top, ix * 1500.0 AS base, iz * 10000.0 AS low FROM raster, generate_series(0, 11) AS g(iz))
+    SELECT ix, iy, iz, iz >= floor(base / 10000) AND iz < floor(top / 10000) AS tf_exist, round(CASE WHEN iz >= floor(base / 10000) AND iz < floor(top / 10000) THEN 2.0 WHEN iz = floor(top / 10000) THEN 2.0 * (top - low) / 10000 ELSE 0 END, 6) AS density FROM v""")
 def voxelise(t):
-    pillars = raster(t).select("ix", "iy", F.lit(0.0).alias("zmin"), (F.col("z") / F.col("n")).alias("zmax"), F.lit(2.0).alias("density"))
-    return grid.voxels(pillars, Axis("z", 8, 0.0, 80000.0)).withColumn("density", F.round("density", 6))
+    pillars = raster(t).select("ix", "iy", (F.col("ix") * 1500.0).alias("zmin"), (F.col("z") / F.col("n")).alias("zmax"), F.lit(2.0).alias("density"))
+    return grid.voxels(pillars, Axis("z", 12, 0.0, 120000.0)).withColumn("density", F.round("density", 6))
 
 
 @query(f"WITH {RASTER} SELECT ix, iy, CAST(h AS DOUBLE) AS z, CASE WHEN 0 <= h AND h < z / n THEN 2.0 ELSE 0.0 END AS density FROM raster, (VALUES (20000), (40000)) AS s(h)")
@@ -198,24 +200,22 @@ def grid_difference(t):
 # ---- rays
 
 
-RAYS = "rays AS (SELECT o_orderkey AS ray_id, -1.0 AS px, CAST(o_custkey % 10 AS DOUBLE) + 0.35 AS py, 1.0 AS vx, (o_orderkey % 7 - 3) * 0.11 AS vy FROM orders WHERE o_orderkey % 5 = 0)"
+RAYS = "rays AS (SELECT o_orderkey AS ray_id, -1.0 AS px, CAST(o_custkey % 10 AS DOUBLE) + 0.35 AS py, 1.0 AS vx, (o_orderkey % 7 - 3) * 0.11 AS vy FROM orders)"
 
 
-def rays(t, every: bool = False) -> DataFrame:
-    """A ray for each fifth order, or for every one; the queries *_all take every one."""
-    orders = t("orders") if every else t("orders").filter("o_orderkey % 5 = 0")
-    return orders.select(F.col("o_orderkey").alias("ray_id"), F.lit(-1.0).alias("px"), ((F.col("o_custkey") % 10).cast("double") + 0.35).alias("py"), F.lit(1.0).alias("vx"), ((F.col("o_orderkey") % 7 - 3) * 0.11).alias("vy"))
+def rays(t) -> DataFrame:
+    return t("orders").select(F.col("o_orderkey").alias("ray_id"), F.lit(-1.0).alias("px"), ((F.col("o_custkey") % 10).cast("double") + 0.35).alias("py"), F.lit(1.0).alias("vx"), ((F.col("o_orderkey") % 7 - 3) * 0.11).alias("vy"))
 
 
 @query(f"""WITH {RAYS}, boxes AS (SELECT n_nationkey, n_nationkey * 1.0 AS x0, n_nationkey * 1.0 + 2 AS x1, (n_nationkey % 6) * 1.0 AS y0, (n_nationkey % 6) * 1.0 + 3 AS y1 FROM nation),
     s AS (SELECT ray_id, n_nationkey, (x0 - px) / vx AS a0, (x1 - px) / vx AS a1, vy, py, y0, y1, (y0 - py) / nullif(vy, 0) AS b0, (y1 - py) / nullif(vy, 0) AS b1 FROM rays, boxes),
     w AS (SELECT ray_id, n_nationkey, greatest(0, a0, CASE WHEN vy <> 0 THEN least(b0, b1) ELSE 0 END) AS t0, least(a1, CASE WHEN vy <> 0 THEN greatest(b0, b1) ELSE a1 END) AS t1 FROM s WHERE vy <> 0 OR (py >= y0 AND py <= y1))
     SELECT ray_id, n_nationkey, round(t1 - t0, 6) AS length FROM w WHERE t1 > t0""")
-def slab_intersect(t, every=False):
+def slab_intersect(t):
     n = F.col("n_nationkey")
     boxes = t("nation").select(n, (n * 1.0).alias("x0"), (n * 1.0 + 2).alias("x1"), (n % 6 * 1.0).alias("y0"), (n % 6 * 1.0 + 3).alias("y1"))
     enter, leave = geometry.slab([F.col("px"), F.col("py")], [F.col("vx"), F.col("vy")], [F.col("x0"), F.col("y0")], [F.col("x1"), F.col("y1")])
-    return rays(t, every).crossJoin(F.broadcast(boxes)).withColumn("length", F.round(leave - enter, 6)).filter("length IS NOT NULL").select("ray_id", "n_nationkey", "length")
+    return rays(t).crossJoin(F.broadcast(boxes)).withColumn("length", F.round(leave - enter, 6)).filter("length IS NOT NULL").select("ray_id", "n_nationkey", "length")
 
 
 CELLS = f"""{RAYS}, bound AS (SELECT *, greatest(1.0, CASE WHEN vy <> 0 THEN least((0 - py) / vy, (12 - py) / vy) ELSE 1.0 END) AS t0, least(11.0, CASE WHEN vy <> 0 THEN greatest((0 - py) / vy, (12 - py) / vy) ELSE 11.0 END) AS t1
@@ -230,18 +230,18 @@ GRID = [Axis("x", 10, 0.0, 10.0), Axis("y", 12, 0.0, 12.0)]
 
 
 @query(f"WITH {CELLS} SELECT ray_id, ix, iy, round(length, 6) AS length FROM cells WHERE length > 1e-9")
-def ray_cells_window(t, every=False):
-    return trace.crossings(rays(t, every), GRID).filter("length > 1e-9").withColumn("length", F.round("length", 6))
+def ray_cells_window(t):
+    return trace.crossings(rays(t), GRID).filter("length > 1e-9").withColumn("length", F.round("length", 6))
 
 
 @query(f"WITH {CELLS} SELECT ray_id, ix, iy, round(length, 6) AS length FROM cells WHERE length > 1e-9")
-def ray_cells_batched(t, every=False):
-    return trace.traced(rays(t, every), GRID).groupBy("ray_id", "ix", "iy").agg(F.sum("length").alias("length")).filter("length > 1e-9").withColumn("length", F.round("length", 6))
+def ray_cells_batched(t):
+    return trace.traced(rays(t), GRID).groupBy("ray_id", "ix", "iy").agg(F.sum("length").alias("length")).filter("length > 1e-9").withColumn("length", F.round("length", 6))
 
 
 @query(f"WITH {CELLS} SELECT ray_id, round(sum(length), 5) AS pl, round(sum(length * (1 + (ix + iy) % 3)), 5) AS dl FROM cells GROUP BY 1")
-def path_density_sum(t, every=False):
-    every = trace.crossings(rays(t, every), GRID)
+def path_density_sum(t):
+    every = trace.crossings(rays(t), GRID)
     densities = every.select("ix", "iy").distinct().withColumn("density", 1.0 + (F.col("ix") + F.col("iy")) % 3)
     out = trace.path_sums(every, densities, ["ix", "iy"])
     return out.select("ray_id", F.round("pl", 5).alias("pl"), F.round("dl", 5).alias("dl"))
@@ -251,16 +251,13 @@ def path_density_sum(t, every=False):
 
 
 @query(f"""WITH {RASTER}, w AS (SELECT a.ix, a.iy, a.z AS z00, coalesce(b.z, a.z) AS z10, coalesce(c.z, a.z) AS z01, d.z AS d11 FROM raster a LEFT JOIN raster b ON b.ix = a.ix + 1 AND b.iy = a.iy LEFT JOIN raster c ON c.ix = a.ix AND c.iy = a.iy + 1 LEFT JOIN raster d ON d.ix = a.ix + 1 AND d.iy = a.iy + 1),
-    p AS (SELECT l_orderkey, l_linenumber, {bin_sql('l_quantity', X)} AS ix, {bin_sql('l_discount', Y)} AS iy, l_quantity AS x, l_discount AS y FROM lineitem WHERE l_linenumber = 1),
-    f AS (SELECT l_orderkey, (x - (1.0 + ix * 5.0)) / 5.0 AS fx, (y - (-0.005 + iy * {Y.interval!r})) / {Y.interval!r} AS fy, z00, z10, z01, coalesce(d11, z10 + z01 - z00) AS z11 FROM p JOIN w USING (ix, iy))
-    SELECT l_orderkey, round(z00 * (1 - fx) * (1 - fy) + z10 * fx * (1 - fy) + z01 * (1 - fx) * fy + z11 * fx * fy, 3) AS z FROM f""")
+    p AS (SELECT l_orderkey, l_linenumber, {bin_sql('l_quantity', X)} AS ix, {bin_sql('l_discount', Y)} AS iy, l_quantity AS x, l_discount AS y, l_linenumber FROM lineitem),
+    f AS (SELECT l_orderkey, l_linenumber, (x - (1.0 + ix * 5.0)) / 5.0 AS fx, (y - (-0.005 + iy * {Y.interval!r})) / {Y.interval!r} AS fy, z00, z10, z01, coalesce(d11, z10 + z01 - z00) AS z11 FROM p JOIN w USING (ix, iy))
+    SELECT l_orderkey, l_linenumber, round(z00 * (1 - fx) * (1 - fy) + z10 * fx * (1 - fy) + z01 * (1 - fx) * fy + z11 * fx * fy, 3) AS z FROM f""")
 def bilinear_lookup(t):
-    return at_points(t, t("lineitem").filter("l_linenumber = 1"), ["l_orderkey"])
-
-
-def at_points(t, points: DataFrame, keys: list[str]) -> DataFrame:
-    points = points.select(*keys, "l_quantity", "l_discount")
-    return lookup.interpolated(points, lookup.widened(raster(t).select("ix", "iy", "z")), X, Y, F.col("l_quantity"), F.col("l_discount")).select(*keys, F.round("z", 3).alias("z"))
+    points = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    out = lookup.interpolated(points, lookup.widened(raster(t).select("ix", "iy", "z")), X, Y, F.col("l_quantity"), F.col("l_discount"))
+    return out.select("l_orderkey", "l_linenumber", F.round("z", 3).alias("z"))
 
 
 MONTHS = "months AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS x, round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1), seg AS (SELECT x AS x0, lead(x) OVER (ORDER BY x) AS x1, y AS y0, lead(y) OVER (ORDER BY x) AS y1 FROM months)"
@@ -311,11 +308,13 @@ def finite_difference(t):
     return windows.finite_difference(raster(t), "z", "ix", ["iy"], X.interval).select("ix", "iy", F.round("derivative", 3).alias("derivative"))
 
 
-@query("""WITH s AS (SELECT user_id, event_id, sign(value - 50) AS s FROM events WHERE value <> 50), f AS (SELECT user_id, s, CASE WHEN lag(s) OVER (PARTITION BY user_id ORDER BY event_id) <> s THEN 1 ELSE 0 END AS f FROM s)
-    SELECT user_id, count(*) AS n, round(avg(CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive, round(sum(f) / nullif(count(*) - 1.0, 0), 6) AS flips FROM f GROUP BY 1""")
+@query("""WITH v AS (SELECT user_id, event_id, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 0 ELSE value - 50 END AS z FROM events),
+    s AS (SELECT user_id, event_id, sign(z) AS s, last_value(nullif(sign(z), 0) IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v)
+    SELECT user_id, count(*) AS n, count(*) - count(s) AS broken, round(count(*) FILTER (WHERE s > 0) / CAST(count(*) AS DOUBLE), 6) AS positive, round(coalesce(count(*) FILTER (WHERE s <> 0 AND before <> s) / nullif(count(*) - 1.0, 0), 0), 6) AS flips FROM s GROUP BY 1""")
 def divergence_guard(t):
-    out = windows.sign_flips(t("events"), F.col("value") - 50, ["user_id"], ["event_id"])
-    return out.select("user_id", "n", F.round("positive", 6).alias("positive"), F.round("flips", 6).alias("flips"))
+    z = F.when(F.col("event_id") % 13 == 0, F.lit(None)).when(F.col("event_id") % 5 == 0, 0.0).otherwise(F.col("value") - 50)
+    out = windows.sign_flips(t("events"), z, ["user_id"], ["event_id"])
+    return out.select("user_id", "n", "broken", F.round("positive", 6).alias("positive"), F.round("flips", 6).alias("flips"))
 
 
 @query("""WITH s AS (SELECT user_id, epoch(ts) AS x, value AS y, lag(epoch(ts)) OVER w AS x0, lag(value) OVER w AS y0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
@@ -325,12 +324,13 @@ def trapezoid_integral(t):
     return windows.trapezoid(t("events").withColumn("x", seconds), F.col("x"), F.col("value"), ["user_id"], ["ts", "event_id"]).select("user_id", F.round("integral", 1).alias("integral"))
 
 
-PREFIX = f"{RASTER}, sums AS (SELECT a.ix, a.iy, sum(b.n) AS s FROM raster a JOIN raster b ON b.ix <= a.ix AND b.iy <= a.iy GROUP BY 1, 2)"
+SPARSE = f"{RASTER}, sparse AS (SELECT ix, iy, n FROM raster WHERE (ix + 2 * iy) % 3 = 0)"
 
 
-@query(f"WITH {PREFIX} SELECT ix, iy, CAST(s AS BIGINT) AS s FROM sums")
+@query(f"""WITH {SPARSE}, g AS (SELECT CAST(x AS INTEGER) AS ix, CAST(y AS INTEGER) AS iy FROM generate_series(0, 9) AS a(x), generate_series(0, 10) AS b(y) WHERE x <= (SELECT max(ix) FROM sparse) AND y <= (SELECT max(iy) FROM sparse))
+    SELECT g.ix, g.iy, CAST(coalesce(sum(n), 0) AS BIGINT) AS s FROM g LEFT JOIN sparse b ON b.ix <= g.ix AND b.iy <= g.iy GROUP BY 1, 2""")
 def prefix_sum_2d(t):
-    return windows.prefix_sums(raster(t), "n").select("ix", "iy", "s")
+    return windows.prefix_sums(raster(t).filter("(ix + 2 * iy) % 3 = 0"), "n").select("ix", "iy", "s")
 
 
 def _rectangles(t) -> DataFrame:
@@ -343,7 +343,7 @@ def prefix_rect_query(t):
     return windows.rectangle_sums(windows.prefix_sums(raster(t), "n"), _rectangles(t)).select("rect_id", "total")
 
 
-@query(f"""WITH {RASTER}, w AS (SELECT size, i, CAST(floor((10 - size) / 2.0) AS INTEGER) AS x0, CAST(11 - i * 2 AS INTEGER) AS y1 FROM (VALUES (3), (5)) AS s(size), generate_series(0, 4) AS g(i) WHERE i <= floor((11 - size) / 2.0))
+@query(f"""WITH {RASTER}, w AS (SELECT size, i, CAST(floor((10 - size) / 2.0) AS INTEGER) AS x0, CAST(11 - i * 2 AS INTEGER) AS y1 FROM (VALUES (3), (5)) AS s(size), generate_series(0, 4) AS g(i) WHERE i < greatest(1, floor((11 - size) / 2.0)))
     SELECT size, CAST(i AS INTEGER) AS i, CAST(sum(n) AS BIGINT) AS total FROM w JOIN raster ON ix >= x0 AND ix < x0 + size AND iy >= y1 - size AND iy < y1 GROUP BY 1, 2""")
 def sliding_sweep(t):
     panel = t("region").filter("r_regionkey = 0").select(F.lit(0).alias("det"), F.lit(X.nbin).alias("nx"), F.lit(Y.nbin).alias("ny"))
@@ -433,13 +433,12 @@ def group_bounding_box(t):
     return groups.bounding_boxes(parts(t), ["p_brand"])
 
 
-@query("""WITH b AS (SELECT l_suppkey AS g, l_quantity AS pl FROM lineitem WHERE l_linenumber <= 2), d AS (SELECT 0.5 + i * 0.25 AS rho FROM generate_series(0, 10) AS s(i)),
+@query("""WITH b AS (SELECT l_suppkey AS g, l_quantity AS pl FROM lineitem), d AS (SELECT 0.5 + i * 0.25 AS rho FROM generate_series(0, 10) AS s(i)),
     n AS (SELECT g, rho, sum(1000 * exp(-pl * rho / 20)) AS n FROM b, d GROUP BY 1, 2), c AS (SELECT g, sum(1000 * exp(-pl * 1.3 / 20)) AS target FROM b GROUP BY 1),
     r AS (SELECT g, rho, abs(n - target) AS off, row_number() OVER (PARTITION BY g ORDER BY abs(n - target), rho) AS k FROM n JOIN c USING (g))
     SELECT g, CAST(rho AS DOUBLE) AS rho, round(off, 3) AS off FROM r WHERE k = 1""")
-def proj_density_scan(t, every=False):
-    lines = t("lineitem") if every else t("lineitem").filter("l_linenumber <= 2")
-    b = lines.select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("pl"))
+def proj_density_scan(t):
+    b = t("lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("pl"))
     target = b.groupBy("g").agg(F.sum(1000 * F.exp(-F.col("pl") * 1.3 / 20)).alias("target"))
     return groups.best_density(b, ["g"], [0.5 + i * 0.25 for i in range(11)], 1000 * F.exp(-F.col("pl") * F.col("rho") / 20), target).withColumn("off", F.round("off", 3))
 
@@ -464,10 +463,11 @@ def obs_matrix_group(t):
     return matrix.grouped_rows(coo(t), t("supplier").select(F.col("s_suppkey").alias("row"), F.col("s_nationkey").alias("grp")))
 
 
-@query(f"WITH {COO} SELECT n_nationkey AS left_out, count(*) AS n, sum(value) AS value FROM coo JOIN supplier ON s_suppkey = \"row\" JOIN nation ON s_nationkey <> n_nationkey WHERE n_nationkey IN (0, 1, 2) GROUP BY 1")
-def leave_one_out_rows(t, owners=(0, 1, 2)):
+@query(f"WITH {COO} SELECT n_nationkey AS left_out, count(*) AS n, sum(value) AS value FROM coo JOIN supplier ON s_suppkey = \"row\" JOIN nation ON s_nationkey <> n_nationkey GROUP BY 1")
+def leave_one_out_rows(t):
+    owners = [r[0] for r in t("nation").select("n_nationkey").distinct().collect()]  # panels, which are few
     owned = coo(t).join(t("supplier").select(F.col("s_suppkey").alias("row"), "s_nationkey"), "row")
-    return matrix.leave_one_out(owned, F.col("s_nationkey"), list(owners)).groupBy("left_out").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+    return matrix.leave_one_out(owned, F.col("s_nationkey"), owners).groupBy("left_out").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
 
 
 HITS = "hits AS (SELECT col, count(DISTINCT s_nationkey) AS owners, count(*) AS \"rows\" FROM coo JOIN supplier ON s_suppkey = \"row\" GROUP BY 1)"
@@ -501,13 +501,23 @@ def matrix_threshold(t):
 # ---- inversion and statistics
 
 
-@query("SELECT a.n_nationkey AS one, b.n_nationkey AS other, round(4 * exp(-sqrt(pow(a.n_nationkey - b.n_nationkey, 2) + pow(a.n_regionkey - b.n_regionkey, 2)) / 3), 9) AS iso, round(4 * exp(-abs(a.n_nationkey - b.n_nationkey) / 3.0) * exp(-abs(a.n_regionkey - b.n_regionkey) / 2.0), 9) AS separable FROM nation a, nation b")
+PLACES = "places AS (SELECT n_nationkey AS col, n_nationkey * 1.0 AS x, n_regionkey * 1.0 AS y, n_nationkey % 4 * 2.0 AS z FROM nation)"
+
+
+def places(t) -> DataFrame:
+    n = F.col("n_nationkey")
+    return t("nation").select(n.alias("col"), (n * 1.0).alias("x"), (F.col("n_regionkey") * 1.0).alias("y"), (n % 4 * 2.0).alias("z"))
+
+
+@query(f"""WITH {PLACES}, p AS (SELECT a.col AS one, b.col AS other, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS flat, abs(a.z - b.z) AS deep FROM places a, places b)
+    SELECT one, other, round(CASE WHEN one = other THEN 2.25 ELSE 4 * exp(-sqrt(flat * flat + deep * deep) / 3) END, 9) AS iso, round(CASE WHEN one = other THEN 4 ELSE 4 * exp(-flat / 3 - deep / 2) END, 9) AS separable, round(CASE WHEN one = other THEN 2.25 ELSE 4 * exp(-sqrt(pow(flat / 3, 2) + pow(deep / 2, 2))) END, 9) AS ellipsoidal FROM p""")
 def cov_kernel(t):
-    one = t("nation").select(F.col("n_nationkey").alias("one"), F.col("n_regionkey").alias("r1"))
-    pairs = one.crossJoin(F.broadcast(t("nation").select(F.col("n_nationkey").alias("other"), F.col("n_regionkey").alias("r2"))))
-    dx, dz = F.col("one") - F.col("other"), F.col("r1") - F.col("r2")
-    iso, separable = physics.kernel("iso", dx, F.lit(0.0), dz, 2.0, (3.0,)), physics.kernel("separable", dx, F.lit(0.0), dz, 2.0, (3.0, 2.0))
-    return pairs.select("one", "other", F.round(iso, 9).alias("iso"), F.round(separable, 9).alias("separable"))
+    kinds = {"iso": ((3.0,), 1.5), "separable": ((3.0, 2.0), 0.0), "ellipsoidal": ((3.0, 2.0), 1.5)}
+    out = None
+    for kind, (lengths, diagonal) in kinds.items():
+        found = invert.pairs(places(t), 2.0, lengths, kind, diagonal).select("one", "other", F.round("value", 9).alias(kind))
+        out = found if out is None else out.join(found, ["one", "other"])
+    return out
 
 
 NORMAL = "eq AS (SELECT s_nationkey AS run, s_suppkey AS \"row\", s_suppkey % 4 + 1.0 AS a0, s_suppkey % 3 + 0.5 AS a1, s_acctbal / 1000 AS r, 1.0 + s_suppkey % 2 AS v FROM supplier)"
@@ -548,9 +558,9 @@ def chi2(t):
     return invert.chi_square(o, ["s_nationkey"]).select("s_nationkey", F.round("chi2", 5).alias("chi2"), "ndf", F.round("chi2_per_ndf", 5).alias("chi2_per_ndf"))
 
 
-ERFC_SQL = "(((((1.061405429 * u - 1.453152027) * u + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * exp(-x * x))"
+ERFC_SQL = "(u * exp(-x * x - 1.26551223 + u * (1.00002368 + u * (0.37409196 + u * (0.09678418 + u * (-0.18628806 + u * (0.27886807 + u * (-1.13520398 + u * (1.48851587 + u * (-0.82215223 + u * 0.17087277))))))))))"
 TESTS = f"""pairs AS (SELECT event_type, count(*) FILTER (WHERE event_id % 2 = 0) AS base, count(*) FILTER (WHERE event_id % 2 = 1 AND value > 5) AS modi FROM events GROUP BY 1),
-    z AS (SELECT *, (modi - base) / sqrt(greatest(1e-12, base + modi)) AS z_val FROM pairs), q AS (SELECT *, abs(z_val) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z_val) / sqrt(2)) AS u FROM z),
+    z AS (SELECT *, (modi - base) / sqrt(greatest(1e-12, base + modi)) AS z_val FROM pairs), q AS (SELECT *, abs(z_val) / sqrt(2) AS x, 1 / (1 + abs(z_val) / sqrt(2) / 2) AS u FROM z),
     tests AS (SELECT event_type, base, modi, round(z_val, 6) AS z_val, round({ERFC_SQL} / 2, 6) AS p_val FROM q)"""
 
 
@@ -579,7 +589,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return rows.select("event_type", place.cast("long").alias("place"))
 
 
-@query(f"""WITH {RASTER}, r AS (SELECT *, n * 1.0 AS signal FROM raster), w AS (SELECT size, i, CAST(floor((10 - size) / 2.0) AS INTEGER) AS x0, 11 - i * 2 AS y1 FROM (VALUES (3), (5)) AS s(size), generate_series(0, 4) AS g(i) WHERE i <= floor((11 - size) / 2.0)),
+@query(f"""WITH {RASTER}, r AS (SELECT *, n * 1.0 AS signal FROM raster), w AS (SELECT size, i, CAST(floor((10 - size) / 2.0) AS INTEGER) AS x0, 11 - i * 2 AS y1 FROM (VALUES (3), (5)) AS s(size), generate_series(0, 4) AS g(i) WHERE i < greatest(1, floor((11 - size) / 2.0))),
     s AS (SELECT size, i, CAST(d AS DOUBLE) AS delta, sum(signal) AS b, sum(signal * (1 - d / 1000.0)) AS m FROM w JOIN r ON ix >= x0 AND ix < x0 + size AND iy >= y1 - size AND iy < y1, (VALUES (-300), (30)) AS k(d) GROUP BY 1, 2, 3)
     SELECT size, CAST(i AS INTEGER) AS i, delta, CAST(amp AS DOUBLE) AS signal_amp, round(b, 4) AS signal_base, round(m, 4) AS signal_modi, round((m - b) * amp / sqrt((m + b) * amp), 6) AS z_val FROM s, (VALUES (0.01), (1.0)) AS a(amp)""")
 def detectability_sweep(t):
@@ -593,7 +603,7 @@ def detectability_sweep(t):
 
 
 @query("""WITH p AS (SELECT * FROM (VALUES (0, 2000.0), (1, 2500.0)) AS d(di, rho), (VALUES (0, 100.0), (1, 300.0)) AS s(si, sigma), (VALUES (0, 50.0), (1, 80.0)) AS l(li, length))
-    SELECT CAST(di * 4 + si * 2 + li AS BIGINT) AS index, rho, sigma, length, 'rho' || CAST(rho AS INTEGER) || '_s' || CAST(sigma AS INTEGER) || '_l' || CAST(length AS INTEGER) || '_d' || CAST(sigma AS INTEGER) AS label FROM p""")
+    SELECT CAST(di * 4 + si * 2 + li AS BIGINT) AS index, rho, sigma, length, format('sr{}_cl{}_srd{}_p{}_u{}_l{}_lat{}', CAST(sigma AS INTEGER), CAST(length AS INTEGER), CAST(sigma AS INTEGER), CAST(rho AS INTEGER), CAST(rho AS INTEGER), CAST(rho AS INTEGER), CAST(rho AS INTEGER)) AS label FROM p""")
 def sweep_points(t):
     points = config.sweep_points([100.0, 300.0], [50.0, 80.0], [2000.0, 2500.0])
     rows = [(p["index"], p["density"][0], p["sigma_rho"], p["corr_length"], p["label"]) for p in points]
@@ -630,7 +640,7 @@ def direction_vector(t):
     return suppliers(t).select("s_suppkey", *[F.round(c, 9).alias(n) for n, c in zip(("vx", "vy", "vz"), v, strict=True)])
 
 
-@query(f"""WITH {ANGLES}, x AS (SELECT *, cos(pitch) AS y1, sin(pitch) AS z1 FROM ang), r AS (SELECT *, sin(roll) * z1 AS x2, cos(roll) * z1 AS z2 FROM x)
+@query(f"""WITH {ANGLES}, x AS (SELECT *, cos(roll) AS y1, sin(roll) AS z1 FROM ang), r AS (SELECT *, sin(pitch) * z1 AS x2, cos(pitch) * z1 AS z2 FROM x)
     SELECT s_suppkey, round(cos(yaw) * x2 - sin(yaw) * y1, 9) AS vx, round(sin(yaw) * x2 + cos(yaw) * y1, 9) AS vy, round(z2, 9) AS vz FROM r""")
 def rotate_ypr(t):
     v = angles.turned(angles.rotation(F.col("yaw"), F.col("roll"), F.col("pitch")), [F.lit(0.0), F.lit(1.0), F.lit(0.0)])
@@ -647,7 +657,7 @@ def angle_convert(t):
     SELECT s_suppkey, round(e - half, 9) AS eff_low, round(e, 9) AS eff_cnt, round(e + half, 9) AS eff_upp FROM h""")
 def eff_model_band(t):
     one = F.lit(1.0)
-    ex = physics.efficiency("poly", F.col("tx"), {"coefficients": [1.0, 0.0, -0.0195]})
+    ex = physics.efficiency("poly", F.col("tx"), {"coef": [1.0, 0.0, -0.0195]})
     ey = physics.efficiency("gauss", F.col("ty"), {"sigma": 1.0})
     band = physics.efficiency_band(0.975, ex, ey, 0.025, one, one)
     return suppliers(t).select("s_suppkey", *[F.round(c, 9).alias(n) for n, c in zip(("eff_low", "eff_cnt", "eff_upp"), band, strict=True)])
@@ -688,57 +698,11 @@ def cone_volumes(t):
 
 
 @query(f"WITH {CELLS} SELECT ray_id, round(sum(CASE WHEN ix % 2 = 0 THEN 0 ELSE length END), 5) AS pl FROM cells GROUP BY 1")
-def left_out_paths(t, every=False):
-    every = trace.crossings(rays(t, every), GRID)
+def left_out_paths(t):
+    every = trace.crossings(rays(t), GRID)
     return groups.left_out_paths(every, every.filter("ix % 2 = 0"), ["ix", "iy"]).withColumn("pl", F.round("pl", 5))
 
 
-# ---- queries over all rows, for those above that keep the rows that their SQL names
-
-
-EACH_FIFTH = " WHERE o_orderkey % 5 = 0"
-
-
-@query(whole_sql("slab_intersect", EACH_FIFTH))
-def slab_intersect_all(t):
-    return slab_intersect(t, every=True)
-
-
-@query(whole_sql("ray_cells_window", EACH_FIFTH))
-def ray_cells_window_all(t):
-    return ray_cells_window(t, every=True)
-
-
-@query(whole_sql("ray_cells_batched", EACH_FIFTH))
-def ray_cells_batched_all(t):
-    return ray_cells_batched(t, every=True)
-
-
-@query(whole_sql("path_density_sum", EACH_FIFTH))
-def path_density_sum_all(t):
-    return path_density_sum(t, every=True)
-
-
-@query(whole_sql("left_out_paths", EACH_FIFTH))
-def left_out_paths_all(t):
-    return left_out_paths(t, every=True)
-
-
-@query(whole_sql("bilinear_lookup", " WHERE l_linenumber = 1").replace("fy, z00", "fy, l_linenumber, z00").replace("SELECT l_orderkey, round(", "SELECT l_orderkey, l_linenumber, round("))
-def bilinear_lookup_all(t):
-    return at_points(t, t("lineitem"), ["l_orderkey", "l_linenumber"])
-
-
-@query(whole_sql("proj_density_scan", " WHERE l_linenumber <= 2"))
-def proj_density_scan_all(t):
-    return proj_density_scan(t, every=True)
-
-
-@query(whole_sql("leave_one_out_rows", " WHERE n_nationkey IN (0, 1, 2)"))
-def leave_one_out_rows_all(t):
-    return leave_one_out_rows(t, [r[0] for r in t("nation").select("n_nationkey").distinct().collect()])
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raster, interpolation at every line, and sums by group."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

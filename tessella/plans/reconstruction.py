@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.angles import effective_area, from_tangents, rotation, solid_angle, turned
-from tessella.functions.axis import Axis
 from tessella.operators import invert, matrix
-from tessella.operators.trace import path_sums, traced
+from tessella.operators.trace import path_sums
 
 SECONDS = 86400.0
 
@@ -24,8 +23,7 @@ def elements(panels: DataFrame) -> DataFrame:
     tx, ty = (F.col("tx0") + F.col("tx1")) / 2, (F.col("ty0") + F.col("ty1")) / 2
     local = from_tangents(tx, ty)
     v = turned(rotation(-F.col("yaw"), F.col("roll"), F.col("pitch")), local)
-    area = effective_area(F.abs(local[1]), tx, ty, 1.0, 1.0, 0.0, 1)  # per unit; sizes differ by panel
-    area = F.abs(local[1]) * (F.col("hori") - F.col("dept") * F.abs(tx)) * (F.col("vert") - F.col("dept") * F.abs(ty)) * F.col("n_unit")
+    area = effective_area(F.abs(local[1]), tx, ty, F.col("hori"), F.col("vert"), F.col("dept"), F.col("n_unit"))
     sot = area * solid_angle(F.col("tx0"), F.col("tx1"), F.col("ty0"), F.col("ty1")) * F.col("days") * SECONDS
     inthis = F.col("ix") + F.col("iy") * F.col("nbinx")
     ray = (F.col("detid").cast("long") * (1 << 32) + inthis).alias("ray_id")
@@ -39,10 +37,6 @@ def counts(rays: DataFrame, cells: DataFrame, densities: DataFrame, flux: Column
     return out.withColumn("n", flux * F.col("sot"))
 
 
-def traced_cells(rays: DataFrame, axes: list[Axis]) -> DataFrame:
-    return traced(rays, axes)
-
-
 def observation(cells: DataFrame, numbers: DataFrame, slopes: DataFrame, groups: DataFrame) -> DataFrame:
     """The matrix of groups by cells: path lengths times the count's slope, rows summed before anything is made dense.
 

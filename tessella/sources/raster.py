@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -58,8 +59,8 @@ def header(f: io.BufferedIOBase) -> tuple[str, Axis, Axis, int]:
     def axis() -> Axis:
         label = text()
         n, low, high, interval = struct.unpack("<iddd", f.read(28))
-        out = Axis(label, n, low, high)
-        if abs(out.interval - interval) > 1e-4 * abs(interval):
+        out = Axis(label, n, low, high, interval)
+        if abs((high - low) / n - interval) > 1e-4 * abs(interval):
             raise ValueError("an axis whose interval doesn't fit its bounds")
         return out
 
@@ -75,11 +76,12 @@ def loads(data: bytes) -> tuple[str, Axis, Axis, np.ndarray]:
     return name, x, y, z.reshape(y.nbin, x.nbin).astype(float)
 
 
-def _rows(x: Axis, y: Axis, z: np.ndarray, first: int) -> Iterator[tuple]:
-    for j, line in enumerate(z, first):
-        yc = y.min + (j + 0.5) * y.interval
-        for i, v in enumerate(line.tolist()):
-            yield i, j, x.min + (i + 0.5) * x.interval, yc, v
+def _cells(x: Axis, y: Axis, z: np.ndarray, first: int) -> pa.RecordBatch:
+    """z[line, ix] as rows of SCHEMA; the first line is that of iy = first."""
+    j, i = np.divmod(np.arange(z.size, dtype=np.int32), np.int32(x.nbin))
+    j += first
+    columns = [i, j, x.min + (i + 0.5) * x.interval, y.min + (j + 0.5) * y.interval, z.ravel()]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["ix", "iy", "x", "y", "z"])
 
 
 class _Part(InputPartition):
@@ -100,13 +102,13 @@ class _Reader(DataSourceReader):
             out += [_Part(path, a, min(a + lines, y.nbin)) for a in range(0, y.nbin, lines)]
         return out
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         with open(partition.path, "rb") as f:
             _, x, y, precision = header(f)
             f.seek(partition.first * x.nbin * precision, io.SEEK_CUR)
             n = (partition.last - partition.first) * x.nbin
             z = np.frombuffer(f.read(n * precision), f"<f{precision}").astype(float)
-        yield from _rows(x, y, z.reshape(-1, x.nbin), partition.first)
+        yield _cells(x, y, z.reshape(-1, x.nbin), partition.first)
 
 
 class _Wrote(WriterCommitMessage):
