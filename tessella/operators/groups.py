@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.stats import poisson
+from tessella.operators.windows import dense_numbers
 
 
 def initial(bins: DataFrame, nx: int, ny: int, x_parts: int, y_parts: int) -> DataFrame:
@@ -161,3 +162,155 @@ def auto_divided(bins: DataFrame, panel: str, trigger: float, least_x: int = 1,
         return pd.DataFrame({panel: block[panel], "ix": x, "iy": y, "igroup": groups[x, y]})
 
     return bins.select(panel, "ix", "iy", "weight").groupBy(panel).applyInPandas(run, f"{panel} {kind}, ix int, iy int, igroup int")
+
+
+def mean_efficiency(bins: DataFrame, by: list[str]) -> DataFrame:
+    """A group's efficiencies: plain means of its bins'."""
+    return bins.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ("eff_low", "eff_cnt", "eff_upp")])
+
+
+def volumes(bins: DataFrame, by: list[str], transitions: Column, solid: Column) -> DataFrame:
+    """Volume of each group: its bins' cones. A negative one, or a ray that doesn't come out, is an error."""
+    ends = F.coalesce(F.get(transitions, F.size(transitions) - 1)["tf_in"], F.lit(False))
+    volume = cone_volume(transitions, solid)
+    sound = F.when(~ends & (volume >= 0), volume).otherwise(F.raise_error(F.lit("a ray that stays inside, or a negative volume")).cast("double"))
+    return bins.groupBy(*by).agg(F.sum(sound).alias("volume"))
+
+
+def totals(bins: DataFrame, by: list[str], values: list[str], least_dl: float) -> DataFrame:
+    """Sums over bins whose density length isn't below the least."""
+    return bins.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(F.col("dl") >= least_dl, F.col(v))), F.lit(0.0)).alias(v) for v in values])
+
+
+def with_noise(bins: DataFrame, by: list[str], flux_floor: float, flux_poisson: float, sot_floor: float, sot_poisson: float, least_dl: float) -> DataFrame:
+    """bins with noise_det and noise_poi: parts of their signal, and parts of the panel's signal dealt by exposure (sot).
+
+    Bins with a density length below the least keep what they have; so do all, if no ratio is positive.
+    """
+    ratios = [max(0.0, r) for r in (flux_floor, flux_poisson, sot_floor, sot_poisson)]
+    if not any(ratios):
+        return bins
+    whole = totals(bins, by, ["signal", "sot"], least_dl).select(*by, F.col("signal").alias("__signal"), F.col("sot").alias("__sot"))
+    dealt = F.try_divide(F.col("sot"), F.col("__sot")) * F.col("__signal")
+    on = F.col("dl") >= least_dl
+    value = lambda own, share, old: F.when(on, F.col("signal") * own + (dealt * share if share else 0.0)).otherwise(F.col(old))
+    out = bins.join(whole, by)
+    return out.withColumns({"noise_det": value(ratios[0], ratios[2], "noise_det"), "noise_poi": value(ratios[1], ratios[3], "noise_poi")}).drop("__signal", "__sot")
+
+
+def all_grouped(bins: DataFrame, grouped: DataFrame, key: list[str]) -> DataFrame:
+    """grouped (key, rect_id) of bins that lie in a rectangle that isn't excluded; a bin that no rectangle holds is an error.
+
+    grouped: key, rect_id, excluded of each bin's first rectangle.
+    """
+    out = bins.select(*key).join(grouped, key, "left")
+    # the error is in the condition, as columns that a filter drops aren't worked out
+    return out.filter(F.when(F.col("excluded").isNull(), F.raise_error(F.lit("a bin in no rectangle")).cast("boolean")).otherwise(~F.col("excluded"))).select(*key, "rect_id")
+
+
+def checked_sizes(bins: DataFrame, by: list[str], least_x: int, least_y: int) -> DataFrame:
+    """bounding_boxes of the groups; one with a shorter side is an error."""
+    out = bounding_boxes(bins, by)
+    small = (F.col("x1") - F.col("x0") + 1 < least_x) | (F.col("y1") - F.col("y0") + 1 < least_y)
+    return out.withColumn("n", F.when(small, F.raise_error(F.lit("a group smaller than allowed")).cast("long")).otherwise(F.col("n")))
+
+
+def merge_from(groups: np.ndarray, weight: np.ndarray, seed: int, least: float, most_loops: int) -> bool:
+    """Grows a group (an array of group numbers by ix, iy; changed in place) until it holds the least weight: right, up, down and left in
+    turn, each of its bins takes the whole group of its neighbour. False if it never does."""
+    total = lambda: float(weight[groups == seed].sum())
+    for loop in range(1, most_loops + 2):
+        if total() >= least:
+            return True
+        dx, dy = {1: (1, 0), 2: (0, 1), 3: (0, -1), 0: (-1, 0)}[loop % 4]
+        for x, y in zip(*np.nonzero(groups == seed), strict=True):
+            u, v = x + dx, y + dy
+            if 0 <= u < groups.shape[0] and 0 <= v < groups.shape[1] and groups[u, v] != seed:
+                groups[groups == groups[u, v]] = seed
+                if total() >= least:
+                    break
+    return total() >= least
+
+
+def merged_small(bins: DataFrame, panel: str, least: float, most_loops: int = 1000) -> DataFrame:
+    """panel, ix, iy and igroup: groups with too little weight grow, the least number first, until all hold the least or nothing is left to take.
+
+    bins: panel, ix, iy, igroup, weight. A panel's bins are bounded by its grid and go to one task.
+    """
+    kind = bins.schema[panel].dataType.simpleString()
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        x, y = block["ix"].to_numpy(), block["iy"].to_numpy()
+        groups, weight = np.full((x.max() + 1, y.max() + 1), -1), np.zeros((x.max() + 1, y.max() + 1))
+        groups[x, y], weight[x, y] = block["igroup"], block["weight"]
+        for seed in np.unique(block["igroup"]):
+            if (groups == seed).any() and weight[groups == seed].sum() < least:
+                merge_from(groups, weight, seed, least, most_loops)
+        return pd.DataFrame({panel: block[panel], "ix": x, "iy": y, "igroup": groups[x, y]})
+
+    return bins.select(panel, "ix", "iy", "igroup", "weight").groupBy(panel).applyInPandas(run, f"{panel} {kind}, ix int, iy int, igroup int")
+
+
+def density_targets(counts: DataFrame, sigma: float, variance: Column | None = None) -> DataFrame:
+    """counts (a group's keys and n) once for each band: center, and the counts that lie sigma deviations off, fewer of which mean the upper density.
+
+    A group without counts has none. variance: of the efficiency, which adds to that of the count.
+    """
+    deviation = sigma * F.sqrt(F.col("n") + (F.lit(0.0) if variance is None else variance))
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), t.alias("target")) for b, t in (("lower", F.col("n") + deviation), ("center", F.col("n")), ("upper", F.greatest(F.lit(0.0), F.col("n") - deviation)))])
+    return counts.filter("n > 0").withColumn("__b", F.explode(bands)).select(*[c for c in counts.columns if c != "n"], "__b.band", "__b.target")
+
+
+def adaptive_density(bins: DataFrame, by: list[str], low: float, high: float, first_step: float, least_step: float, factor: float, most: int, expected: Column, target: DataFrame) -> DataFrame:
+    """by, rho and off: the density whose expected count is nearest to the target, by steps that shrink by a factor around the best so far.
+
+    Where a step would be below the least, the last range is scanned with the least step, and that ends the search. expected may use `rho`; target: by, target.
+    """
+    span = target.withColumns({"__low": F.lit(low), "__high": F.lit(high), "__rho": F.lit(low), "__off": F.lit(float("inf"))})
+    step, last = first_step, False
+    for _ in range(most + 1):
+        grid = F.explode(F.sequence(F.lit(0), F.floor((F.col("__high") - F.col("__low")) / step).cast("int"))).alias("__i")
+        tries = span.select("*", grid).withColumn("rho", F.col("__low") + F.col("__i") * step)
+        counted = bins.join(tries, by).groupBy(*by, "target", "__low", "__high", "__rho", "__off", "rho").agg(F.sum(expected).alias("n"))
+        # of equals the first that was tried wins
+        best = F.min(F.struct(F.abs(F.col("n") - F.col("target")).alias("off"), "rho"))
+        span = counted.groupBy(*by, "target", "__low", "__high", "__rho", "__off").agg(best.alias("b"))
+        better = F.col("b.off") < F.col("__off")
+        span = span.withColumns({"__rho": F.when(better, F.col("b.rho")).otherwise(F.col("__rho")), "__off": F.least("__off", "b.off")}).drop("b")
+        if last or (most := most - 1) < 0:
+            break
+        last = step / factor < least_step
+        step = least_step if last else step / factor
+        if not last:
+            if not most:
+                break
+            span = span.withColumns({"__low": F.greatest(F.lit(low), F.col("__rho") - step), "__high": F.least(F.lit(high), F.col("__rho") + step)})
+    return span.select(*by, F.col("__rho").alias("rho"), F.col("__off").alias("off"))
+
+
+def extremes(bins: DataFrame, panel: str) -> DataFrame:
+    """Of each panel, the groups with the least and the most signal and noise; of equals the smallest number."""
+    held = bins.groupBy(panel, "igroup").agg(F.sum(F.col("signal") + F.col("noise_poi")).alias("n"))
+    return held.groupBy(panel).agg(F.min(F.struct("n", "igroup"))["igroup"].alias("least"), F.min(F.struct((-F.col("n")).alias("n"), "igroup"))["igroup"].alias("most"))
+
+
+def exposed(elements: DataFrame, days: Column, new_days: Column) -> DataFrame:
+    """elements whose exposure (sot) and what is in proportion to it are those of other days."""
+    scale = new_days / days
+    return elements.withColumns({c: F.col(c) * scale for c in ("sot", "signal") if c in elements.columns})
+
+
+def rebinned(panels: DataFrame, x: tuple[int, float, float], y: tuple[int, float, float]) -> DataFrame:
+    """panels with the same angular bins for all, from which elements are made anew."""
+    return panels.withColumns({f"{k}{n}": F.lit(v) for n, axis in (("x", x), ("y", y)) for k, v in (("nbin", axis[0]),)} | {f"t{n}{k}": F.lit(float(v)) for n, axis in (("x", x), ("y", y)) for k, v in zip(("min", "max"), axis[1:], strict=True)})
+
+
+def regrouped(elements: DataFrame, other: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """elements with the grouping, or the transitions, of another array; an element that it doesn't have is an error."""
+    out = elements.drop(*columns).join(other.select(*key, *columns, F.lit(True).alias("__has")), key, "left")
+    return out.withColumn(columns[0], F.when(F.col("__has"), F.col(columns[0])).otherwise(F.raise_error(F.lit("an element that the other array doesn't have")).cast(other.schema[columns[0]].dataType))).drop("__has")
+
+
+def vector(rows: DataFrame, key: list[str], value: Column, name: str = "value") -> DataFrame:
+    """key, place (from 0, in the order of the key) and a value: what stands at each place of a vector."""
+    return dense_numbers(rows.select(*key, value.alias(name)), key, "place")

@@ -9,12 +9,13 @@ from pyspark.sql.window import Window
 from tessella.functions.axis import Axis
 from tessella.functions.physics import bilinear
 
-#: A table is broadcast only if counting shows at most so many rows.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only if Spark's own estimate, which is from above, has at most so many bytes; else Spark decides as it runs.
+BROADCAST_BYTES = 64 << 20
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= most else df
 
 
 def widened(nodes: DataFrame, value: str = "z") -> DataFrame:
@@ -78,3 +79,20 @@ def subtract(one: tuple[float, float, float, float], other: tuple[float, float,
     if a0 >= a1 or b0 >= b1:
         return [one]
     return [r for r in ((x0, a0, y0, y1), (a1, x1, y0, y1), (a0, a1, y0, b0), (a0, a1, b1, y1)) if r[0] < r[1] and r[2] < r[3]]
+
+
+def disjoint(rectangles: list[tuple[float, float, float, float]]) -> list[tuple[float, float, float, float]]:
+    """The same area without overlaps: of every rectangle, what those before it leave. A run has some hundred at most."""
+    out: list[tuple[float, float, float, float]] = []
+    for rectangle in rectangles:
+        left = [rectangle]
+        for other in out:
+            left = [piece for r in left for piece in subtract(r, other)]
+        out += left
+    return out
+
+
+def first_rectangle_of_all(points: DataFrame, rectangles: DataFrame, x: Column, y: Column, key: list[str]) -> DataFrame:
+    """key, rect_id and excluded of the first rectangle that holds each point, excluded ones too."""
+    hit = points.withColumns({"__x": x, "__y": y}).join(bounded(rectangles), (F.col("__x") >= F.col("xlow")) & (F.col("__x") < F.col("xup")) & (F.col("__y") >= F.col("ylow")) & (F.col("__y") < F.col("yup")))
+    return hit.groupBy(*key).agg(F.min(F.struct("rect_id", "excluded")).alias("r")).select(*key, "r.rect_id", "r.excluded")

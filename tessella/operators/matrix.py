@@ -67,3 +67,39 @@ def differs(one: DataFrame, other: DataFrame, tolerance: float) -> DataFrame:
     both = one.select("row", "col", F.col("value").alias("a")).join(other.select("row", "col", F.col("value").alias("b")), ["row", "col"], "full")
     a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
     return both.select("row", "col", a.alias("a"), b.alias("b")).filter(F.abs(F.col("a") - F.col("b")) > tolerance)
+
+
+def hit_between(matrix: DataFrame, owner: Column, owners: tuple[int, int], rows: tuple[int, int]) -> DataFrame:
+    """col of the columns that so many owners and so many rows meet, bounds included."""
+    return hits(matrix, owner).filter(F.col("owners").between(*owners) & F.col("rows").between(*rows)).select("col")
+
+
+def logarithms(matrix: DataFrame) -> DataFrame:
+    """Natural logarithms; a value that isn't positive is an error."""
+    return matrix.withColumn("value", F.when(F.col("value") > 0, F.ln("value")).otherwise(F.raise_error(F.lit("a logarithm of what isn't positive")).cast("double")))
+
+
+def quotients(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """one by other, cell by cell; null where the other is 0."""
+    return one.join(other.withColumnRenamed("value", "__by"), keys).withColumn("value", F.try_divide("value", "__by")).drop("__by")
+
+
+def consistent(pairs: DataFrame, one: str, many: str) -> DataFrame:
+    """One row: whether each of many belongs to a single one, and no pair stands twice."""
+    return pairs.agg((F.count(F.lit(1)) == F.countDistinct(many)).alias("consistent"))
+
+
+def same(one: DataFrame, other: DataFrame) -> DataFrame:
+    """One row: whether both hold the same rows, each as often."""
+    return one.exceptAll(other).unionByName(other.exceptAll(one)).agg((F.count(F.lit(1)) == 0).alias("same"))
+
+
+def tuple_text(*parts: Column) -> Column:
+    """A key of whole numbers as text."""
+    return F.concat_ws("_", *[p.cast("long").cast("string") for p in parts])
+
+
+def tuple_parts(text: Column, n: int) -> list[Column]:
+    """The numbers of such a text; null if there are not as many."""
+    cells = F.split(text, "_")
+    return [F.when(F.size(cells) == n, F.get(cells, F.lit(i)).try_cast("long")) for i in range(n)]

@@ -14,8 +14,8 @@ from tessella.functions.axis import Axis
 from tessella.functions.geometry import slab
 
 
-def crossings(rays: DataFrame, axes: list[Axis]) -> DataFrame:
-    """ray_id, a cell index for each axis (ix, iy, iz) and length: by sorting where each ray crosses the grid's planes.
+def stretches(rays: DataFrame, axes: list[Axis]) -> DataFrame:
+    """ray_id, a cell index for each axis (ix, iy, iz), t0 and t1: by sorting where each ray crosses the grid's planes.
 
     rays: ray_id, and px, py, pz and vx, vy, vz for as many axes as there are. Expressions only.
     """
@@ -33,9 +33,14 @@ def crossings(rays: DataFrame, axes: list[Axis]) -> DataFrame:
     steps = cuts.withColumn("__next", F.lead("__t").over(Window.partitionBy("ray_id").orderBy("__t"))).filter("__next > __t")
     middle = (F.col("__t") + F.col("__next")) / 2
     cells = {f"i{n}": a.index(pi + middle * vi) for n, a, pi, vi in zip(names, axes, p, v, strict=True)}
-    found = steps.select("ray_id", *[c.alias(n) for n, c in cells.items()], (F.col("__next") - F.col("__t")).alias("length"))
-    index = [f"i{n}" for n in names]
-    return found.filter(" AND ".join(f"{i} IS NOT NULL" for i in index)).groupBy("ray_id", *index).agg(F.sum("length").alias("length"))
+    found = steps.select("ray_id", *[c.alias(n) for n, c in cells.items()], F.col("__t").alias("t0"), F.col("__next").alias("t1"))
+    return found.filter(" AND ".join(f"i{n} IS NOT NULL" for n in names))
+
+
+def crossings(rays: DataFrame, axes: list[Axis]) -> DataFrame:
+    """ray_id, a cell index for each axis and length: the stretches of each cell together."""
+    index = [f"i{n}" for n in "xyz"[: len(axes)]]
+    return stretches(rays, axes).groupBy("ray_id", *index).agg(F.sum(F.col("t1") - F.col("t0")).alias("length"))
 
 
 def traverse(p: np.ndarray, v: np.ndarray, low: np.ndarray, step: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

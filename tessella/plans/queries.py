@@ -709,3 +709,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = t("lineitem").select("l_suppkey", "l_quantity", "l_discount")
     priced = lookup.interpolated(points, lookup.widened(raster(t).select("ix", "iy", "z")), X, Y, F.col("l_quantity"), F.col("l_discount"))
     return groups.sums(priced.withColumnRenamed("z", "signal"), ["l_suppkey"], ["signal"])
+
+
+from tessella.plans import more_queries  # noqa: E402, F401 (registers its queries)

@@ -56,3 +56,32 @@ def with_leave_one_out(observations: DataFrame, observed: DataFrame, unknowns: D
     out = invert.solved(cut(observations), cut(observed), unknowns, kernel).join(unknowns.select("col", "prior"), "col")
     whole = out.filter("run = -1")
     return whole, invert.largest_change(out.filter("run <> -1"), whole)
+
+
+def rebuilt_prior(shells: DataFrame, cells: DataFrame, left_out: DataFrame, densities: tuple[float, float, float, float]) -> DataFrame:
+    """ray_id, pl and dl under other densities (cells, upper, lower and lateral shell), from path lengths that were traced once.
+
+    shells: ray_id, kind (upper, lower, lateral), pl. cells and left_out: ray_id, pl in cells that are solved for, and in those too few panels see.
+    """
+    by_kind = dict(zip(("upper", "lower", "lateral"), densities[1:], strict=True))
+    rho = F.lit(None).cast("double")
+    for kind, d in by_kind.items():
+        rho = F.when(F.col("kind") == kind, d).otherwise(rho)
+    parts = shells.select("ray_id", "pl", (F.col("pl") * rho).alias("dl"))
+    for more in (cells, left_out):
+        parts = parts.unionByName(more.select("ray_id", "pl", (F.col("pl") * densities[0]).alias("dl")))
+    return parts.groupBy("ray_id").agg(F.sum("pl").alias("pl"), F.sum("dl").alias("dl"))
+
+
+def relinearised(lengths: DataFrame, densities: DataFrame, slope: Column, sot: DataFrame) -> DataFrame:
+    """The matrix of rays by cells around other densities: lengths times the slope at the density length that these give.
+
+    lengths: row (ray), col, value. densities: col, x. sot: row, sot. slope: of `dl`.
+    """
+    paths = matrix.times_vector(lengths, densities).withColumnRenamed("value", "dl").join(sot, "row")
+    return matrix.scaled_rows(lengths, paths.select("row", (slope * F.col("sot")).alias("factor")))
+
+
+def heights(places: DataFrame, z: Column, floor: float) -> DataFrame:
+    """places, or an error if one lies below the grid's floor."""
+    return places.withColumn("pz", F.when(z >= floor, z).otherwise(F.raise_error(F.lit("a panel below the grid")).cast("double")))
