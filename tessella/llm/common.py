@@ -71,11 +71,11 @@ def of_known_size(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, name) if _bytes(df) is None else df
 
 
-def hash_ranges(df: DataFrame) -> int:
+def hash_ranges(df: DataFrame, size: int = RANGE_BYTES) -> int:
     """Into how many ranges hashes of df are dealt: as many as there are shuffle partitions, and more for a
     table so large that a range of it would not fit a worker. df: of known size."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(least, -(-_bytes(df) // RANGE_BYTES))
+    return max(least, -(-_bytes(df) // size))
 
 
 def in_fold(doc_id, modulus: int, remainder: int):

@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import urllib.parse
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import WORDS, hash_ranges, materialise, of_known_size, shared_dir, worker_memory
-from tessella.llm.exchange import BLOCK, U64, WordHashes, dealt, mix, part_of, together, word_hash
+from tessella.llm.exchange import BLOCK, U64, Ranges, WordHashes, dealt, mix, part_of, runs, together, word_hash
 
 END = 0xE1D0_0000_0000_0001  # a hash for the end of a text
 SCORED = 1_000_000  # tokens that are looked up together
-ROWS = "part int, payload binary"
+#: Bytes of a table in a range: a range is two files, and its counts take less room than texts.
+RANGE = 32 << 20
+MAPS = 4000  # ranges that a worker has mapped; a system allows some ten thousand maps
+ROWS = "part int, about boolean, payload binary"
 
 
 def _folder(docs: DataFrame) -> str:
@@ -63,18 +67,18 @@ class SortedHashes:
     def __init__(self, folder: str, name: str, sizes: list[int]):
         self.folder, self.name, self.parts = folder, name, len(sizes)
         self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.open: OrderedDict[int, tuple[np.ndarray, np.ndarray]] = OrderedDict()
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place among all hashes (-1: none) and count (0: none) of ascending hashes."""
         places, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        cuts = np.searchsorted(part_of(hashes, self.parts), np.arange(self.parts + 1, dtype=U64))
-        for p in range(self.parts):
-            a, b = int(cuts[p]), int(cuts[p + 1])
-            if a == b or self.starts[p] == self.starts[p + 1]:
+        for p, a, b in runs(part_of(hashes, self.parts)):
+            if self.starts[p] == self.starts[p + 1]:
                 continue
             if p not in self.open:
                 self.open[p] = (_map(f"{self.folder}/{self.name}-{p}", U64), _map(f"{self.folder}/{self.name}-{p}-n", np.uint32))
+                if len(self.open) > MAPS:
+                    self.open.popitem(last=False)
             keys, n = self.open[p]
             at = np.searchsorted(keys, hashes[a:b])
             at[at == len(keys)] = 0
@@ -127,7 +131,27 @@ class WordNumbers(dict):
 
 def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     part, payload = zip(*rows, strict=True) if rows else ([], [])
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(payload, pa.binary())], names=["part", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([False] * len(rows), pa.bool_()), pa.array(payload, pa.binary())], names=["part", "about", "payload"])
+
+
+def _again(ranges: Ranges, columns: int, by_mix: bool):
+    """The second cut of many ranges: keys with their counts, summed."""
+
+    def again(part: int, about: bool, payloads: list[bytes]) -> Iterator[tuple[int, bool, bytes]]:
+        keys, counts = _summed(*together(payloads, columns))
+        if by_mix:
+            yield from ((p, False, data) for p, data in _by_mix(keys, counts, ranges.parts))
+        else:
+            yield from ((p, False, data) for p, data in dealt(keys, [counts], ranges.parts))
+
+    return again
+
+
+def _by_mix(keys: np.ndarray, counts: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Ascending keys by range of their bijective hash, and ascending within it."""
+    to = part_of(mix(keys), parts).astype(np.uint16 if parts < 1 << 16 else np.int64)
+    order = np.argsort(to, kind="stable")
+    return [(p, data) for p, a, b in runs(to[order]) for _, data in dealt(keys[order[a:b]], [counts[order[a:b]]], 1)]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[tuple[pa.RecordBatch, list[list[str]]]]:
@@ -186,14 +210,7 @@ def _count_pairs(vocabulary: SortedHashes, parts: int, start: int):
 
         def send() -> pa.RecordBatch:
             keys, counts = _summed(np.concatenate(held))
-            to = part_of(mix(keys), parts).astype(np.uint16 if parts < 1 << 16 else np.int64)
-            order = np.argsort(to, kind="stable")  # by range, and by key within it
-            cuts = np.searchsorted(to[order], np.arange(parts + 1))
-            rows = []
-            for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                if a < b:
-                    rows += [(p, data) for _, data in dealt(keys[order[a:b]], [counts[order[a:b]]], 1)]
-            return _rows(rows)
+            return _rows(_by_mix(keys, counts, parts))
 
         for _, texts in _groups(batches):
             for second in numbers.of(texts):
@@ -300,11 +317,13 @@ class Model:
         return np.log10(p), counts
 
 
-def learn(train: DataFrame) -> Model:
-    """The model of all rows of train (text); its files lie in the shared folder."""
+def learn(train: DataFrame, parts: int | None = None, fanout: int | None = None) -> Model:
+    """The model of all rows of train (text); its files lie in the shared folder. parts, fanout: of `Ranges`, by default by the table's size."""
     texts = of_known_size(train.select("text"), "texts")
-    parts, folder = hash_ranges(texts), _folder(train)
-    sizes = texts.mapInArrow(_count_words(parts), ROWS).groupBy("part").applyInArrow(_keep_words(folder), "part int, size long, total long").collect()
+    ranges, folder = Ranges(hash_ranges(texts, RANGE) if parts is None else parts, fanout), _folder(train)
+    parts, first = ranges.parts, ranges.first
+    counted = ranges.grouped(texts.mapInArrow(_count_words(first), ROWS), _again(ranges, 2, False))
+    sizes = counted.applyInArrow(_keep_words(folder), "part int, size long, total long").collect()
     by_part = {r["part"]: r for r in sizes}
     words = SortedHashes(folder, "word", [by_part[p]["size"] if p in by_part else 0 for p in range(parts)])
     start = int(words.starts[-1])
@@ -313,7 +332,8 @@ def learn(train: DataFrame) -> Model:
     for name in ("total", "left", "before", "count"):
         with open(f"{folder}/{name}", "wb") as f:
             f.truncate(8 * (start + 1))
-    kept = materialise(texts.mapInArrow(_count_pairs(words, parts, start), ROWS).groupBy("part").applyInArrow(_keep_pairs(folder, words.starts), ROWS), "contexts")
+    counted = ranges.grouped(texts.mapInArrow(_count_pairs(words, first, start), ROWS), _again(ranges, 2, True))
+    kept = materialise(counted.applyInArrow(_keep_pairs(folder, words.starts), ROWS), "contexts")
     of_counts = {-1 - r["part"]: np.frombuffer(r["payload"], np.int64) for r in kept.filter("part < 0").collect()}
     pairs = SortedHashes(folder, "pair", [int(of_counts[p][0]) if p in of_counts else 0 for p in range(parts)])
     d2 = discounts(*(sum(np.stack(list(of_counts.values()))[:, 1:]).tolist() if of_counts else (0, 0, 0, 0)))

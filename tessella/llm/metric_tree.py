@@ -1,9 +1,11 @@
 """Exact top-k by inner product with M-trees.
 
 Vectors are rows of a metric space after one more component, which makes all norms equal: then the
-nearest vector is the one with the largest inner product. Rows are dealt into blocks of bounded size; each block
-becomes an M-tree of paged nodes, whose entries hold a routing vector, a covering radius and the
-distance to the parent. The query set, in blocks too, meets every tree. A search takes nodes by their
+nearest vector is the one with the largest inner product. Rows are dealt to the nearest of a bounded number of pivots, and
+what a pivot has into blocks of bounded size; each block becomes an M-tree of paged nodes, whose entries hold a routing vector,
+a covering radius and the distance to the parent. A query first searches one tree of its own pivot. The k-th score that it finds there
+bounds how far away better ones can be, so it then meets only trees whose pivot, less the covering radius around it, is within that
+bound; a tree is loaded once for a block of its queries. A search takes nodes by their
 lower bound, best first, and by the triangle inequality passes over entries whose stored distance to
 the parent already shows that they are too far, before any distance to them is computed.
 
@@ -31,18 +33,20 @@ from pyspark.sql.window import Window
 from tessella.llm.common import materialise
 
 BLOCK = 4096
-QUERY_BLOCK = 512
+QUERY_BLOCK = 4096
 PAGE = 64
+#: Pivots are sent to every task: some thousand numbers each at most.
+PIVOTS = 8192
 
 
 class Tree:
     """Nodes are pages: entries' rows, radii, distances to the parent, children (-1: a vector)."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = PAGE, seed: int = 1):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = PAGE, seed: int = 1, top: float | None = None):
+        """top: the largest squared norm of all trees that are searched together."""
         self.ids, self.vectors = ids, vectors
-        norms = (vectors.astype(float) ** 2).sum(axis=1)
-        self.top = float(norms.max(initial=0.0))
-        self.points = np.hstack([vectors.astype(float), np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
+        self.top = float((vectors.astype(float) ** 2).sum(axis=1).max(initial=0.0)) if top is None else top
+        self.points = _lifted(vectors, self.top)
         self.page, self.random = page, np.random.default_rng(seed)
         self.nodes: list[tuple] = []
         self.computed = 0
@@ -69,24 +73,21 @@ class Tree:
         self.nodes.append((at, radii, to_parent(at), children))
         return len(self.nodes) - 1
 
-    def search(self, own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(score, id) of the k best, best first; `own` is the query's id."""
+    def search(self, own: int, query: np.ndarray, k: int, least: float = -math.inf) -> list[tuple[int, int]]:
+        """(score, id) of the k best, best first; `own` is the query's id. Scores below `least` needn't be found."""
         if self.root < 0:
             return []
-        width = max(len(query), self.vectors.shape[1])
-        q = np.zeros(width, dtype=np.int64)
-        q[: len(query)] = query
-        q = q[: self.vectors.shape[1]] if not q[self.vectors.shape[1] :].any() else q
-        rest = float((q[self.vectors.shape[1] :].astype(float) ** 2).sum())
-        q = q[: self.vectors.shape[1]]
+        # components beyond the block's width meet zeros only
+        q = np.zeros(self.vectors.shape[1], dtype=np.int64)
+        q[: min(len(q), len(query))] = query[: len(q)]
         point = np.append(q.astype(float), 0.0)
         square = float((point**2).sum())
         margin = 1e-9 * (1 + math.sqrt(square) + math.sqrt(self.top))
         exact = float(np.abs(q).max(initial=0)) * float(np.abs(self.vectors).max(initial=0)) * max(1, len(q)) < 2**52
         found: list[tuple[int, int]] = []  # a heap: the worst of the best, (score, -id), first
-        reach = math.inf  # the distance of the worst of the best
+        # the distance of the worst of the best
+        reach = bound_to = math.sqrt(max(0.0, square + self.top - 2.0 * least)) if least > -math.inf else math.inf
         queue = [(0.0, self.root, -1.0)]
-        del rest  # components beyond the block's width meet zeros only
         while queue:
             bound, node, above = heapq.heappop(queue)
             if bound > reach + margin:
@@ -112,7 +113,7 @@ class Tree:
                     elif (s, -i) > found[0]:
                         heapq.heapreplace(found, (s, -i))
                 if len(found) == k:
-                    reach = math.sqrt(max(0.0, square + self.top - 2.0 * found[0][0]))
+                    reach = min(bound_to, math.sqrt(max(0.0, square + self.top - 2.0 * found[0][0])))
             else:
                 distances = self._distances(rows, point)
                 for d, r, c in zip(distances.tolist(), radii.tolist(), children.tolist(), strict=True):
@@ -136,9 +137,15 @@ class Tree:
         return tree
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _lifted(vectors: np.ndarray, top: float) -> np.ndarray:
+    """Vectors with one more component, which makes all squared norms the largest."""
+    real = vectors.astype(float)
+    return np.hstack([real, np.sqrt(np.maximum(top - (real**2).sum(axis=1), 0))[:, None]])
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int = 0) -> np.ndarray:
     rows = column.to_pylist()
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), dtype=np.int64)
+    out = np.zeros((len(rows), max(width, max(map(len, rows), default=0))), dtype=np.int64)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
     return out
@@ -150,15 +157,9 @@ def _products(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.clip(products, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def _grow(block: pa.Table) -> pa.Table:
-    tree = Tree(block.column("id").to_numpy(), _matrix(block.column("vector")))
-    return pa.table({"tree": block.column("tree").slice(0, 1), "payload": pa.array([tree.dump()], pa.binary())})
-
-
-def _gather(block: pa.Table) -> pa.Table:
-    out = io.BytesIO()
-    np.savez(out, ids=block.column("id").to_numpy(), vectors=_matrix(block.column("vector")))
-    return pa.table({"queries": pa.array([out.getvalue()], pa.binary())})
+def _apart(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of points to pivots; some pivots at a time."""
+    return np.concatenate([np.sqrt(((points[:, None, :] - pivots[None, a : a + 64]) ** 2).sum(axis=2)) for a in range(0, len(pivots), 64)], axis=1)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -166,24 +167,80 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
 
     vectors: vec_id and embedding. is_query: which rows are queries; all rows but the query's own are candidates.
     """
+    spark = vectors.sparkSession
     whole = F.transform("embedding", lambda x: F.floor(scale * x.cast("double")))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(sound).select(F.col("vec_id").cast("long").alias("id"), whole.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    n, asking = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
-    trees, blocks = max(1, -(-n // block)), max(1, -(-asking // query_block))
-    dealt = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(parts)).cast("int")
-    grown = rows.select("id", "vector", dealt("tree", trees).alias("tree")).groupBy("tree").applyInArrow(_grow, "tree int, payload binary")
-    grown = materialise(grown, "trees")
-    asked = rows.filter("asks").groupBy("id").agg(F.min("vector").alias("vector")).withColumn("block", dealt("query", blocks)).groupBy("block").applyInArrow(_gather, "queries binary")
-    meets = asked.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).join(grown, "tree").select("payload", "queries")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    n, asking, width, top = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1)), F.max(F.size("vector")), F.max(norm)).first()
+    if not asking:
+        return rows.filter("false").select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
+    chosen = rows.select("vector").orderBy(F.xxhash64(F.lit("pivot"), "id"), "id").limit(min(PIVOTS, -(-n // block))).collect()
+    pivots = _lifted(_matrix(pa.array([r["vector"] for r in chosen], pa.list_(pa.int64())), width), top)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload, queries in zip(batch.column(0), batch.column(1), strict=True):
-                tree, z = Tree.load(payload.as_py()), np.load(io.BytesIO(queries.as_py()))
-                found = [(int(q), i, s) for q, v in zip(z["ids"], z["vectors"], strict=True) for s, i in tree.search(int(q), v, k)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], names=["query_id", "vec_id", "score"])
-
-    found = meets.mapInArrow(run, "query_id long, vec_id long, score long")
+            for at in range(0, len(batch), 1024):
+                some = batch.slice(at, 1024)
+                apart = _apart(_lifted(_matrix(some.column(1), width), top), pivots)
+                nearest = apart.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(nearest, pa.int32()), pa.array(apart.min(axis=1))], names=["id", "vector", "asks", "pivot", "apart"])
+
+    placed = materialise(rows.mapInArrow(place, "id long, vector array<long>, asks boolean, pivot int, apart double"), "placed")
+    # a pivot's trees: as many as its rows need, so that one with a third of all rows has many
+    cells = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).orderBy("pivot").collect()  # a row for each pivot
+    own, first = {}, 0
+    for r in cells:
+        own[r["pivot"]] = (first, max(1, -(-r["n"] // block)))
+        first += own[r["pivot"]][1]
+    starts = F.broadcast(spark.createDataFrame([(p, a, m) for p, (a, m) in own.items()], "pivot int, first int, trees int"))
+    tree = (F.col("first") + F.pmod(F.xxhash64(F.lit("tree"), "id"), F.col("trees"))).cast("int")
+
+    def grow(rows: pa.Table) -> pa.Table:
+        grown = Tree(rows.column("id").to_numpy(), _matrix(rows.column("vector"), width), top=top)
+        return pa.table({"tree": rows.column("tree").slice(0, 1), "pivot": rows.column("pivot").slice(0, 1), "radius": pa.array([max(rows.column("apart").to_pylist())]), "payload": pa.array([grown.dump()], pa.binary())})
+
+    grown = materialise(placed.join(starts, "pivot").select(tree.alias("tree"), "id", "vector", "pivot", "apart").groupBy("tree").applyInArrow(grow, "tree int, pivot int, radius double, payload binary"), "trees")
+    asked = placed.filter("asks").groupBy("id").agg(F.min(F.struct("vector", "pivot")).alias("q")).select("id", "q.vector", "q.pivot").join(starts, "pivot")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64(F.lit("query"), "id"), F.lit(-(-asking // query_block))).cast("int"))
+
+    def searched(queries: DataFrame) -> DataFrame:
+        """query_id, vec_id and score: the best that each query (tree, part, id, vector, least) finds in its tree."""
+        keys = queries.select(F.col("tree").alias("of"), F.col("part").alias("block")).distinct()
+        loads = grown.select("tree", "payload").join(keys, F.col("tree") == F.col("of")).select("of", "block", "payload")
+
+        def search(load: pa.Table, asking: pa.Table) -> pa.Table:
+            found = []
+            if len(load) and len(asking):
+                tree = Tree.load(load.column("payload")[0].as_py())
+                for q, v, least in zip(asking.column("id").to_pylist(), _matrix(asking.column("vector"), width), asking.column("least").to_pylist(), strict=True):
+                    found += [(q, i, s) for s, i in tree.search(q, v, k, -math.inf if least is None else least)]
+            return pa.table([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], names=["query_id", "vec_id", "score"])
+
+        return loads.groupBy("of", "block").cogroup(queries.select("tree", "part", "id", "vector", "least").groupBy("tree", "part")).applyInArrow(search, "query_id long, vec_id long, score long")
+
+    # one tree of its own pivot gives each query a score that the k-th best can't be below
+    none = F.lit(None).cast("long").alias("least")
+    home = searched(asked.select(F.col("first").alias("tree"), "part", "id", "vector", none))
+    bound = home.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    asked = materialise(asked.select("id", "vector", "part").join(bound, asked["id"] == bound["query_id"], "left").select("id", "vector", "part", "least"), "bounds")
+    spheres = grown.select("tree", "pivot", "radius").collect()  # a row for each tree
+    numbers, centers, radii = (np.array([r[c] for r in spheres]) for c in ("tree", "pivot", "radius"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                some = batch.slice(at, 256)
+                points = np.hstack([_matrix(some.column(1), width).astype(float), np.zeros((len(some), 1))])
+                square = (points**2).sum(axis=1)
+                least = np.array([-math.inf if s is None else s for s in some.column(3).to_pylist()])
+                with np.errstate(over="ignore"):
+                    reach = np.sqrt(np.maximum(0, square + top - 2 * least))
+                margin = 1e-9 * (1 + np.sqrt(square) + math.sqrt(top))
+                near = _apart(points, pivots)[:, centers] - radii <= (reach + margin)[:, None]
+                which, at_tree = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[at_tree], pa.int32()), *(some.column(i).take(pa.array(which)) for i in (2, 0, 1, 3))], names=["tree", "part", "id", "vector", "least"])
+
+    met = materialise(asked.mapInArrow(meet, "tree int, part int, id long, vector array<long>, least long"), "met")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    return searched(met).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

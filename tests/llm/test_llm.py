@@ -646,3 +646,19 @@ def test_a_labelled_document_counts_once(spark):
     df, schema = spark.createDataFrame(table, SCHEMA), "doc_id long, quality int, toxic int"
     cuts = [quality_rules.learn(df, spark.createDataFrame(x, schema)).collect() for x in (labels, labels * 3, [*labels, (0, 0, 0)])]
     assert cuts[0] == cuts[1] and cuts[0][0].cut_symbols_per_word is not None and quality_rules.ALPHA * len(quality_rules.RULES) == quality_rules.LIMIT
+
+
+def test_kneser_ney_over_many_ranges(spark, docs):
+    scored = [{r.doc_id: r.score for r in kneser_ney.score(docs, kneser_ney.learn(docs.filter("doc_id < 40"), **o)).collect()} for o in ({}, {"parts": 11, "fanout": 3})]
+    assert scored[0] == pytest.approx(scored[1])
+
+
+def test_common_vectors_and_far_trees(spark):
+    """A third of all rows are one vector; trees far from a query are left out, and nothing is lost."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(12, 6)) * 3
+    vectors = [(i, [float(x) for x in (centers[0] if i % 3 == 0 else centers[i % 12] + rng.normal(size=6) * 0.05)]) for i in range(900)]
+    got = [tuple(r) for r in metric_tree.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, block=50, query_block=4).collect()]
+    table = {i: np.floor(256 * np.array(v)).astype(int) for i, v in vectors}
+    want = [(q, k, i, -s) for q in table if q % 50 == 0 for k, (s, i) in enumerate(sorted((-int(table[q] @ v), i) for i, v in table.items() if i != q)[:5], 1)]
+    assert sorted(got) == sorted(want)
