@@ -46,7 +46,7 @@ BLOCK, CHUNK = 1_500_000, 1 << 18
 #: Slices of a hash range that are sorted one after another, which bounds what is sorted at once.
 FINE = 4
 #: Entries of an anchor that make it hot: in one block, where several documents have it, and in all. Single strings that are handled at once.
-HOT_HERE, HOT, STRINGS = 32, 1000, 200_000
+HOT_HERE, HOT, STRINGS = 256, 5000, 200_000
 ROWS = "part int, kind int, payload binary"
 #: Kinds of rows: by hash range, anchors or surroundings, and questions about strings; by document range, what is done with
 #: (shared anchors, stretches), whole copies, occurrences of strings, and answers.
@@ -134,6 +134,23 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return text[at], place[at], h[at], 64 * n + 2 * stride
 
 
+def _known_hot(h: np.ndarray, doc: np.ndarray, place: np.ndarray, shape: np.ndarray) -> tuple[list[np.ndarray], bytes | None]:
+    """A block's anchors by hash. Of one that it has HOT_HERE times and more, in several documents, only one entry is left, marked as hot
+    whatever the range counts; the others are known to be shared and go home."""
+    order = np.argsort(h, kind="stable")
+    h, doc, place, shape = h[order], doc[order], place[order], shape[order]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+    counts = np.diff(np.append(at, len(h)))
+    here = np.zeros(len(h), bool)
+    for a, c in zip(at[counts >= HOT_HERE].tolist(), counts[counts >= HOT_HERE].tolist(), strict=True):
+        if doc[a : a + c].min() != doc[a : a + c].max():
+            here[a + 1 : a + c] = True
+            shape[a] |= U64(1)
+    if not here.any():
+        return [h, doc, place, shape], None
+    return [c[~here] for c in (h, doc, place, shape)], pack([doc[here], place[here] * U64(2) + U64(1), shape[here]], ascending=False)
+
+
 def _send_anchors(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -158,19 +175,10 @@ def _send_anchors(parts: int):
             rows = []
             if held:
                 h, doc, place, shape = (np.concatenate(c) for c in zip(*held, strict=True))
-                order = np.argsort(h)
-                h, doc, place, shape = h[order], doc[order], place[order], shape[order]
-                at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                counts = np.diff(np.append(at, len(h)))
-                here = np.zeros(len(h), bool)
-                for a, c in zip(at[counts >= HOT_HERE].tolist(), counts[counts >= HOT_HERE].tolist(), strict=True):
-                    if doc[a : a + c].min() != doc[a : a + c].max():
-                        here[a + 1 : a + c] = True
-                        shape[a] |= U64(1)  # hot, whatever the range counts
-                if here.any():
-                    rows += [(int(doc[here][0] % U64(parts)), HOME, pack([doc[here], place[here] * U64(2) + U64(1), shape[here]], ascending=False))]
-                    h, doc, place, shape = h[~here], doc[~here], place[~here], shape[~here]
-                rows += [(p, DATA, data) for p, data in dealt(h, [doc, place, shape], parts)]
+                left, known = _known_hot(h, doc, place, shape)
+                rows += [(p, DATA, data) for p, data in dealt(left[0], left[1:], parts)]
+                if known is not None:
+                    rows.append((int(doc[0] % U64(parts)), HOME, known))
             if wholes:
                 doc, length = (np.array(c, np.int64).view(U64) for c in zip(*wholes, strict=True))
                 rows.append((int(doc[0] % U64(parts)), WHOLE, pack([doc, length], ascending=False)))
@@ -214,9 +222,10 @@ def _anchors_again(ranges: Ranges):
         if kind != DATA:
             yield from ((part * ranges.fine + i % ranges.fine, kind, p) for i, p in enumerate(payloads))
         else:
-            h, *rest = together(payloads, 4)
-            order = np.argsort(h, kind="stable")
-            yield from ((p, DATA, data) for p, data in dealt(h[order], [c[order] for c in rest], ranges.parts))
+            left, known = _known_hot(*together(payloads, 4))
+            yield from ((p, DATA, data) for p, data in dealt(left[0], left[1:], ranges.parts))
+            if known is not None:
+                yield part * ranges.fine, HOME, known
 
     return again
 

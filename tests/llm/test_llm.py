@@ -571,6 +571,19 @@ def test_suffix_dedup_of_texts_that_repeat_themselves(spark, options):
     assert {r.doc_id: tuple(r)[1:5] for r in got} == plain_removal(table)
 
 
+def test_hot_anchors_are_known_in_their_block(spark, monkeypatch):
+    h, doc, place = (np.array(x, np.uint64) for x in ([5] * 300 + [7] * 300 + [9], [*range(300), *[3] * 300, 1], range(601)))
+    left, known = suffix_dedup._known_hot(h, doc, place, np.full(601, 64, np.uint64))
+    assert left[0].tolist() == [5] + [7] * 300 + [9] and left[3].tolist() == [65] + [64] * 301 and exchange.unpack(known, 3)[0].tolist() == list(range(1, 300))
+    monkeypatch.setattr(suffix_dedup, "HOT_HERE", 2)  # executors of a local master are other processes; the functions travel by value
+    rng = random.Random(6)
+    passage = " ".join("".join(rng.choice("abc") for _ in range(5)) for _ in range(30))
+    table = [(i, f"{rng.random()} {passage} {rng.random()}", "en", "a", 1) for i in range(60)]
+    for options in ({}, {"parts": 20, "fanout": 4}):
+        got = suffix_dedup.repeated_spans(spark.createDataFrame(table, SCHEMA), **options).collect()
+        assert {r.doc_id: tuple(r)[1:5] for r in got} == plain_removal(table)
+
+
 def test_runs_of_ten_million_bytes_are_a_few_entries():
     for unit in ("-", "ab", "abcdefghijk"):
         text = (unit * 10_000_000)[: 1 << 18].encode()
