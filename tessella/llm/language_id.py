@@ -20,7 +20,6 @@ doc_id, text and lang are read, so other columns can't clash; an empty table giv
 from __future__ import annotations
 
 import re
-import sys
 import uuid
 from collections.abc import Iterator
 
@@ -39,9 +38,17 @@ ORDERS = (4, 3, 2, 1)
 LONGEST = 40
 SMOOTHING = 0.5
 MEMORY = 500_000
-#: Characters that count as alphanumeric, but are neither letters nor decimal digits, as fractions and superscripts.
-NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERIC}]+")
+#: Takes some numbers for letters too, as fractions and superscripts.
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letters(text: str | None) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    lower = (text or "").lower()
+    words = LETTERS.findall(lower)
+    if lower.isascii() or all(map(str.isalpha, words)):
+        return words
+    return LETTERS.findall("".join([c if c.isalpha() else " " for c in lower]))
 
 
 class Units:
@@ -132,7 +139,7 @@ class Scorer:
         return self.at[word]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall((text or "").lower())
+        words = letters(text)
         if not self.langs or not any(any(map(str.isalpha, w)) for w in words):
             return "und", 0.0
         if self.used > MEMORY + len(self.model["words"]):
