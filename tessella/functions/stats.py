@@ -59,6 +59,18 @@ def asymmetric_gauss(x: Column, mean: float, below: float, above: float) -> Colu
     return math.sqrt(2 / math.pi) / (below + above) * F.exp(-(x - mean) * (x - mean) / (2 * sigma * sigma))
 
 
+def uniform(*key: Column) -> Column:
+    """A number above 0 and up to 1 that depends on the key alone."""
+    return (F.shiftrightunsigned(F.xxhash64(*key), 11) + 1) / float(1 << 53)
+
+
+def asymmetric_draw(mean: Column, below: Column, above: Column, *key: Column, seed: int = 42) -> Column:
+    """A draw from asymmetric_gauss for each row that depends on the seed and the key alone: the side by its share, then half a normal one."""
+    one, two, side = (uniform(F.lit(seed), F.lit(s), *key) for s in ("one", "two", "side"))
+    size = F.abs(F.sqrt(-2 * F.ln(one)) * F.cos(2 * math.pi * two))
+    return F.when(side <= below / (below + above), mean - below * size).otherwise(mean + above * size)
+
+
 def poisson(mean: Column, *key: Column, seed: int = 42) -> Column:
     """A Poisson draw for each row that depends on the seed and the key alone."""
 

@@ -67,6 +67,20 @@ def traverse(p: np.ndarray, v: np.ndarray, low: np.ndarray, step: np.ndarray, n:
     return cells[ok], np.diff(t)[ok]
 
 
+def pillar_stretches(rays: DataFrame, x: Axis, y: Axis, pillars: DataFrame) -> DataFrame:
+    """ray_id, ix, iy, t0 and t1 within pillars (ix, iy, zmin, zmax): the columns that a ray crosses in the plane, cut by their base and top.
+
+    rays: ray_id, px, py, pz, vx, vy, vz, with some movement in the plane.
+    """
+    flat = stretches(rays.select("ray_id", "px", "py", "vx", "vy"), [x, y])
+    met = flat.join(pillars.select("ix", "iy", "zmin", "zmax"), ["ix", "iy"]).join(rays.select("ray_id", "pz", "vz"), "ray_id")
+    a, b = F.try_divide(F.col("zmin") - F.col("pz"), F.col("vz")), F.try_divide(F.col("zmax") - F.col("pz"), F.col("vz"))
+    level, inside = F.col("vz") == 0, (F.col("pz") >= F.col("zmin")) & (F.col("pz") <= F.col("zmax"))
+    low = F.when(level, F.when(inside, F.col("t0"))).otherwise(F.greatest("t0", F.least(a, b)))
+    high = F.when(level, F.when(inside, F.col("t1"))).otherwise(F.least("t1", F.greatest(a, b)))
+    return met.select("ray_id", "ix", "iy", low.alias("t0"), high.alias("t1")).filter("t1 > t0")
+
+
 #: Crossings that are worked out at once, which bounds memory.
 AT_ONCE = 2_000_000
 

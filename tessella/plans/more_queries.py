@@ -257,6 +257,20 @@ def ray_transitions(t):
     return out.select("ray_id", F.size("changes").cast("long").alias("n"), F.round(F.col("changes")[0]["dist"], 6).alias("first"), F.round(length, 5).alias("length"))
 
 
+@query(f"""WITH {STRETCHES}, s AS (SELECT ray_id, t0, t1, (2.0 + CAST(ix + iy AS INTEGER) % 3 - 1.5) / 0.25 AS top FROM st) SELECT ray_id, round(sum(least(t1, top) - t0), 5) AS pl FROM s WHERE least(t1, top) > t0 GROUP BY 1""")
+def pillar_paths(t):
+    """Rays that rise from 1.5 through pillars of 2, 3 and 4."""
+    pillars = t("region").limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("ix")).withColumn("iy", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    pillars = pillars.select("ix", "iy", F.lit(0.0).alias("zmin"), (2.0 + (F.col("ix") + F.col("iy")) % 3).alias("zmax"))
+    found = trace.pillar_stretches(rays(t).withColumns({"pz": F.lit(1.5), "vz": F.lit(0.25)}), *GRID, pillars)
+    return rounded(found.groupBy("ray_id").agg(F.sum(F.col("t1") - F.col("t0")).alias("pl")), 5, "pl")
+
+
+@query(None)
+def asymmetric_draws(t):
+    return t("supplier").select("s_suppkey", stats.asymmetric_draw(F.lit(1.0), F.lit(0.5), F.lit(2.0), F.col("s_suppkey")).alias("x"))
+
+
 @query("""WITH r AS (SELECT o_orderkey, (o_custkey % 10 + 0.5 - 5) / 2.5 AS p, (o_orderkey % 7 - 3) * 0.11 / 2.5 AS w, 1 / 3.0 AS v, -6 / 3.0 AS q FROM orders),
     k AS (SELECT o_orderkey, v * v + w * w AS a, q * v + p * w AS b, q * q + p * p - 1 AS c FROM r)
     SELECT o_orderkey, round(CASE WHEN b * b - a * c > 0 THEN greatest(0, (-b + sqrt(b * b - a * c)) / a - greatest((-b - sqrt(b * b - a * c)) / a, 0)) ELSE 0 END, 6) AS length FROM (SELECT *, 1 FROM k) WHERE true""")

@@ -403,3 +403,18 @@ def test_nonnegative_least_squares_against_all_supports():
             if (x >= 0).all():
                 best = min(best, cost(x))
         assert invert.nonnegative(a, b, start, 0.3).min() >= 0 and cost(invert.nonnegative(a, b, start, 0.3)) == pytest.approx(best, rel=1e-6)
+
+
+def test_asymmetric_draws(spark):
+    draws = spark.range(20_000).select("id", stats.asymmetric_draw(F.lit(1.0), F.lit(0.5), F.lit(2.0), F.col("id")).alias("x"))
+    x = np.array([r.x for r in draws.collect()])
+    assert abs((x < 1).mean() - 0.2) < 0.01 and abs(np.sqrt(np.mean((x[x < 1] - 1) ** 2)) - 0.5) < 0.02 and abs(np.sqrt(np.mean((x[x > 1] - 1) ** 2)) - 2) < 0.05
+    assert rows(draws.limit(50)) == rows(draws.repartition(5).filter("id < 50"))
+
+
+def test_pillars_cut_rays(spark):
+    x = Axis("x", 4, 0.0, 4.0)
+    pillars = spark.createDataFrame([(i, j, 1.0, 3.0) for i in range(4) for j in range(4)], "ix int, iy int, zmin double, zmax double")
+    r = spark.createDataFrame([(1, -1.0, 0.5, 0.0, 1.0, 0.0, 0.5), (2, -1.0, 0.5, 2.0, 1.0, 0.0, 0.0), (3, -1.0, 0.5, 5.0, 1.0, 0.0, 0.0), (4, -1.0, 0.5, 3.5, 1.0, 0.0, -0.25)], "ray_id long, px double, py double, pz double, vx double, vy double, vz double")
+    got = dict(trace.pillar_stretches(r, x, x, pillars).groupBy("ray_id").agg(F.sum(F.col("t1") - F.col("t0"))).collect())
+    assert got == pytest.approx({1: 3.0, 2: 4.0, 4: 3.0})
