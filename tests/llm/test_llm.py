@@ -350,8 +350,42 @@ def test_kneser_ney_against_a_plain_version(spark, docs):
         assert any(tuple(r)[1:4] == x[:3] and tuple(r)[4:] == pytest.approx(x[3:]) for x in want[r.doc_id])
 
 
-def test_kneser_ney_without_training(spark):
-    got = kneser_ney.score(clashing(spark), kneser_ney.learn(spark.createDataFrame([], SCHEMA))).collect()
+def test_kneser_ney_of_triples_against_a_plain_version(spark, docs):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    padded = lambda t: ["<s>", "<s>", *WORD.findall((t or "").translate(lower)), "</s>"]
+    grams = lambda w: list(zip(w, w[1:], w[2:], strict=False))
+    counts = [collections.Counter(g for r in docs.filter("doc_id < 40").collect() for g in grams(padded(r.text)))]
+    for _ in range(2):  # shorter ones count what precedes them
+        counts.insert(0, collections.Counter(g[1:] for g in counts[0]))
+    d = [kneser_ney.discounts(*[sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]) for c in counts]
+    cut = lambda n, d: n - (0, *d)[min(n, 3)]
+    after = collections.defaultdict(list)
+    for c in counts:
+        for g, n in c.items():
+            after[g[:-1]].append(n)
+    v = len(counts[0])
+
+    def p(g):
+        k, seen = len(g) - 1, after.get(g[:-1])
+        shorter = 1 / (v + 1) if not k else None
+        if shorter is None:
+            shorter = p(g[1:])
+        if not seen:
+            return shorter
+        return (cut(counts[k][g], d[k]) + sum(n - cut(n, d[k]) for n in seen) * shorter) / sum(seen)
+
+    common = max(counts[2], key=counts[2].get)[:2]
+    for a in (("<s>", "<s>"), common, ("unseen", common[1]), ("unseen", "unseen")):
+        assert sum(p((*a, *w)) for w in counts[0]) + p((*a, "never")) == pytest.approx(1)
+    table = [*[tuple(r) for r in docs.collect()], *odd(), (300, "UNSEEN abc words", "en", "a", 1)]
+    model = kneser_ney.learn(docs.filter("doc_id < 40"), order=3)
+    got = sorted(r.score for r in kneser_ney.score(spark.createDataFrame(table, SCHEMA), model).collect())
+    assert got == pytest.approx(sorted(sum(math.log10(p(g)) for g in grams(padded(t))) for _, t, *_ in table))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_without_training(spark, order):
+    got = kneser_ney.score(clashing(spark), kneser_ney.learn(spark.createDataFrame([], SCHEMA), order)).collect()
     assert all((r.train_tokens, r.n_known, r.base_score, r.score) == (0, 0, 0.0, 0.0) for r in got) and len(got) == 2
 
 
@@ -713,8 +747,9 @@ def test_a_labelled_document_counts_once(spark):
     assert cuts[0] == cuts[1] and cuts[0][0].cut_symbols_per_word is not None and quality_rules.ALPHA * len(quality_rules.RULES) == quality_rules.LIMIT
 
 
-def test_kneser_ney_over_many_ranges(spark, docs):
-    scored = [{r.doc_id: r.score for r in kneser_ney.score(docs, kneser_ney.learn(docs.filter("doc_id < 40"), **o)).collect()} for o in ({}, {"parts": 11, "fanout": 3})]
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_over_many_ranges(spark, docs, order):
+    scored = [{r.doc_id: r.score for r in kneser_ney.score(docs, kneser_ney.learn(docs.filter("doc_id < 40"), order, **o)).collect()} for o in ({}, {"parts": 11, "fanout": 3})]
     assert scored[0] == pytest.approx(scored[1])
 
 
