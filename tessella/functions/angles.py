@@ -54,23 +54,55 @@ def _cross(a: list[Column], b: list[Column]) -> list[Column]:
     return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
 
 
+def _vector(row: Column, name: str) -> list[Column]:
+    return [row[f"{name}{i}"] for i in range(3)]
+
+
+def _row(single: dict[str, Column], **vectors: list[Column]) -> Column:
+    return F.struct(*[x.alias(k) for k, x in single.items()], *[x.alias(f"{k}{i}") for k, v in vectors.items() for i, x in enumerate(v)])
+
+
 def aimed(v: list[Column], source: list[Column], target: list[Column]) -> list[Column]:
     """v turned as source must be to point like target: about z first, then by the shortest way. source and target are unit
-    vectors; where they are opposite after the first turn, the second goes by way of the axis that source has least of."""
-    flat = (F.hypot(source[0], source[1]) > 1e-15) & (F.hypot(target[0], target[1]) > 1e-15)
-    psi = F.when(flat, F.atan2(target[1], target[0]) - F.atan2(source[1], source[0])).otherwise(0.0)
-    about_z = lambda u: [F.cos(psi) * u[0] - F.sin(psi) * u[1], F.sin(psi) * u[0] + F.cos(psi) * u[1], u[2]]
-    a, w = about_z(source), about_z(v)
-    cosine, axis = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(a, target))), _cross(a, target)
-    sine = F.sqrt(_dot(axis, axis))
-    size = [F.abs(x) for x in a]
-    first, second = (size[0] < size[1]) & (size[0] < size[2]), size[1] < size[2]
-    other = [F.when(first, 1.0).otherwise(0.0), F.when(~first & second, 1.0).otherwise(0.0), F.when(~first & ~second, 1.0).otherwise(0.0)]
-    side = _cross(a, other)
-    k = [F.when(sine < 1e-15, F.try_divide(s, F.sqrt(_dot(side, side)))).otherwise(F.try_divide(x, sine)) for x, s in zip(axis, side, strict=True)]
-    across, along = _cross(k, w), _dot(k, w)
-    turned_ = [w[i] * cosine + across[i] * sine + k[i] * along * (1 - cosine) for i in range(3)]
-    return [F.when(cosine >= 1 - 1e-12, w[i]).otherwise(turned_[i]) for i in range(3)]
+    vectors; where they are opposite after the first turn, the second goes by way of the axis that source has least of.
+
+    The steps pass rows on, so that each computes its numbers once: as one expression they are beyond what Spark compiles.
+    """
+
+    def about_z(r: Column) -> Column:
+        s, t = _vector(r, "s"), _vector(r, "t")
+        flat = (F.hypot(s[0], s[1]) > 1e-15) & (F.hypot(t[0], t[1]) > 1e-15)
+        psi = F.when(flat, F.atan2(t[1], t[0]) - F.atan2(s[1], s[0])).otherwise(0.0)
+        return _row({"cos": F.cos(psi), "sin": F.sin(psi)}, v=_vector(r, "v"), s=s, t=t)
+
+    def flat_turn(r: Column) -> Column:
+        turn = lambda u: [r["cos"] * u[0] - r["sin"] * u[1], r["sin"] * u[0] + r["cos"] * u[1], u[2]]
+        return _row({}, w=turn(_vector(r, "v")), a=turn(_vector(r, "s")), t=_vector(r, "t"))
+
+    def axes(r: Column) -> Column:
+        a, t = _vector(r, "a"), _vector(r, "t")
+        size = [F.abs(x) for x in a]
+        first, second = (size[0] < size[1]) & (size[0] < size[2]), size[1] < size[2]
+        other = [F.when(first, 1.0).otherwise(0.0), F.when(~first & second, 1.0).otherwise(0.0), F.when(~first & ~second, 1.0).otherwise(0.0)]
+        cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _dot(a, t)))
+        return _row({"cosine": cosine}, w=_vector(r, "w"), axis=_cross(a, t), side=_cross(a, other))
+
+    def unit(r: Column) -> Column:
+        axis, side = _vector(r, "axis"), _vector(r, "side")
+        sine = F.sqrt(_dot(axis, axis))
+        k = [F.when(sine < 1e-15, F.try_divide(s, F.sqrt(_dot(side, side)))).otherwise(F.try_divide(x, sine)) for x, s in zip(axis, side, strict=True)]
+        return _row({"cosine": r["cosine"], "sine": sine}, w=_vector(r, "w"), k=k)
+
+    def second_turn(r: Column) -> Column:
+        w, k, cosine = _vector(r, "w"), _vector(r, "k"), r["cosine"]
+        across, along = _cross(k, w), _dot(k, w)
+        turned_ = [w[i] * cosine + across[i] * r["sine"] + k[i] * along * (1 - cosine) for i in range(3)]
+        return _row({}, v=[F.when(cosine >= 1 - 1e-12, w[i]).otherwise(turned_[i]) for i in range(3)])
+
+    rows = F.array(_row({}, v=v, s=source, t=target))
+    for step in (about_z, flat_turn, axes, unit, second_turn):
+        rows = F.transform(rows, step)
+    return _vector(rows[0], "v")
 
 
 def azimuth(v: list[Column]) -> Column:
