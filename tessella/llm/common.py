@@ -59,6 +59,17 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def looked_up(many: DataFrame, one: DataFrame, on: list[str]) -> DataFrame:
+    """many with the columns of one, whose keys are unique; null where it doesn't have the key.
+
+    A key may hold any share of many: its rows are dealt by a hash of the whole row, and each share looks the key up for itself.
+    """
+    shares = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = many.withColumn("__share", F.pmod(F.xxhash64(*many.columns), F.lit(shares)))
+    known = dealt.select(*on, "__share").distinct().join(one, on)
+    return dealt.join(known, [*on, "__share"], "left").drop("__share")
+
+
 def _bytes(df: DataFrame) -> int | None:
     """Bytes of what df is read from; None if Spark doesn't know."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

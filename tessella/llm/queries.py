@@ -91,4 +91,11 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_language_id, op4_quality_rules, op5_suffix_array_dedup, op6_token_counts, op7_lm_scoring, op8_ngram_jaccard_join, op9_pii_pseudonyms, op10_exact_top_k)}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.prefix_trie import of_blocks
+
+    out = of_blocks(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_language_id, op4_quality_rules, op5_suffix_array_dedup, op6_token_counts, op7_lm_scoring, op8_ngram_jaccard_join, op9_pii_pseudonyms, op10_exact_top_k, op11_conversation_trie)}

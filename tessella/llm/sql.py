@@ -47,4 +47,34 @@ QUALITY = rf"""
     judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed FROM measured LEFT JOIN cuts USING (stratum))
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT ({_OVER}) AS kept FROM judged"""
 
-SQL: dict[str, str] = {"op4_quality_rules": QUALITY, "op8_ngram_jaccard_join": JACCARD, "op10_exact_top_k": TOP_K}
+
+
+def crc32(text: str) -> str:
+    """Unsigned crc32 of a text of ASCII characters, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda c, s: xor(xor(c, s) >> 1, 3988292384 * (xor(c, s) & 1))), 4294967295)"
+
+
+TRIE = f"""
+    WITH turns AS (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+            sha256(concat(strlen(coalesce(role, '')), ':', role, text)) AS turn_hash, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT conv_id, {crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM turns WHERE i = 1),
+    rebuilt AS (
+        SELECT c.conv_id, t.i, t.turn_hash, t.n FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.i <= c.h
+        UNION ALL SELECT c.conv_id, t.i, t.turn_hash, t.n FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.i > c.h),
+    prefixes AS (
+        SELECT conv_id, row_number() OVER w AS depth, string_agg(turn_hash, ',') OVER w AS path, n FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING)
+        UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+    members AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM prefixes),
+    nodes AS (
+        SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(n) AS saved, CASE WHEN depth > 0 THEN left(path, greatest(0, 65 * (depth - 1) - 1)) END AS up,
+            sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM members GROUP BY depth, path),
+    families AS (SELECT depth - 1 AS depth, up AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+    leafed AS (SELECT nodes.*, coalesce(families.n, 0) AS n_children FROM nodes LEFT JOIN families USING (depth, path)),
+    spread AS (SELECT depth, path, saved, n_children, unnest(range(0, depth + 1)) AS d FROM leafed),
+    sums AS (SELECT d AS depth, left(path, greatest(0, 65 * d - 1)) AS path, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM spread GROUP BY ALL)
+    SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+    FROM leafed x JOIN sums USING (depth, path) LEFT JOIN nodes p ON p.depth = x.depth - 1 AND p.path = x.up"""
+
+SQL: dict[str, str] = {"op4_quality_rules": QUALITY, "op8_ngram_jaccard_join": JACCARD, "op10_exact_top_k": TOP_K, "op11_conversation_trie": TRIE}
