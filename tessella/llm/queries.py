@@ -98,4 +98,16 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_language_id, op4_quality_rules, op5_suffix_array_dedup, op6_token_counts, op7_lm_scoring, op8_ngram_jaccard_join, op9_pii_pseudonyms, op10_exact_top_k, op11_conversation_trie)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessella.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_source_mixing, op3_language_id, op4_quality_rules, op5_suffix_array_dedup, op6_token_counts, op7_lm_scoring, op8_ngram_jaccard_join, op9_pii_pseudonyms, op10_exact_top_k, op11_conversation_trie, op12_merkle_manifest, op13_warc)}

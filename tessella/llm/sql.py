@@ -77,4 +77,42 @@ TRIE = f"""
     SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
     FROM leafed x JOIN sums USING (depth, path) LEFT JOIN nodes p ON p.depth = x.depth - 1 AND p.path = x.up"""
 
-SQL: dict[str, str] = {"op4_quality_rules": QUALITY, "op8_ngram_jaccard_join": JACCARD, "op10_exact_top_k": TOP_K, "op11_conversation_trie": TRIE}
+
+def _leaf(text: str) -> str:
+    fields = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({fields})"
+
+
+def _tree(of: str) -> str:
+    """Rows of a recursive table: level, grp, idx, n and digest, from level 0 in `of`."""
+    up = "SELECT level + 1, grp, idx // 8 AS idx, (n + 7) // 8 AS n, sha256(string_agg(digest, '' ORDER BY idx)) FROM {0} WHERE n > 1 GROUP BY level, grp, idx // 8, n"
+    return f"SELECT 0 AS level, grp, idx, n, digest FROM {of} UNION ALL {up}"
+
+
+MERKLE = f"""
+    WITH RECURSIVE hashed AS (
+        SELECT doc_id, coalesce('.' || lang, '') AS grp, {_leaf("text")} AS digest,
+            CASE WHEN {crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf("text")} END AS tried FROM documents),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, digest, tried) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM hashed),
+    tree AS ({_tree("leaves").format("tree")}),
+    subroots AS (SELECT '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n, digest, grp AS lang FROM tree WHERE n = 1),
+    top AS ({_tree("subroots").format("top")}),
+    runs AS (
+        SELECT 0 AS part, level, grp, idx // 8 AS run, list(digest ORDER BY idx) AS nodes FROM tree WHERE n > 1 GROUP BY ALL
+        UNION ALL SELECT 1, level, grp, idx // 8 AS run, list(digest ORDER BY idx) FROM top WHERE n > 1 GROUP BY ALL),
+    own AS (SELECT part, level, leaves.*, CAST(leaves.idx // CAST(power(8, level) AS BIGINT) % 8 AS BIGINT) AS place, nodes FROM leaves JOIN runs ON part = 0 AND runs.grp = leaves.grp AND run = leaves.idx // CAST(power(8, level + 1) AS BIGINT)),
+    shared AS (SELECT part, level, leaves.*, CAST(subroots.idx // CAST(power(8, level) AS BIGINT) % 8 AS BIGINT) AS place, nodes FROM leaves JOIN subroots ON subroots.lang = leaves.grp JOIN runs ON part = 1 AND run = subroots.idx // CAST(power(8, level + 1) AS BIGINT)),
+    steps AS (SELECT *, array_to_string(nodes[:place], '') AS before, array_to_string(nodes[place + 2:], '') AS after FROM (SELECT * FROM own UNION ALL SELECT * FROM shared)),
+    proven AS (SELECT grp, idx, sha256(string_agg(before || after, '' ORDER BY part, level)) AS proof, list(before || '|' || after ORDER BY part, level) AS path FROM steps GROUP BY ALL),
+    folded AS (SELECT leaves.*, coalesce(proof, sha256('')) AS proof_sha256, list_reduce(list_prepend(tried, coalesce(path, [])), lambda a, s: sha256(replace(s, '|', a))) AS folded_root FROM leaves LEFT JOIN proven USING (grp, idx))
+    SELECT doc_id, folded.digest AS leaf, subroots.digest AS subroot, top.digest AS root, proof_sha256, folded_root, folded_root = top.digest AS verified
+    FROM folded JOIN subroots ON subroots.lang = folded.grp CROSS JOIN (SELECT digest FROM top WHERE n = 1) AS top"""
+
+
+ARCHIVES = """
+    WITH known AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS place, first(page_id) OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS last FROM known),
+    typed AS (SELECT *, place > 1 AND strlen(payload) >= 1000 AS again FROM ranked)
+    SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to FROM typed"""
+
+SQL: dict[str, str] = {"op4_quality_rules": QUALITY, "op8_ngram_jaccard_join": JACCARD, "op10_exact_top_k": TOP_K, "op11_conversation_trie": TRIE, "op12_merkle_manifest": MERKLE, "op13_warc": ARCHIVES}
