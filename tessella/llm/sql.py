@@ -50,9 +50,9 @@ QUALITY = rf"""
 
 
 def crc32(text: str) -> str:
-    """Unsigned crc32 of a text of ASCII characters, bit by bit."""
+    """Unsigned crc32 of a text of ASCII characters, bit by bit; null of null."""
     bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
-    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda c, s: xor(xor(c, s) >> 1, 3988292384 * (xor(c, s) & 1))), 4294967295)"
+    return f"CASE WHEN {text} IS NOT NULL THEN xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda c, s: xor(xor(c, s) >> 1, 3988292384 * (xor(c, s) & 1))), 4294967295) END"
 
 
 TRIE = f"""
