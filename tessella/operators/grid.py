@@ -176,7 +176,12 @@ def lowest_top(pillars: DataFrame, x: Axis, y: Axis, circles: DataFrame) -> Data
     dx, dy = x.center(F.col("ix")) - F.col("cx"), y.center(F.col("iy")) - F.col("cy")
     at = (F.col("ix") == x.index(F.col("cx"))) & (F.col("iy") == y.index(F.col("cy")))
     within = dx * dx + dy * dy <= F.col("radius") * F.col("radius")
-    met = F.broadcast(circles).join(pillars.select("ix", "iy", F.col("zmax").alias("__z")), within | at)
+    covered = circles
+    for a, name, middle in ((x, "ix", "cx"), (y, "iy", "cy")):  # the cells around each circle, a row each
+        first, last = (F.floor((F.col(middle) + s * F.col("radius") - a.min) / a.interval) for s in (-1, 1))
+        span = F.transform(F.sequence(F.greatest(first - 1, F.lit(0)), F.least(last + 1, F.lit(a.nbin - 1))), lambda i: i.cast("int"))
+        covered = covered.withColumn(name, F.explode(F.when((last >= -1) & (first <= a.nbin), span)))
+    met = covered.filter(within | at).join(pillars.select("ix", "iy", F.col("zmax").alias("__z")), ["ix", "iy"])
     out = met.groupBy(*circles.columns).agg(F.coalesce(F.min(F.when(within, F.col("__z"))), F.min(F.when(at, F.col("__z")))).alias("zmax"))
     inside = x.index(F.col("cx")).isNotNull() & y.index(F.col("cy")).isNotNull()
     every = circles.withColumn("cx", F.when(inside, F.col("cx")).otherwise(F.raise_error(F.lit("a circle outside the grid")).cast("double")))

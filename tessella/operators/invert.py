@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.physics import covariance
+from tessella.operators import tiled
+from tessella.operators.windows import dense_numbers, stored
 
-#: A dense solve takes place in one worker; more unknowns are an error.
+#: A dense solve takes place in one worker; with more unknowns `solved` works in tiles, and `solved_nonnegative` is an error.
 MOST_UNKNOWNS = 20_000
+#: Unknowns beyond which `solved` works in tiles.
+TILED = 4_000
+#: Rows of a covariance that are made at a time.
+ROWS = 512
 
 
 def posterior(a: np.ndarray, residual: np.ndarray, noise: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -26,20 +32,31 @@ def posterior(a: np.ndarray, residual: np.ndarray, noise: np.ndarray, prior: np.
 
 
 def prior_covariance(sigma: float, lengths: tuple[float, ...], kind: str = "iso", diagonal: float = 0.0):
-    """A function of coordinates (n, 3) that gives the covariance of the places: as functions.physics.covariance says it."""
+    """A function of coordinates (n, 3) that gives the covariance of the places: as functions.physics.covariance says it.
 
-    def of(xyz: np.ndarray) -> np.ndarray:
-        apart = lambda axes: np.sqrt(sum((xyz[:, None, i] - xyz[None, :, i]) ** 2 for i in axes))
+    Its `tile` is that of places with others, which may be the same ones.
+    """
+
+    def tile(one: np.ndarray, other: np.ndarray, same: bool) -> np.ndarray:
+        apart = lambda axes: np.sqrt(sum((one[:, None, i] - other[None, :, i]) ** 2 for i in axes))
         if kind == "iso":
             reach = apart((0, 1, 2)) / lengths[0]
         else:
             flat, deep = apart((0, 1)) / lengths[0], apart((2,)) / lengths[1]
             reach = {"separable": lambda: flat + deep, "ellipsoidal": lambda: np.sqrt(flat**2 + deep**2)}[kind]()
         out = sigma**2 * np.exp(-reach)
+        if same:
+            np.fill_diagonal(out, (diagonal if diagonal > 0 else sigma) ** 2)
+        return out
+
+    def of(xyz: np.ndarray) -> np.ndarray:
+        out = np.empty((len(xyz), len(xyz)))
+        for k in range(0, len(xyz), ROWS):
+            out[k : k + ROWS] = tile(xyz[k : k + ROWS], xyz, False)
         np.fill_diagonal(out, (diagonal if diagonal > 0 else sigma) ** 2)
         return out
 
-    of.of_places = True
+    of.of_places, of.tile = True, tile
     return of
 
 
@@ -47,11 +64,11 @@ def solved(matrix: DataFrame, observed: DataFrame, unknowns: DataFrame, kernel,
     """by, col, density and error of each run.
 
     matrix: by, row, col, value. observed: by, row, residual, variance. unknowns: col, x, y, z, prior; the same for all runs.
-    kernel: (dx, dy, dz) arrays -> covariance, or what prior_covariance gives. The covariance is made where it is used, once for all runs of a task.
+    kernel: (dx, dy, dz) arrays -> covariance, or what prior_covariance gives. The covariance is made where it is used, once for all runs of a task. More than
+    TILED unknowns are solved in tiles.
     """
-    n = unknowns.count()
-    if n > MOST_UNKNOWNS:
-        raise ValueError(f"{n} unknowns; a dense solve takes {MOST_UNKNOWNS} at most")
+    if unknowns.count() > TILED:
+        return tiled.solved(matrix, observed, unknowns, kernel, by)
     place = unknowns.orderBy("col").toPandas()  # bounded by the check above
     xyz, cols, start = place[["x", "y", "z"]].to_numpy(float), place["col"].to_numpy(), place["prior"].to_numpy(float)
     kind, made = matrix.schema[by].dataType.simpleString(), {}
@@ -111,14 +128,14 @@ def solved_nonnegative(matrix: DataFrame, observed: DataFrame, unknowns: DataFra
 
 
 def pairs(places: DataFrame, sigma: float, lengths: tuple[float, ...], kind: str = "iso", diagonal: float = 0.0) -> DataFrame:
-    """one, other and the covariance of all pairs of places (col, x, y, z): as many as a dense solve takes, or an error."""
-    n = places.count()
-    if n > MOST_UNKNOWNS:
-        raise ValueError(f"{n} places; a dense covariance takes {MOST_UNKNOWNS} at most")
-    one, other = (places.select(*[F.col(c).alias(f"{c}{i}") for c in ("col", "x", "y", "z")]) for i in (1, 2))
+    """one, other and the covariance of all pairs of places (col, x, y, z): the covariance matrix as a table, joined block by block."""
+    known = stored(dense_numbers(places.select("col", "x", "y", "z"), ["col"], "__n").withColumn("__block", F.floor(F.col("__n") / ROWS)), "places")
+    last = (known.agg(F.max("__block")).first()[0] or 0) + 1
+    one, other = (known.select("__block", *[F.col(c).alias(f"{c}{i}") for c in ("col", "x", "y", "z")]) for i in (1, 2))
+    one = one.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last - 1).cast("long"))))
     d = [F.col(f"{c}1") - F.col(f"{c}2") for c in "xyz"]
     value = covariance(kind, F.col("col1") == F.col("col2"), *d, sigma, lengths, diagonal)
-    return one.crossJoin(F.broadcast(other)).select(F.col("col1").alias("one"), F.col("col2").alias("other"), value.alias("value"))
+    return one.join(other, "__block").select(F.col("col1").alias("one"), F.col("col2").alias("other"), value.alias("value"))
 
 
 def largest_change(runs: DataFrame, whole: DataFrame, least: float = 1e-6) -> DataFrame:

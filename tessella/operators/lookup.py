@@ -8,15 +8,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions.axis import Axis
 from tessella.functions.physics import bilinear
-
-#: A table is broadcast only if Spark's own estimate, which is from above, has at most so many bytes; else Spark decides as it runs.
-BROADCAST_BYTES = 64 << 20
-
-
-def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size <= most else df
-
+from tessella.operators.intervals import as_of, bounded, held, meeting
 
 def widened(nodes: DataFrame, value: str = "z") -> DataFrame:
     """Each node with its three neighbours up: one join then serves an interpolation."""
@@ -41,35 +33,52 @@ def segments(profile: DataFrame, by: list[str] | None = None) -> DataFrame:
     return profile.select(*(by or []), F.col("x").alias("x0"), F.lead("x").over(w).alias("x1"), F.col("y").alias("y0"), F.lead("y").over(w).alias("y1")).filter("x1 IS NOT NULL")
 
 
-def forward(points: DataFrame, pieces: DataFrame, at: Column) -> DataFrame:
-    """points with y on the piece that holds x; a point outside is dropped."""
-    out = points.withColumn("__x", at).join(bounded(pieces), (F.col("__x") >= F.col("x0")) & (F.col("__x") < F.col("x1")))
+def forward(points: DataFrame, pieces: DataFrame, at: Column, strict: bool = False) -> DataFrame:
+    """points with y on the piece that holds x; a point outside is dropped, or an error if strict."""
+    placed = points.withColumn("__x", at)
+    if strict:
+        span = pieces.agg(F.min("x0").alias("__low"), F.max("x1").alias("__high"))
+        inside = (F.col("__x") >= span.select("__low").scalar()) & (F.col("__x") < span.select("__high").scalar())
+        placed = placed.withColumn("__x", F.when(F.coalesce(inside, F.lit(False)), F.col("__x")).otherwise(F.raise_error(F.lit("a place outside the profile")).cast("double")))
+    out = held(placed, pieces, [(F.col("__x"), "x0", "x1")])
     return out.withColumn("y", F.col("y0") + (F.col("__x") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))).drop("__x", "x0", "x1", "y0", "y1")
 
 
+def along(points: DataFrame, profile: DataFrame, at: Column, by: list[str] | None = None) -> DataFrame:
+    """points with y by linear interpolation in the profile (by, x, y); null outside. Both are sorted together, as for very long profiles."""
+    pieces = segments(profile, by).withColumnRenamed("x0", "__x0")
+    out = as_of(points.withColumn("__x", at), pieces, F.col("__x"), "__x0", by)
+    y = F.col("y0") + (F.col("__x") - F.col("__x0")) * (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("__x0"))
+    return out.withColumn("y", F.when(F.col("__x") < F.col("x1"), y)).drop("__x", "__x0", "x1", "y0", "y1")
+
+
 def inverse(points: DataFrame, pieces: DataFrame, level: Column) -> DataFrame:
     """points with every x at which the profile has the level: one row for each."""
-    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
-    out = points.withColumn("__y", level).join(bounded(pieces), (F.col("__y") >= low) & (F.col("__y") < high))
-    return out.withColumn("x", F.col("x0") + (F.col("__y") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))).drop("__y", "x0", "x1", "y0", "y1")
+    sides = pieces.withColumns({"__low": F.least("y0", "y1").cast("double"), "__high": F.greatest("y0", "y1").cast("double")})
+    out = held(points.withColumn("__y", level), sides, [(F.col("__y"), "__low", "__high")])
+    return out.withColumn("x", F.col("x0") + (F.col("__y") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))).drop("__y", "__low", "__high", "x0", "x1", "y0", "y1")
 
 
-def first_rectangle(points: DataFrame, rectangles: DataFrame, x: Column, y: Column, key: list[str]) -> DataFrame:
-    """key and the smallest rect_id that holds the point; if that one is excluded the point is dropped.
+def first_rectangle_of_all(points: DataFrame, rectangles: DataFrame, x: Column, y: Column, key: list[str]) -> DataFrame:
+    """key, rect_id and excluded of the first rectangle that holds each point, excluded ones too.
 
     rectangles: rect_id, excluded, xlow, xup, ylow, yup, half-open.
     """
-    hit = points.withColumns({"__x": x, "__y": y}).join(bounded(rectangles), (F.col("__x") >= F.col("xlow")) & (F.col("__x") < F.col("xup")) & (F.col("__y") >= F.col("ylow")) & (F.col("__y") < F.col("yup")))
-    return hit.groupBy(*key).agg(F.min(F.struct("rect_id", "excluded")).alias("r")).filter("NOT r.excluded").select(*key, F.col("r.rect_id").alias("rect_id"))
+    hit = held(points, rectangles, [(x, "xlow", "xup"), (y, "ylow", "yup")])
+    return hit.groupBy(*key).agg(F.min(F.struct("rect_id", "excluded")).alias("r")).select(*key, "r.rect_id", "r.excluded")
+
+
+def first_rectangle(points: DataFrame, rectangles: DataFrame, x: Column, y: Column, key: list[str]) -> DataFrame:
+    """key and the smallest rect_id that holds the point; if that one is excluded the point is dropped."""
+    return first_rectangle_of_all(points, rectangles, x, y, key).filter("NOT excluded").drop("excluded")
 
 
 def overlaps(rectangles: DataFrame) -> DataFrame:
     """Pairs of rectangles that share some area, with its size, or an edge (area 0)."""
-    a, b = rectangles.alias("a"), rectangles.alias("b")
-    dx = F.least("a.xup", "b.xup") - F.greatest("a.xlow", "b.xlow")
-    dy = F.least("a.yup", "b.yup") - F.greatest("a.ylow", "b.ylow")
-    met = a.join(b, (F.col("a.rect_id") < F.col("b.rect_id")) & (dx >= 0) & (dy >= 0) & ((dx > 0) | (dy > 0)))
-    return met.select(F.col("a.rect_id").alias("one"), F.col("b.rect_id").alias("other"), (dx * dy).alias("area"))
+    dx = F.least("one.xup", "other.xup") - F.greatest("one.xlow", "other.xlow")
+    dy = F.least("one.yup", "other.yup") - F.greatest("one.ylow", "other.ylow")
+    met = meeting(rectangles, "rect_id").filter((dx > 0) | (dy > 0))
+    return met.select(F.col("one.rect_id").alias("one"), F.col("other.rect_id").alias("other"), (dx * dy).alias("area"))
 
 
 def subtract(one: tuple[float, float, float, float], other: tuple[float, float, float, float]) -> list[tuple[float, float, float, float]]:
@@ -90,9 +99,3 @@ def disjoint(rectangles: list[tuple[float, float, float, float]]) -> list[tuple[
             left = [piece for r in left for piece in subtract(r, other)]
         out += left
     return out
-
-
-def first_rectangle_of_all(points: DataFrame, rectangles: DataFrame, x: Column, y: Column, key: list[str]) -> DataFrame:
-    """key, rect_id and excluded of the first rectangle that holds each point, excluded ones too."""
-    hit = points.withColumns({"__x": x, "__y": y}).join(bounded(rectangles), (F.col("__x") >= F.col("xlow")) & (F.col("__x") < F.col("xup")) & (F.col("__y") >= F.col("ylow")) & (F.col("__y") < F.col("yup")))
-    return hit.groupBy(*key).agg(F.min(F.struct("rect_id", "excluded")).alias("r")).select(*key, "r.rect_id", "r.excluded")
