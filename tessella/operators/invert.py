@@ -81,7 +81,7 @@ def solved(matrix: DataFrame, observed: DataFrame, unknowns: DataFrame, kernel,
     def run(key: tuple, cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         order = {r: i for i, r in enumerate(rows["row"])}
         a = np.zeros((len(rows), len(cols)))
-        kept = cells[cells["row"].isin(order)]
+        kept = cells[cells["row"].isin(order) & cells["col"].isin(cols)]
         np.add.at(a, (kept["row"].map(order).to_numpy(int), np.searchsorted(cols, kept["col"])), kept["value"].to_numpy(float))
         change, covariance = posterior(a, rows["residual"].to_numpy(float), rows["variance"].to_numpy(float), prior())
         return pd.DataFrame({by: key[0], "col": cols, "density": start + change, "error": np.sqrt(np.maximum(0, np.diag(covariance)))})
@@ -121,6 +121,7 @@ def solved_nonnegative(matrix: DataFrame, observed: DataFrame, unknowns: DataFra
     def run(key: tuple, cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         order = {r: i for i, r in enumerate(rows["row"])}
         a = np.zeros((len(rows), len(cols)))
+        cells = cells[cells["row"].isin(order) & cells["col"].isin(cols)]
         np.add.at(a, (cells["row"].map(order).to_numpy(int), np.searchsorted(cols, cells["col"])), cells["value"].to_numpy(float))
         return pd.DataFrame({by: key[0], "col": cols, "density": nonnegative(a, rows["value"].to_numpy(float), start, weight)})
 
