@@ -1,11 +1,16 @@
-"""Queries of the inversion in tiles, over suppliers as unknowns with a full prior covariance."""
+"""Queries of the inversion in tiles, over suppliers as unknowns with a full prior covariance, and of whole runs."""
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import functions as F
 
-from tessella.operators import invert, tiled
-from tessella.plans.queries import query
+from tessella.functions.axis import Axis
+from tessella.operators import invert, tiled, windows
+from tessella.plans.queries import query, raster
+from tessella.plans.run import Run, Settings, Sweep
 
 SIGMA, LENGTH, OWN = 2.0, 4.0, 2.5
 
@@ -37,3 +42,28 @@ def system(t):
 def tiled_solution(t):
     out = tiled.solved(*system(t), invert.prior_covariance(SIGMA, (LENGTH,), "iso", OWN))
     return out.select("run", "col", F.round("density", 6).alias("density"), F.round("error", 6).alias("error"))
+
+
+def mountain(t):
+    """Pillars on the raster's cells, and a panel for each nation around them."""
+    cells = raster(t)
+    pillars = cells.select("ix", "iy", F.lit(0.0).alias("zmin"), (F.col("z") / cells.agg(F.max("z")).scalar() * 90).alias("zmax"), F.lit(2000.0).alias("density"))
+    azimuth = F.col("n_nationkey") * (2 * math.pi / 25)
+    place = {"px": 100 - 95 * F.sin(azimuth), "py": 110 - 105 * F.cos(azimuth), "pz": F.lit(1.0), "yaw": azimuth, "roll": F.lit(0.0), "pitch": F.lit(0.0)}
+    card = {"nbinx": 8, "txmin": -0.8, "txmax": 0.8, "nbiny": 6, "tymin": 0.0, "tymax": 0.6, "hori": 0.5, "vert": 0.5, "dept": 0.03, "n_unit": 2, "days": 60.0}
+    return pillars, t("nation").select(F.col("n_nationkey").alias("detid"), *[v.alias(n) for n, v in place.items()], *[F.lit(v).alias(n) for n, v in card.items()])
+
+
+@query(None)
+def sweep_of_runs(t):
+    """Four points of two densities and two lengths, which share one geometry and one tracing."""
+    pillars, panels = mountain(t)
+    spark = pillars.sparkSession
+    settings = Settings([Axis("x", 10, 0.0, 200.0), Axis("y", 11, 0.0, 220.0), Axis("z", 5, 0.0, 100.0)], (100.0, 110.0, 40.0), (120.0, 120.0, 60.0), parts=(4, 3))
+    flux = lambda vz, dl: F.lit(1e2) * (F.lit(0.2) + vz) * F.pow(1 + dl / 1e5, F.lit(-2.0))
+    slope = lambda vz, dl: F.lit(-2e-3) * (F.lit(0.2) + vz) * F.pow(1 + dl / 1e5, F.lit(-3.0))
+    run = Run(spark, f"{windows.shared_folder(spark)}/sweep-{uuid.uuid4().hex}", pillars, panels, settings, flux, slope)
+    sweep = Sweep(run, [300.0], [60.0, 120.0], [1900.0, [2100.0, 2000.0, 2000.0, 2000.0]], at_once=2)
+    sweep.go("invert_density")
+    out = sweep.densities_of_all()
+    return out.withColumns({"density": F.round("density", 3), "error": F.round("error", 3)})

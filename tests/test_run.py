@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions.axis import Axis
 from tessella.operators import groups, invert, lookup, matrix
 from tessella.plans import reconstruction
-from tessella.plans.run import VERSION, Run, Settings
+from tessella.plans.run import VERSION, Run, Settings, Sweep
 from tessella.sources import config, raster, sinks, tables
 
 CARD = """{ "DETECTOR_PARAMETERS": { "name": "det_%02d" // a panel
@@ -200,3 +200,68 @@ def test_priors_and_places(spark):
     assert [tuple(r) for r in out] == [(1, 7.0, 45.0), (2, 5.0, 50.0)]
     with pytest.raises(Exception, match="below the grid"):
         reconstruction.heights(spark.createDataFrame([(-1.0,)], "pz double"), F.col("pz"), 0.0).collect()
+
+
+def test_changed_settings_and_inputs_are_never_answered_from_old_tables(spark, made):
+    made.go()
+    made.done.clear()
+    other = made.with_settings(sigma_rho=100.0)
+    assert other.whole("build_observation_matrix") and not other.whole("invert_density")
+    other.go("invert_density")
+    assert [s for s, _ in other.done] == ["invert_density"]
+    mean = lambda r: r.load("invert_density", "densities").agg(F.avg("density")).first()[0]
+    assert mean(other) != mean(made)
+    assert not made.with_settings(center=(0.0, 0.0, 31.0)).whole("build_geometry")
+    for part, value in (("pillars", made.pillars.withColumn("zmax", F.col("zmax") + 1)), ("panels", made.panels.filter("detid > 0"))):
+        changed = Run(spark, made.folder, made.pillars, made.panels, made.settings, made.flux, made.slope)
+        setattr(changed, part, value)
+        assert not changed.whole("build_geometry")
+    changed = Run(spark, made.folder, made.pillars, made.panels, made.settings, lambda vz, dl: F.lit(1.0), made.slope)
+    assert changed.whole("trace_path_lengths") and not changed.whole("compute_prior")
+    # rows in another order are the same input
+    again = Run(spark, made.folder, made.pillars.repartition(3), made.panels, made.settings, made.flux, made.slope)
+    assert again.whole("analyze_errors")
+
+
+def test_a_sweep_shares_stages(spark, made):
+    made.go()
+    made.done.clear()
+    sweep = Sweep(made, [300.0, 200.0], [60.0, 90.0], [1800.0, [1900.0, 2000.0, 2000.0, 2000.0]], errors="last", at_once=3)
+    summary = sweep.go()
+    done = [s for s, _ in made.done]
+    # nothing is traced again; each density is priced once, each point solved once
+    assert {s: done.count(s) for s in done} == {"compute_prior": 2, "build_observation_matrix": 2, "invert_density": 8, "analyze_errors": 1}
+    rows = summary.orderBy("index").collect()
+    assert [r.label for r in rows][:3] == ["sr300_cl60_srd300_p1800_u1800_l1800_lat1800", "sr300_cl90_srd300_p1800_u1800_l1800_lat1800", "sr200_cl60_srd200_p1800_u1800_l1800_lat1800"]
+    assert [r.module8_executed for r in rows] == [False] * 7 + [True]
+    assert spark.read.option("header", True).csv(f"{made.folder}/sweep_summary.csv").count() == 8
+    got = sweep.densities_of_all().groupBy("index").agg(F.countDistinct("col").alias("n"), F.avg("density").alias("d")).orderBy("index").collect()
+    assert len({r.n for r in got}) == 1 and len({round(r.d, 6) for r in got}) == 8
+    # a point alone gives the same
+    alone = made.with_settings(densities=(1900.0, 2000.0, 2000.0, 2000.0), sigma_rho=200.0, corr_length=90.0, sigma_rho_diag=200.0)
+    made.done.clear()
+    alone.go()
+    assert not made.done and made.load("invert_density", "densities").count() == got[0].n
+    with pytest.raises(ValueError, match="at least"):
+        sweep.go("compute_prior")
+
+
+def test_a_run_with_noise_efficiencies_and_divided_groups(spark, made):
+    # the efficiency is one half for odd columns of bins
+    bins = made.load("trace_path_lengths", "elements").select("detid", "ix", "iy", F.when(F.col("ix") % 2 == 1, 0.5).otherwise(1.0).alias("eff_cnt"))
+    run = Run(spark, made.folder, made.pillars, made.panels, made.settings, made.flux, made.slope, bins)
+    run = run.with_settings(noise=(0.1, 0.2, 0.0, 0.0), draw_signal=False, grouping="auto", trigger=2e5, prior_range=(1700.0, 1900.0))
+    run.go()
+    assert "trace_path_lengths" not in [s for s, _ in run.done]
+    plain = {(r.detid, r.ix, r.iy): r.n for r in made.load("compute_prior", "prior").collect()}
+    for r in run.load("compute_prior", "prior").collect():
+        assert r.n == pytest.approx(plain[r.detid, r.ix, r.iy] * (0.5 if r.ix % 2 else 1.0))
+    elements = run.load("compute_prior", "elements")
+    assert elements.filter("abs(noise_det - 0.1 * signal) > 1e-9 * signal OR abs(noise_poi - 0.2 * signal) > 1e-9 * signal").count() == 0
+    # a group that holds the trigger can't be halved any more
+    held = elements.groupBy("detid", "igroup").agg(F.sum(F.col("signal") + F.col("noise_poi")).alias("w"), F.count(F.lit(1)).alias("n"))
+    assert held.filter("w >= 2e5 AND n > 1").count() == 0 and held.count() > 20
+    counts = run.load("build_observation_matrix", "counts").collect()
+    assert all(r.variance >= r.observed for r in counts)
+    errors = run.load("analyze_errors", "errors").collect()
+    assert errors and all(r.prior == pytest.approx(abs(r.prior_high - r.prior_low) / 2) and r.mixed >= r.prior for r in errors) and any(r.prior > 1 for r in errors)
