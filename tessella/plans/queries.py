@@ -710,4 +710,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.sums(priced.withColumnRenamed("z", "signal"), ["l_suppkey"], ["signal"])
 
 
-from tessella.plans import interval_queries, inversion_queries, more_queries  # noqa: E402, F401 (they register their queries)
+from tessella.plans import depth_queries, interval_queries, inversion_queries, more_queries  # noqa: E402, F401 (they register their queries)
