@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.functions.stats import poisson
-from tessella.operators.windows import dense_numbers
+from tessella.operators.windows import dense_numbers, prefix_sums, stored
 
 
 def initial(bins: DataFrame, nx: int, ny: int, x_parts: int, y_parts: int) -> DataFrame:
@@ -164,6 +165,54 @@ def auto_divided(bins: DataFrame, panel: str, trigger: float, least_x: int = 1,
     return bins.select(panel, "ix", "iy", "weight").groupBy(panel).applyInPandas(run, f"{panel} {kind}, ix int, iy int, igroup int")
 
 
+def divided_by_rounds(bins: DataFrame, panel: str, trigger: float, least_x: int = 1, least_y: int = 1, prefer_x: bool = True, most_loops: int = 100_000) -> DataFrame:
+    """panel, ix, iy and igroup: what `auto_divided` gives, worked out on all panels' rectangles at once.
+
+    A round looks up the sums of all rectangles that may be halved in a table of prefix sums, by one join of their corners; there are as
+    many rounds as halvings of the deepest rectangle. Groups are numbered by round, then from left to right.
+    """
+    weights = bins.groupBy(panel, "ix", "iy").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    sums = stored(prefix_sums(weights, "weight", [panel]).select(panel, F.col("ix").alias("__x"), F.col("iy").alias("__y"), F.col("s").alias("__s")), "sums")
+    n = lambda v: F.lit(v).cast("long")
+    boxes = sums.groupBy(panel).agg(F.max("__x").cast("long").alias("x1"), F.max("__y").cast("long").alias("y1"))
+    boxes = boxes.select(panel, n(0).alias("x0"), "x1", n(0).alias("y0"), "y1", n(0).alias("path"), n(0).alias("done"))
+    ready, level = None, 0
+    wide, high = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
+    while True:
+        longer = (wide > high) | ((wide == high) & F.lit(prefer_x))
+        open_ = boxes.withColumns({"by_x": longer & (wide > least_x), "by_y": ~longer & (high > least_y)})
+        open_ = open_.withColumn("half", F.floor(F.when(F.col("by_x"), wide).otherwise(high) / 2))
+        box = {"": [F.col(c) for c in ("x0", "x1", "y0", "y1")]}
+        for name, first, last in (("a", n(0), F.col("half") - 1), ("b", F.col("half") + 1, F.when(F.col("by_x"), wide).otherwise(high) - 1)):
+            along = {k: (F.when(F.col(f"by_{k}"), F.col(f"{k}0") + first).otherwise(F.col(f"{k}0")), F.when(F.col(f"by_{k}"), F.col(f"{k}0") + last).otherwise(F.col(f"{k}1"))) for k in "xy"}
+            box[name] = [*along["x"], *along["y"]]
+        corners = [F.struct(F.lit(f"{k}{i}").alias("__k"), x.alias("__x"), y.alias("__y")) for k, (x0, x1, y0, y1) in box.items() for i, (x, y) in enumerate(((x1, y1), (x0 - 1, y1), (x1, y0 - 1), (x0 - 1, y0 - 1)))]
+        asked = open_.select(panel, "path", F.explode(F.array(*corners)).alias("__c")).select(panel, "path", "__c.*")
+        met = asked.join(sums, [panel, "__x", "__y"]).groupBy(panel, "path").agg(*[F.max(F.when(F.col("__k") == f"{k}{i}", F.col("__s"))).alias(f"__{k}{i}") for k in box for i in range(4)])
+        total = lambda k: F.coalesce(f"__{k}0", F.lit(0.0)) - F.coalesce(f"__{k}1", F.lit(0.0)) - F.coalesce(f"__{k}2", F.lit(0.0)) + F.coalesce(f"__{k}3", F.lit(0.0))
+        known = open_.join(met, [panel, "path"])
+        wants = (total("") >= trigger) & (F.col("by_x") | F.col("by_y"))
+        odd = F.when(F.col("by_x"), wide).otherwise(high) % 2 == 1
+        # the trial leaves the middle line out; the odd line goes to the half with more
+        cut = F.col("half") + F.when(odd, (total("a") >= total("b")).cast("long")).otherwise(n(0))
+        turn = Window.partitionBy(panel).orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+        known = known.select(*boxes.columns, "by_x", wants.alias("__wants"), cut.alias("__cut")).withColumn("__turn", F.sum(F.col("__wants").cast("long")).over(turn))
+        known = known.withColumn("__splits", F.col("__wants") & (F.col("done") + F.col("__turn") <= most_loops)).withColumn("__all", F.sum(F.col("__wants").cast("long")).over(Window.partitionBy(panel)))
+        known = stored(known, "rectangles")
+        last = known.filter("NOT __splits").select(panel, "x0", "x1", "y0", "y1", n(level).alias("level"), "path")
+        ready = last if ready is None else ready.unionByName(last)
+        halves = known.filter("__splits").withColumn("__side", F.explode(F.array(n(0), n(1))))
+        if halves.isEmpty():
+            break
+        second, by_x = F.col("__side") == 1, F.col("by_x")
+        edge = lambda k, on: (F.when(on & second, F.col(f"{k}0") + F.col("__cut")).otherwise(F.col(f"{k}0")).alias(f"{k}0"), F.when(on & ~second, F.col(f"{k}0") + F.col("__cut") - 1).otherwise(F.col(f"{k}1")).alias(f"{k}1"))
+        boxes = halves.select(panel, *edge("x", by_x), *edge("y", ~by_x), (F.col("path") * 2 + F.col("__side")).alias("path"), (F.col("done") + F.col("__all")).alias("done"))
+        level += 1
+    numbered = ready.withColumn("igroup", (F.row_number().over(Window.partitionBy(panel).orderBy("level", "path")) - 1).cast("int"))
+    cells = numbered.select(panel, "igroup", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("ix")).select(panel, "igroup", "ix", F.explode(F.sequence("y0", "y1")).alias("iy"))
+    return bins.select(panel, "ix", "iy").join(cells.withColumns({c: F.col(c).cast("int") for c in ("ix", "iy")}), [panel, "ix", "iy"]).select(panel, "ix", "iy", "igroup")
+
+
 def mean_efficiency(bins: DataFrame, by: list[str]) -> DataFrame:
     """A group's efficiencies: plain means of its bins'."""
     return bins.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ("eff_low", "eff_cnt", "eff_upp")])

@@ -1,4 +1,4 @@
-"""Queries of the depth sweep: panels are nations, what their bins see through comes from the raster."""
+"""Queries of the depth sweep (panels are nations, what their bins see through comes from the raster) and of division by rounds."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.angles import from_tangents
+from tessella.operators import grid, groups
 from tessella.plans import depth_sweep
-from tessella.plans.queries import RASTER, X, Y, query, raster
+from tessella.plans.queries import RASTER, X, Y, bin_sql, query, raster
 
 SWEEP = depth_sweep.Sweep((0.0, 0.0), 2000.0, [-500.0, 400.0], [0.5, 2.0], [0.3, 0.1], least=6.0, most=40.0, step=0.04)
 CARD = {"nbinx": X.nbin, "txmin": -0.25, "txmax": 0.25, "nbiny": Y.nbin, "tymin": 0.0, "tymax": 0.66}
@@ -46,3 +47,26 @@ def depth_significance(t):
     digits = {"tyL": 6, "depth_anom_top": 5, "depth_anom_btm": 5, "obsize": 6, "signal_base": 5, "delta_signal": 5, "z_val": 6}
     out = out.withColumn("tyL", F.col("tyL") - depth_sweep.HAIR * 0.06)
     return out.select("det", "ddens", "signal_amp", "alpha", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
+def _judged(boxes: str) -> str:
+    """Rectangles with their weight, that of both halves without the odd line, and where they are cut (null: not)."""
+    inner = f"""SELECT b.panel, x0, x1, y0, y1, level, path, x1 - x0 + 1 AS nx, y1 - y0 + 1 AS ny, x1 - x0 >= y1 - y0 AS across, (CASE WHEN x1 - x0 >= y1 - y0 THEN x1 - x0 + 1 ELSE y1 - y0 + 1 END) // 2 AS half,
+        coalesce(sum(n), 0) AS total, coalesce(sum(n) FILTER (WHERE CASE WHEN x1 - x0 >= y1 - y0 THEN ix - x0 < (x1 - x0 + 1) // 2 ELSE iy - y0 < (y1 - y0 + 1) // 2 END), 0) AS one,
+        coalesce(sum(n) FILTER (WHERE CASE WHEN x1 - x0 >= y1 - y0 THEN ix - x0 > (x1 - x0 + 1) // 2 ELSE iy - y0 > (y1 - y0 + 1) // 2 END), 0) AS other
+        FROM {boxes} b LEFT JOIN w ON w.panel = b.panel AND ix BETWEEN x0 AND x1 AND iy BETWEEN y0 AND y1 GROUP BY ALL"""
+    return f"SELECT *, CASE WHEN total >= 500 AND greatest(nx, ny) > 1 THEN half + CASE WHEN greatest(nx, ny) % 2 = 1 AND one >= other THEN 1 ELSE 0 END END AS cut FROM ({inner})"
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT panel, ix, iy, count(*) AS n FROM (SELECT CAST(l_suppkey % 10 AS INTEGER) AS panel, {bin_sql("l_quantity", X)} AS ix, {bin_sql("l_discount", Y)} AS iy FROM lineitem) WHERE ix IS NOT NULL AND iy IS NOT NULL GROUP BY panel, ix, iy),
+    boxes AS (SELECT panel, 0 AS x0, max(ix) AS x1, 0 AS y0, max(iy) AS y1, 0 AS level, CAST(0 AS BIGINT) AS path FROM w GROUP BY panel
+        UNION ALL SELECT panel, CAST(CASE WHEN across AND side = 1 THEN x0 + cut ELSE x0 END AS INTEGER), CAST(CASE WHEN across AND side = 0 THEN x0 + cut - 1 ELSE x1 END AS INTEGER),
+            CAST(CASE WHEN NOT across AND side = 1 THEN y0 + cut ELSE y0 END AS INTEGER), CAST(CASE WHEN NOT across AND side = 0 THEN y0 + cut - 1 ELSE y1 END AS INTEGER), level + 1, path * 2 + side
+        FROM ({_judged("boxes")}) j, (VALUES (0), (1)) AS s(side) WHERE cut IS NOT NULL),
+    ready AS (SELECT *, CAST(row_number() OVER (PARTITION BY panel ORDER BY level, path) - 1 AS INTEGER) AS igroup FROM ({_judged("boxes")}) WHERE cut IS NULL)
+    SELECT w.panel, ix, iy, igroup FROM w JOIN ready ON ready.panel = w.panel AND ix BETWEEN x0 AND x1 AND iy BETWEEN y0 AND y1""")
+def auto_divide_rounds(t):
+    """Ten panels at once."""
+    lines = t("lineitem").withColumn("panel", (F.col("l_suppkey") % 10).cast("int"))
+    cells = grid.binned(lines, X, Y, F.col("l_quantity"), F.col("l_discount")).groupBy("panel", "ix", "iy").agg(F.count(F.lit(1)).alias("weight"))
+    return groups.divided_by_rounds(cells, "panel", 500)
