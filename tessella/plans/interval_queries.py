@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators import intervals, lookup
+from tessella.operators import cover, intervals, lookup
 from tessella.plans.queries import MONTHS, months, query
 
+AREA = "sum((xup - xlow) * (yup - ylow))"
+
 PLACED = "placed AS (SELECT o_orderkey, year(o_orderdate) * 12 + month(o_orderdate) + (day(o_orderdate) - 1) / 31.0 AS p FROM orders)"
 
 
@@ -61,3 +63,28 @@ def rect_locate_lines(t):
     SELECT one, other, round(dx * dy, 3) AS area FROM d WHERE dx >= 0 AND dy >= 0 AND (dx > 0 OR dy > 0)""")
 def rect_overlap_parts(t):
     return lookup.overlaps(sheets(t)).withColumn("area", F.round("area", 3))
+
+
+CUT = f"""{SHEETS}, xs AS (SELECT a, lead(a) OVER (ORDER BY a) AS b FROM (SELECT xlow AS a FROM sheets UNION SELECT xup FROM sheets)),
+    ys AS (SELECT c, lead(c) OVER (ORDER BY c) AS d FROM (SELECT ylow AS c FROM sheets UNION SELECT yup FROM sheets)),
+    cells AS (SELECT a, c, (b - a) * (d - c) AS area, count(rect_id) AS n, min(rect_id) AS first FROM xs CROSS JOIN ys LEFT JOIN sheets ON xlow <= a AND b <= xup AND ylow <= c AND d <= yup WHERE b IS NOT NULL AND d IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"WITH {CUT} SELECT n, round(sum(area), 3) AS area FROM cells GROUP BY n")
+def rect_cover_depths(t):
+    """How much of the box is covered by no rectangle, by one, by two and so on."""
+    return cover.cover(sheets(t)).groupBy("n").agg(F.round(F.expr(AREA), 3).alias("area"))
+
+
+@query(f"WITH {CUT} SELECT first AS rect_id, round(sum(area), 3) AS area FROM cells WHERE n > 0 GROUP BY first")
+def rect_disjoint_areas(t):
+    """What each rectangle has left of its area by those before it."""
+    return cover.disjoint(sheets(t)).groupBy("rect_id").agg(F.round(F.expr(AREA), 3).alias("area"))
+
+
+@query("""SELECT count(*) AS n, round(sum(0.02), 6) AS area, round((max(p_partkey // 50) + 1) * 50 * 0.02, 6) AS box, count(*) = (max(p_partkey // 50) + 1) * 50 AS tiled FROM part""")
+def rect_tiling(t):
+    """Parts as plates in lines of fifty: whether they tile their box."""
+    k = F.col("p_partkey")
+    plates = t("part").select(k.alias("rect_id"), (F.floor(k / 50) * 0.1).alias("xlow"), ((F.floor(k / 50) + 1) * 0.1).alias("xup"), (k % 50 * 0.2).alias("ylow"), ((k % 50 + 1) * 0.2).alias("yup"))
+    return cover.tiling(plates).select("n", F.round("area", 6).alias("area"), F.round("box", 6).alias("box"), "tiled")
