@@ -112,6 +112,18 @@ def k_of_n(p: Column, k: int, n: int) -> Column:
     return sum((math.comb(n, i) * F.pow(p, F.lit(i)) * F.pow(1 - p, F.lit(n - i)) for i in range(k, n + 1)), F.lit(0.0))
 
 
+def layered(layers: dict, r: Column, factor: Column | None = None) -> tuple[Column, Column, Column]:
+    """Lower, central and upper efficiency of at least k of n layers, each with an efficiency at a tangent r and its uncertainty: n, k, per_layer and per_layer_sigma.
+
+    factor: what all three are multiplied by (stats.shared_factor), within 0 and 1.
+    """
+    within = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    at, sigma, k, n = layers.get("per_layer") or {}, float(layers.get("per_layer_sigma", 0.0)), int(layers.get("k", 8)), int(layers.get("n", 10))
+    p = within(efficiency(at.get("fn", "flat"), r, at.get("params", {})))
+    band = [k_of_n(within(p + s * sigma), k, n) for s in (-1, 0, 1)]
+    return tuple(band if factor is None else [within(e * factor) for e in band])
+
+
 def kernel(kind: str, dx: Column, dy: Column, dz: Column, sigma: float, lengths: tuple[float, ...]) -> Column:
     """Covariance of two places: iso, separable (plane and depth) or ellipsoidal."""
     if kind == "iso":

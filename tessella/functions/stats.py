@@ -64,6 +64,24 @@ def uniform(*key: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*key), 11) + 1) / float(1 << 53)
 
 
+def normal(*key: Column, seed: int = 42) -> Column:
+    """A draw from the normal distribution that depends on the seed and the key alone."""
+    one, two = (uniform(F.lit(seed), F.lit(s), *key) for s in ("one", "two"))
+    return F.sqrt(-2 * F.ln(one)) * F.cos(2 * math.pi * two)
+
+
+def shared_factor(parts: list[tuple[str, float, list[Column]]], seed: int = 42) -> Column:
+    """A product of factors 1 + sigma times a normal draw, one for each part (a name, sigma, and the key that those who share the draw have in common).
+
+    A part whose sigma isn't positive is 1. The draws of different parts are independent; nothing depends on partitions or order.
+    """
+    out = F.lit(1.0)
+    for name, sigma, key in parts:
+        if sigma > 0:
+            out = out * (1 + sigma * normal(F.lit(name), *key, seed=seed))
+    return out
+
+
 def asymmetric_draw(mean: Column, below: Column, above: Column, *key: Column, seed: int = 42) -> Column:
     """A draw from asymmetric_gauss for each row that depends on the seed and the key alone: the side by its share, then half a normal one."""
     one, two, side = (uniform(F.lit(seed), F.lit(s), *key) for s in ("one", "two", "side"))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessella.functions import physics, projection
 from tessella.functions.axis import Axis
 from tessella.operators import invert, tiled, windows
 from tessella.plans.queries import query, raster
@@ -67,3 +68,40 @@ def sweep_of_runs(t):
     sweep.go("invert_density")
     out = sweep.densities_of_all()
     return out.withColumns({"density": F.round("density", 3), "error": F.round("error", 3)})
+
+
+def _mercator_sql(lon: str, lat: str, mercator: projection.TransverseMercator) -> str:
+    """x and y by the same series, one step after the other."""
+    e = math.sqrt(mercator.ellipsoid[1] * (2 - mercator.ellipsoid[1]))
+    forward = projection._series(mercator._n)[0]
+    up = " + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(forward, 1))
+    across = " + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(forward, 1))
+    return f"""SELECT *, {mercator.east!r} + {mercator._radius!r} * (eta + {across}) AS x, {mercator.north!r} + {mercator._radius!r} * (xi + {up}) AS y FROM (
+        SELECT *, atan2(t, cos(away)) AS xi, asinh(sin(away) / sqrt(t * t + cos(away) * cos(away))) AS eta FROM (
+        SELECT *, radians({lon} - {mercator.lon0!r}) AS away, sinh(atanh(sin(radians({lat}))) - {e!r} * atanh({e!r} * sin(radians({lat})))) AS t FROM homes))"""
+
+
+ZONE = projection.of_code(32654)
+
+
+@query(f"""WITH homes AS (SELECT c_custkey, 138 + c_custkey % 600 * 0.01 AS lon, 30 + c_nationkey * 0.4 + c_custkey % 7 * 0.05 AS lat FROM customer)
+    SELECT c_custkey, round(x, 4) AS x, round(y, 4) AS y, round(lon, 8) AS lon, round(lat, 8) AS lat FROM ({_mercator_sql("lon", "lat", ZONE)})""")
+def projected_places(t):
+    """Customers on a map, and back from it."""
+    k = F.col("c_custkey")
+    homes = t("customer").select(k, (138 + k % 600 * 0.01).alias("lon"), (30 + F.col("c_nationkey") * 0.4 + k % 7 * 0.05).alias("lat"))
+    x, y = ZONE.forward(F.col("lon"), F.col("lat"))
+    out = homes.select("c_custkey", x.alias("x"), y.alias("y"))
+    lon, lat = ZONE.inverse(F.col("x"), F.col("y"))
+    return out.select("c_custkey", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+
+
+@query("""WITH p AS (SELECT p_partkey, greatest(0, least(1, 1 - 0.01 * (p_size / 10.0) * (p_size / 10.0))) AS p FROM part)
+    SELECT p_partkey, round(list_sum(list_transform([0, 1, 2], lambda j: [45, 10, 1][j + 1] * pow(greatest(0, p - 0.02), 8 + j) * pow(1 - greatest(0, p - 0.02), 2 - j))), 9) AS low,
+        round(list_sum(list_transform([0, 1, 2], lambda j: [45, 10, 1][j + 1] * pow(p, 8 + j) * pow(1 - p, 2 - j))), 9) AS central,
+        round(list_sum(list_transform([0, 1, 2], lambda j: [45, 10, 1][j + 1] * pow(least(1, p + 0.02), 8 + j) * pow(1 - least(1, p + 0.02), 2 - j))), 9) AS high FROM p""")
+def layered_efficiency(t):
+    """Tracks through eight of ten layers at least."""
+    layers = {"n": 10, "k": 8, "per_layer_sigma": 0.02, "per_layer": {"fn": "poly", "params": {"coef": [1.0, 0.0, -0.01]}}}
+    band = physics.layered(layers, F.col("p_size") / 10)
+    return t("part").select("p_partkey", *[F.round(e, 9).alias(n) for e, n in zip(band, ("low", "central", "high"), strict=True)])

@@ -272,12 +272,19 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, " + SCHEMA)
 
 
-def read_columns(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """Columns of numbers in text, split by white space; comments (#) and empty lines are skipped, a line of other arity is an error."""
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("v")).filter("v <> ''")
-    cells = lines.select(F.split("v", r"\s+").alias("c"), "v")
+def read_columns(spark: SparkSession, path: str, names: list[str], placed: bool = False) -> DataFrame:
+    """Columns of numbers in text, split by white space; comments (#) and empty lines are skipped, a line of other arity is an error.
+
+    placed: adds `line`, which orders lines as they stand in their files, these by name.
+    """
+    text = spark.read.text(path)
+    if placed:
+        text = text.select("value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).alias("line"))
+    own = ["line"] if placed else []
+    lines = text.select(F.trim(F.regexp_replace("value", "#.*", "")).alias("v"), *own).filter("v <> ''")
+    cells = lines.select(F.split("v", r"\s+").alias("c"), "v", *own)
     wrong = F.size("c") != len(names)
-    return cells.select(*[F.when(wrong, F.raise_error(F.concat(F.lit("wrong number of columns: "), F.col("v"))).cast("double")).otherwise(F.col("c")[i].cast("double")).alias(n) for i, n in enumerate(names)])
+    return cells.select(*[F.when(wrong, F.raise_error(F.concat(F.lit("wrong number of columns: "), F.col("v"))).cast("double")).otherwise(F.col("c")[i].cast("double")).alias(n) for i, n in enumerate(names)], *own)
 
 
 def read_rectangles(spark: SparkSession, path: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions import physics
 from tessella.functions.axis import Axis
+from tessella.functions.projection import TransverseMercator
 from tessella.operators import grid
 from tessella.plans.flux_tables import guard
 from tessella.sources import config, raster
@@ -58,14 +59,32 @@ def read_terrain(spark: SparkSession, path: str) -> DataFrame:
         return raster.read_files(spark, path).select("x", "y", "z")
     if is_binary(head(spark, path)):
         raise ValueError(f"{path} is neither a raster nor a text")
-    return raster.read_columns(spark, path, ["x", "y", "z"])
+    return read_xyz(spark, path)
+
+
+#: Columns of coloured points.
+COLOURED = ["x", "y", "z", "r", "g", "b"]
+
+
+def read_xyz(spark: SparkSession, path: str, placed: bool = False) -> DataFrame:
+    """x, y and z of a text of three columns, or of six with colours; the first line that isn't a comment tells which."""
+    first = spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*", "")).alias("v")).filter("v <> ''").head()
+    names = COLOURED if first and len(first["v"].split()) == len(COLOURED) else COLOURED[:3]
+    return raster.read_columns(spark, path, names, placed).select("x", "y", "z", *(["line"] if placed else []))
+
+
+def read_coloured(spark: SparkSession, path: str) -> DataFrame:
+    """x, y, z and the colours r, g and b as whole numbers."""
+    return raster.read_columns(spark, path, COLOURED).select("x", "y", "z", *[F.col(c).cast("int").alias(c) for c in "rgb"])
 
 
 def read_pillars(spark: SparkSession, path: str, base: float, density: float, tolerance: float = 1e-4) -> tuple[DataFrame, Axis, Axis]:
-    """Pillars of a terrain file, and their axes."""
-    points = read_terrain(spark, path)
+    """Pillars of a terrain file, and their axes. Of several points in a cell that of the last line counts."""
+    text = head(spark, path, 8) != raster.MAGIC
+    points = read_xyz(spark, path, placed=True) if text and not is_binary(head(spark, path)) else read_terrain(spark, path)
     x, y = axis_of(points, "x", tolerance), axis_of(points, "y", tolerance)
-    return grid.last_in_cell(points, x, y, F.col("x"), F.col("y"), F.col("z"), F.struct("x", "y", "z"), base, density), x, y
+    order = F.col("line") if "line" in points.columns else F.struct("x", "y", "z")
+    return grid.last_in_cell(points, x, y, F.col("x"), F.col("y"), F.col("z"), order, base, density), x, y
 
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
@@ -77,14 +96,19 @@ EFFICIENCY = ["tx_min", "tx_max", "ty_min", "ty_max", "eff_low", "eff_cnt", "eff
 
 
 def read_efficiencies(spark: SparkSession, path: str) -> DataFrame:
-    """A table of seven columns; a line of other arity is an error."""
-    return raster.read_columns(spark, path, EFFICIENCY)
+    """A table of seven columns and the line; a line of other arity is an error."""
+    return raster.read_columns(spark, path, EFFICIENCY, placed=True)
 
 
 def with_efficiencies(elements: DataFrame, table: DataFrame, x: Axis, y: Axis) -> DataFrame:
-    """elements (ix, iy) with the efficiencies of the row whose centre lies in their bin; rows outside the panel are left out."""
+    """elements (ix, iy) with the efficiencies of the row whose centre lies in their bin; rows outside the panel are left out.
+
+    Of several rows of a bin that of the last line counts; of a table without `line` the largest.
+    """
     placed = table.withColumns({"ix": x.index((F.col("tx_min") + F.col("tx_max")) / 2), "iy": y.index((F.col("ty_min") + F.col("ty_max")) / 2)})
-    placed = placed.filter("ix IS NOT NULL AND iy IS NOT NULL").groupBy("ix", "iy").agg(*[F.last(c).alias(c) for c in EFFICIENCY[4:]])
+    values = F.struct(*EFFICIENCY[4:])
+    last = F.max_by(values, "line") if "line" in table.columns else F.max(values)
+    placed = placed.filter("ix IS NOT NULL AND iy IS NOT NULL").groupBy("ix", "iy").agg(last.alias("e")).select("ix", "iy", "e.*")
     return elements.join(placed, ["ix", "iy"], "left")
 
 
@@ -242,7 +266,7 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 def relative_to(places: DataFrame, x: Column, y: Column, z: Column, to: tuple[float, float, float]) -> DataFrame:
     """places with azimuth (degrees from +y, clockwise), distance, rise, elevation (degrees) and tangent of a reference as seen from them.
 
-    x and y are in metres: coordinates are projected before.
+    x and y are in metres: coordinates are projected before, as seen_from does.
     """
     dx, dy, rise = to[0] - x, to[1] - y, to[2] - z
     distance = F.hypot(dx, dy)
@@ -250,6 +274,26 @@ def relative_to(places: DataFrame, x: Column, y: Column, z: Column, to: tuple[fl
     return places.withColumns({"azimuth": F.degrees(F.atan2(dx, dy)), "distance": distance, "rise": rise, "elevation": F.degrees(F.atan(tangent)), "tangent": tangent})
 
 
+#: What a name may hold by which the reference among places is known.
+REFERENCE = ("vent", "crater", "summit", "center", "main", "reference", "target")
+
+
+def seen_from(places: DataFrame, projection: TransverseMercator, keywords: tuple[str, ...] = REFERENCE) -> DataFrame:
+    """places (name, lon, lat, elev; of read_kml or read_geojson) with x and y in metres and what relative_to adds, towards the reference.
+
+    The reference is the first place, by name, whose name holds one of the keywords; without any it is an error, as every row depends on it.
+    """
+    east, north = projection.forward(F.col("lon"), F.col("lat"))
+    known = places.withColumns({"x": east, "y": north})
+    named = F.lit(False)
+    for k in keywords:
+        named = named | F.col("name").contains(k)
+    target = known.filter(named).orderBy("name", "lon", "lat").head()  # one row
+    if target is None:
+        raise ValueError(f"no place is named after one of {', '.join(keywords)}")
+    return relative_to(known, F.col("x"), F.col("y"), F.col("elev"), (target["x"], target["y"], float("nan") if target["elev"] is None else target["elev"]))
+
+
 def matrix_bytes(values: np.ndarray) -> bytes:
     """A dense matrix as a file has it: rows and columns as 64-bit numbers, then 32-bit floats column by column."""
     return struct.pack("<QQ", *values.shape) + np.asfortranarray(values, "<f4").tobytes(order="F")
