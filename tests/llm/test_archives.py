@@ -5,13 +5,14 @@ import gzip
 import hashlib
 import io
 import random
+import time
 import zlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import common, merkle, prefix_trie, warc
+from tessella.llm import common, merkle, mixing, prefix_trie, warc
 from tessella.llm.sql import SQL
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -301,3 +302,84 @@ def test_archives_of_others_are_normalised(tmp_path, spark):
             warc.rewrite(f"{tmp_path}/broken", f"{tmp_path}/broken.new", {})
     with pytest.raises(ValueError, match="archives can't be kept"):
         warc.store("nowhere://x/y")
+
+
+# ---- mixtures of many sources
+
+
+def flow_cost(flows, sizes):
+    return sum(min(max(f - s * k, 0), s) * (k + 1) ** 2 for f, s in zip(flows, sizes, strict=True) for k in range(3))
+
+
+def successive_paths(sizes, members, quotas, limit=3):
+    """One word at a time along the cheapest path, found anew each time by relaxing all edges."""
+    end = 1 + len(sizes) + len(quotas)
+    room, cost = collections.Counter(), {}
+    for p, s in enumerate(sizes):
+        for r in range(limit):
+            room[0, 1 + p, r] += s
+            cost[0, 1 + p, r] = (r + 1) ** 2
+        for q in members[p]:
+            room[1 + p, 1 + len(sizes) + q, 0] += limit * s
+    for q, n in enumerate(quotas):
+        room[1 + len(sizes) + q, end, 0] += n
+    taken = [0] * len(sizes)
+    back = collections.Counter()
+    while True:
+        best, came = {0: 0}, {}
+        for _ in range(end + 1):
+            for (a, b, r), n in room.items():
+                for u, v, c, free in ((a, b, cost.get((a, b, r), 0), n - back[a, b, r]), (b, a, -cost.get((a, b, r), 0), back[a, b, r])):
+                    if free > 0 and u in best and best[u] + c < best.get(v, 1e9):
+                        best[v], came[v] = best[u] + c, (u, (a, b, r), 1 if u == a else -1)
+        if end not in best:
+            return taken
+        at = end
+        while at:
+            at, e, sign = came[at]
+            back[e] += sign
+            if e[0] == 0:
+                taken[e[1] - 1] += sign
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_flows_are_cheapest(seed):
+    rng = random.Random(seed)
+    m = rng.randint(1, 4)
+    sizes = [rng.randint(0, 4) for _ in range(rng.randint(1, 6))]
+    members = [rng.sample(range(m), rng.randint(0 if seed % 2 else 1, min(m, 3))) for _ in sizes]
+    quotas = [rng.randint(0, 9) for _ in range(m)]
+    got, want = mixing.route(sizes, members, quotas), successive_paths(sizes, members, quotas)
+    assert sum(got) == sum(want) and flow_cost(got, sizes) == flow_cost(want, sizes)
+    # it can be dealt to the sources
+    assert all(0 <= f <= 3 * s and (own or not f) for f, s, own in zip(got, sizes, members, strict=True)) and sum(got) <= sum(quotas)
+
+
+def test_many_patterns_are_routed_soon():
+    rng = random.Random(1)
+    began = time.time()
+    n = 100_000
+    assert sum(mixing.route([rng.randint(1, 9) for _ in range(n)], [[k] for k in range(n)], [5] * n)) > n
+    sizes = [rng.randint(1, 10_000) for _ in range(2000)]
+    flows = mixing.route(sizes, [rng.sample(range(300), rng.randint(2, 4)) for _ in sizes], [rng.randint(1, 60_000) for _ in range(300)])
+    assert sum(flows) > 0 and time.time() - began < 60
+
+
+@pytest.mark.parametrize("overlapping", [False, True])
+def test_sources_as_tables_are_those_of_the_driver(spark, monkeypatch, overlapping):
+    rng = random.Random(3)
+    names = [f"s{k}" for k in range(12)] + [None, "é", ""]
+    rows = [(rng.choice([k, k, None, 5]), " ".join("w" for _ in range(rng.choice([0, 1, 3, 9]))), rng.choice(names) if rng.random() < 0.6 else "s1") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sources = F.array_distinct(F.array(F.col("source"), F.when(F.col("source").isin("s1", "s2", "é"), F.lit("s3")).otherwise(F.col("source")))) if overlapping else None
+    told = lambda: sorted((tuple(r[c] for c in ("doc_id", "text", "source", "size", "source_size", "taken", "copies", "target")) for r in mixing.mix(df, sources, buckets=16).collect()), key=repr)
+    few = told()
+    monkeypatch.setattr(mixing, "FEW", 0)
+    many = told()
+    assert len(many) == len(few) == 900 and [r[:5] for r in many] == [r[:5] for r in few]
+    assert all(abs(a[-1] - b[-1]) < 1e-6 for a, b in zip(many, few, strict=True)) and [r[5:7] for r in many] == [r[5:7] for r in few]
+    monkeypatch.setattr(mixing, "PATTERNS", 1)
+    if overlapping:
+        with pytest.raises(ValueError, match="share sources"):
+            told()
+    assert mixing.mix(df.limit(0)).count() == 0
