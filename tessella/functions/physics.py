@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.stats import asymmetric_draw
+
 
 #: A muon's mass in GeV, square centimetres in a square metre, and the margin within a table's bounds.
 MUON_MASS, CM2_TO_M2, MARGIN = 0.105658, 1e4, 1e-8
@@ -63,6 +65,17 @@ def expected(flux: Column, area: Column, solid: Column, seconds: Column) -> Colu
     return flux * area * solid * seconds
 
 
+def seen(count: Column, low: Column, central: Column, high: Column, by_central: bool = False, by_draw: bool = False, key: tuple[Column, ...] = (), seed: int = 42) -> Column:
+    """The count that a bin shows by its efficiency: the central one if that is asked for, else one drawn between low and high for each key, else all of it."""
+    if by_central:
+        return count * central
+    if by_draw:
+        below, above = central - low, high - central
+        drawn = asymmetric_draw(central, below, above, *key, seed=seed)
+        return count * F.when(below + above > 0, drawn).otherwise(central)
+    return count
+
+
 #: Names and defaults of the parameters in the files of efficiency models.
 MODEL_PARAMETERS = {"flat": {}, "poly": {"coef": [1.0]}, "gauss": {"mu": 0.0, "sigma": 1.0}, "cos_power": {"n": 1.0, "cutoff_deg": None}, "sigmoid": {"x0": 1.0, "w": 0.1}, "step": {"x0": 1.0, "w": 0.1, "inner": 1.0, "outer": 0.0}}
 

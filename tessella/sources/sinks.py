@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.axis import Axis
 from tessella.operators.windows import dense_numbers
 
 #: Columns of a significance list, in order.
@@ -18,6 +20,30 @@ def write_sections(cells: DataFrame, path: str) -> None:
     cells.write.mode("overwrite").partitionBy("iz").parquet(path)
 
 
+def sections(cells: DataFrame, x: Axis, y: Axis, z: Axis, levels: list[float], only_existing: bool = True, filler: float = 0.0, least_hits: int = 0, mask: bool = False) -> DataFrame:
+    """level, iz, x, y and value of the cells that levels cut: densities, or with mask 1 where a cell exists and 0 elsewhere.
+
+    Levels outside the grid are left out, and of those in one layer the first counts. Of densities, cells that don't exist are left out or have the filler, and so are those that fewer panels
+    see than least_hits. cells: ix, iy, iz, tf_exist, density, and n_hit if there is a least.
+    """
+    first: dict[int, float] = {}
+    for level in levels:
+        if z.min <= level < z.max:
+            first.setdefault(min(z.nbin - 1, math.floor((level - z.min) / z.interval)), float(level))
+    at = F.create_map(*[F.lit(v) for pair in first.items() for v in pair]) if first else F.lit(None).cast("map<int,double>")
+    cut = cells.filter(F.col("iz").isin(list(first)))
+    if not mask:
+        cut = cut.filter("tf_exist") if only_existing else cut
+        cut = cut.filter(F.col("n_hit") >= least_hits) if least_hits else cut
+    value = F.col("tf_exist").cast("double") if mask else F.when(F.col("tf_exist"), F.col("density")).otherwise(filler)
+    return cut.select(at[F.col("iz")].alias("level"), "iz", x.center(F.col("ix")).alias("x"), y.center(F.col("iy")).alias("y"), value.alias("value"))
+
+
+def write_section_list(cut: DataFrame, path: str) -> None:
+    """What `sections` gives as CSV, a folder for each layer, line by line of the grid."""
+    cut.repartitionByRange("iz", "y", "x").sortWithinPartitions("iz", "y", "x").write.mode("overwrite").partitionBy("iz").option("header", True).csv(path)
+
+
 def write_significance(rows: DataFrame, path: str) -> None:
     """As CSV; rows whose object reaches above the surface are left out."""
     rows.filter("depth_anom_top >= 0").select(*SIGNIFICANCE).write.mode("overwrite").option("header", True).csv(path)
