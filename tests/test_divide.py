@@ -6,7 +6,7 @@ import pytest
 from tessella.operators import groups
 
 
-@pytest.mark.parametrize("prefer_x, least, loops", [(True, (1, 1), 100_000), (False, (2, 3), 100_000), (True, (1, 1), 7)])
+@pytest.mark.parametrize("prefer_x, least, loops", [(True, (1, 1), 100_000), (False, (2, 3), 7)])
 def test_rounds_are_the_queue(spark, prefer_x, least, loops):
     """Ten panels of other shapes, with ties, empty stretches and one cell that holds nearly all."""
     rng = np.random.default_rng(5)

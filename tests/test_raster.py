@@ -17,19 +17,24 @@ def sample():
     return z
 
 
-@pytest.fixture(scope="module", params=[4, 8])
-def file(tmp_path_factory, request):
-    path = tmp_path_factory.mktemp("raster") / "a.g2zbin"
-    path.write_bytes(raster.dumps("h", X, Y, sample(), request.param))
-    return str(path), request.param
+@pytest.fixture(scope="module")
+def file(tmp_path_factory):
+    return made(tmp_path_factory.mktemp("raster"), 8), 8
+
+
+def made(folder, precision):
+    path = folder / f"a{precision}.g2zbin"
+    path.write_bytes(raster.dumps("h", X, Y, sample(), precision))
+    return str(path)
 
 
 def same(a, b):
     return np.array_equal(a, b, equal_nan=True)
 
 
-def test_both_precisions_are_read_to_the_bit(spark, file):
-    path, precision = file
+@pytest.mark.parametrize("precision", [4, 8])
+def test_both_precisions_are_read_to_the_bit(spark, tmp_path, precision):
+    path = made(tmp_path, precision)
     got = np.full((40, 30), 0.0)
     for r in raster.scan(spark, path, cells=100).collect():
         got[r.iy, r.ix] = r.z
@@ -109,9 +114,9 @@ def test_only_the_columns_asked_for(spark, file):
     assert raster.scan(spark, file[0], [("ix", "=", 3)], ["z"]).columns == ["z"]
 
 
-@pytest.mark.parametrize("blocks", [1, 16, 40, 99])
-def test_many_partitions_write_one_file(spark, tmp_path, file, blocks):
-    path, precision = file
+@pytest.mark.parametrize("blocks, precision", [(1, 8), (16, 4), (99, 8)])
+def test_many_partitions_write_one_file(spark, tmp_path_factory, tmp_path, blocks, precision):
+    path = made(tmp_path_factory.mktemp("from"), precision)
     cells = raster.scan(spark, path).repartition(7)
     out = str(tmp_path / "out.g2zbin")
     raster.save(cells, out, X, Y, blocks, precision, "h")
