@@ -762,3 +762,16 @@ def test_common_vectors_and_far_trees(spark):
     table = {i: np.floor(256 * np.array(v)).astype(int) for i, v in vectors}
     want = [(q, k, i, -s) for q in table if q % 50 == 0 for k, (s, i) in enumerate(sorted((-int(table[q] @ v), i) for i, v in table.items() if i != q)[:5], 1)]
     assert sorted(got) == sorted(want)
+
+
+def test_shingles_of_many_texts_at_once():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aAbBé\x1c\x85\x00 \t\n\x0b\x0c\r ") for _ in range(rng.choice([0, 1, 5, 20, 300]))) for _ in range(500)] + ["x" * 500 + " " + "y" * 201 + " " + "z" * 200 + " qqqqqqqq qqqqqqqqq", "", " "]
+    words = [[w.translate(exchange.ASCII_LOWER) for w in WORD.findall(t)] for t in texts]
+    hashes, at = exchange.words_of([t.encode() for t in texts])
+    known = dict(zip((w for ws in words for w in ws), hashes.tolist(), strict=True))
+    assert hashes.tolist() == [known[w] for ws in words for w in ws] and len(set(known.values())) == len(known)
+    assert np.diff(at).tolist() == [len(ws) for ws in words]
+    for ws, s in zip(words, jaccard_join.shingles([t.encode() for t in texts], 5), strict=True):
+        assert len(s) == len({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else ()) and s.tolist() == sorted(set(s.tolist()))
+    assert jaccard_join.shingles([], 5) == []
