@@ -10,7 +10,8 @@
    Anchors that very many documents have, or that stand in runs, go as their single 50-byte strings: a document range sends
    every distinct one with its smallest document, gets the smallest of all documents back, and keeps the occurrences at home.
    So no task gets all occurrences of anything, and a run of any length costs as much as its period.
-3. A range joins its distinct surroundings to one text and sorts its suffixes in two stages: suffixes smaller
+3. Of its distinct surroundings a range puts aside those that can't share 50 bytes with other ones, by hashes of the shorter
+   stretches that such a string would hold: their strings have the documents that they have. It joins the others to one text and sorts its suffixes in two stages: suffixes smaller
    than their successors are sorted directly, all others are induced by scans over the buckets of first
    bytes. Adjacent common prefixes of 50 bytes and more make groups, each with its smallest document. Single strings likewise.
 4. Documents gather the bytes that are covered by strings of a smaller document.
@@ -41,6 +42,9 @@ LENGTH = 50
 GRAM = 24
 NEAR = LENGTH - GRAM + 1  # 24-byte strings within 50 bytes
 AROUND = LENGTH + NEAR - 1  # bytes that hold all 50-byte strings with an anchor
+#: Stretches of surroundings around the anchor, of which each 50-byte string in them holds one: STEP + 1 strings begin between two.
+STEP = 3
+CORES = [(min(a + STEP, NEAR - 1), a + LENGTH) for a in range(0, NEAR, STEP + 1)]
 #: Anchors that a task gathers before it sends them; bytes that are hashed at once.
 BLOCK, CHUNK = 1_500_000, 1 << 18
 #: Slices of a hash range that are sorted one after another, which bounds what is sorted at once.
@@ -430,8 +434,8 @@ def two_stage(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.nda
     """
     n = len(text)
     padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-    eight = sliding_window_view(padded, 8)
-    word = lambda at: np.ascontiguousarray(eight[at]).view(">u8").ravel().astype(U64)
+    eight = np.ndarray((len(padded) - 7,), U64, padded, 0, (1,))
+    word = lambda at: eight[at].byteswap()
     # smaller than the successor: by the first byte that differs from the one after it
     step = np.concatenate([np.sign(text[1:].astype(np.int16) - text[:-1]), [-1]]).astype(np.int8)[:n]
     decides = np.where(step != 0, np.arange(n), n)
@@ -441,9 +445,9 @@ def two_stage(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.nda
     direct = direct[np.argsort(word(direct), kind="stable")]
     known = word(direct)
     new = np.concatenate([[True], known[1:] != known[:-1]]) if len(direct) else np.zeros(0, bool)
+    alike = np.flatnonzero(~new)
     for done in range(8, depth, 8):
         group = np.cumsum(new)
-        alike = np.flatnonzero(~new)
         open_ = np.zeros(len(direct) + 1, bool)
         open_[alike] = open_[alike - 1] = True
         # of these, only groups with a difference ahead
@@ -463,6 +467,7 @@ def two_stage(text: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.nda
         order = np.lexsort((key, own))
         direct[rest], key, own = direct[rest[order]], key[order], own[order]
         new[rest[1:]] |= (key[1:] != key[:-1]) & (own[1:] == own[:-1])
+        alike = rest[~new[rest]]  # settled groups aren't looked at again
     # stage 2: scans of the buckets, in which the others follow from their successors
     cuts = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -544,6 +549,20 @@ def _smallest(strings: np.ndarray, least: np.ndarray) -> np.ndarray:
     return out
 
 
+def _alike(around: np.ndarray) -> np.ndarray:
+    """Of distinct surroundings, which may share a 50-byte string with another: such a string holds one of CORES, which both then have."""
+    cells = np.ascontiguousarray(around)
+    out = np.zeros(len(cells), bool)
+    for low, high in CORES:
+        h = np.zeros(len(cells), U64)
+        for at in [*range(low, high - 8, 8), high - 8]:
+            h = mix(h ^ np.ndarray((len(cells),), "<u8", cells, at, (cells.shape[1],)))
+        order = np.argsort(h)
+        same = h[order[1:]] == h[order[:-1]]
+        out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
+
+
 def _stretches(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, start and end of what is in a smaller document too."""
     tables, which, docs, places, total = [], [], [], [], 0
@@ -555,19 +574,31 @@ def _stretches(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     which, doc, place = again[np.concatenate(which)], np.concatenate(docs), np.concatenate(places)
     smallest = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(smallest, which, doc)
-    width = AROUND + 1
-    text = np.zeros((len(distinct), width), np.uint8)
-    text[:, :AROUND] = distinct[:, :AROUND]
-    order, same = two_stage(text.ravel())
-    column = order % width
-    row = order // width
-    valid = (column >= distinct[row, AROUND]) & (column <= distinct[row, AROUND + 1])
-    group = np.cumsum(~same)[valid]
-    row, column = row[valid], column[valid]
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    least = np.repeat(np.minimum.reduceat(smallest[row], starts), np.diff(np.append(starts, len(group))))
-    has = np.full((len(distinct), NEAR), np.iinfo(np.int64).max)
-    has[row, column] = least
+    largest = np.full(len(distinct), np.iinfo(np.int64).min)
+    np.maximum.at(largest, which, doc)
+    # what no other document can share is done with before anything is sorted; strings of surroundings that are like no others have these' documents
+    alike = _alike(distinct)
+    left = alike | (smallest != largest)
+    again, held = np.cumsum(left) - 1, left[which]
+    which, doc, place = again[which[held]], doc[held], place[held]
+    if not len(which):
+        return doc, place, place
+    distinct, smallest, alike = distinct[left], smallest[left], alike[left]
+    column = np.arange(NEAR)
+    valid = (column >= distinct[:, AROUND, None]) & (column <= distinct[:, AROUND + 1, None])
+    has = np.where(valid & ~alike[:, None], smallest[:, None], np.iinfo(np.int64).max)
+    if alike.any():
+        width = AROUND + 1
+        text = np.zeros((int(alike.sum()), width), np.uint8)
+        text[:, :AROUND] = distinct[alike, :AROUND]
+        order, same = two_stage(text.ravel())
+        column = order % width
+        row = np.flatnonzero(alike)[order // width]
+        valid = (column >= distinct[row, AROUND]) & (column <= distinct[row, AROUND + 1])
+        group = np.cumsum(~same)[valid]
+        row, column = row[valid], column[valid]
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        has[row, column] = np.repeat(np.minimum.reduceat(smallest[row], starts), np.diff(np.append(starts, len(group))))
     found = []
     for a in range(0, len(which), 1 << 16):
         b = a + (1 << 16)

@@ -775,3 +775,23 @@ def test_shingles_of_many_texts_at_once():
     for ws, s in zip(words, jaccard_join.shingles([t.encode() for t in texts], 5), strict=True):
         assert len(s) == len({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else ()) and s.tolist() == sorted(set(s.tolist()))
     assert jaccard_join.shingles([], 5) == []
+
+
+def test_only_surroundings_that_may_share_a_string_are_sorted(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    around = rng.integers(97, 123, (4 * suffix_dedup.NEAR, suffix_dedup.AROUND + 2), np.uint8)
+    anchor = slice(suffix_dedup.NEAR - 1, suffix_dedup.LENGTH)
+    around[1::2] -= 32  # other letters, so that nothing is alike by chance
+    around[:, suffix_dedup.AROUND], around[:, suffix_dedup.AROUND + 1] = 0, suffix_dedup.NEAR - 1
+    around[:, anchor] = around[0, anchor]
+    for i in range(suffix_dedup.NEAR):  # every place of a shared string
+        around[2 * i + 1, i : i + suffix_dedup.LENGTH] = around[2 * i, i : i + suffix_dedup.LENGTH]
+    assert suffix_dedup._alike(around).tolist() == [i < 2 * suffix_dedup.NEAR for i in range(len(around))]
+    sorted_bytes = []
+    plain = suffix_dedup.two_stage
+    monkeypatch.setattr(suffix_dedup, "two_stage", lambda text, *a: sorted_bytes.append(len(text)) or plain(text, *a))
+    docs = np.arange(len(around))
+    frames = [p for _, p in suffix_dedup._frames(suffix_dedup._dealt_around(around, docs, docs * 0 + 100, 1)[0][2])]
+    doc, low, high = suffix_dedup._stretches(frames)
+    assert sorted(zip(doc.tolist(), low.tolist(), high.tolist())) == [(2 * i + 1, 100 - suffix_dedup.NEAR + 1 + i, 100 - suffix_dedup.NEAR + 1 + i + suffix_dedup.LENGTH) for i in range(suffix_dedup.NEAR)]
+    assert sum(sorted_bytes) <= 2 * suffix_dedup.NEAR * (suffix_dedup.AROUND + 1)
