@@ -110,7 +110,8 @@ def meeting(rectangles: DataFrame, key: str) -> DataFrame:
     whole = F.struct(key, *[c for axis in axes for c in axis])
     left = grown.select(*bucket, F.explode(partners).alias("__tag"), whole.alias("one"))
     right = grown.select(*bucket, tag.alias("__tag"), whole.alias("other"))
-    met = left.join(right, [*bucket, "__tag"]).filter(F.col(f"one.{key}") < F.col(f"other.{key}"))
+    # a compressed table looks small, and its rows are many times as many here: it is never broadcast
+    met = left.join(right.hint("merge"), [*bucket, "__tag"]).filter(F.col(f"one.{key}") < F.col(f"other.{key}"))
     for i, (low, high) in enumerate(axes):
         start = F.greatest(f"one.{low}", f"other.{low}")
         met = met.filter((start <= F.least(f"one.{high}", f"other.{high}")) & (_bucket(start.cast("double"), F.col(f"__w{i}")) == F.col(f"__b{i}")))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tessella.functions.axis import Axis
 from tessella.functions.physics import bilinear
 from tessella.operators.intervals import as_of, bounded, held, meeting
+from tessella.operators.windows import stored
 
 def widened(nodes: DataFrame, value: str = "z") -> DataFrame:
     """Each node with its three neighbours up: one join then serves an interpolation."""
@@ -74,11 +75,23 @@ def first_rectangle(points: DataFrame, rectangles: DataFrame, x: Column, y: Colu
 
 
 def overlaps(rectangles: DataFrame) -> DataFrame:
-    """Pairs of rectangles that share some area, with its size, or an edge (area 0)."""
+    """Pairs of rectangles that share some area, with its size, or an edge (area 0).
+
+    Equal rectangles are compared once; the pairs of those that meet are then spelt out, as rows of two joins, in no group or task whole.
+    """
+    ends = ["xlow", "xup", "ylow", "yup"]
+    known = rectangles.filter("rect_id IS NOT NULL").select("rect_id", *ends)
+    shapes = stored(known.groupBy(*ends).agg(F.min("rect_id").alias("rect_id")), "shapes")
+    members = stored(known.join(shapes.select(*[F.col(c).alias(f"__{c}") for c in ends], F.col("rect_id").alias("__of")), [F.col(c) == F.col(f"__{c}") for c in ends]).select("__of", "rect_id"), "members")
     dx = F.least("one.xup", "other.xup") - F.greatest("one.xlow", "other.xlow")
     dy = F.least("one.yup", "other.yup") - F.greatest("one.ylow", "other.ylow")
-    met = meeting(rectangles, "rect_id").filter((dx > 0) | (dy > 0))
-    return met.select(F.col("one.rect_id").alias("one"), F.col("other.rect_id").alias("other"), (dx * dy).alias("area"))
+    met = meeting(shapes, "rect_id").filter((dx > 0) | (dy > 0)).select(F.col("one.rect_id").alias("__a"), F.col("other.rect_id").alias("__b"), (dx * dy).alias("area"))
+    width, height = F.col("xup") - F.col("xlow"), F.col("yup") - F.col("ylow")
+    own = shapes.filter((width >= 0) & (height >= 0) & ((width > 0) | (height > 0))).select(F.col("rect_id").alias("__a"), F.col("rect_id").alias("__b"), (width * height).alias("area"))
+    side = lambda of, name: members.select(F.col("__of").alias(of), F.col("rect_id").alias(name)).hint("merge")
+    pairs = met.unionByName(own).join(side("__a", "__one"), "__a").join(side("__b", "__other"), "__b")
+    pairs = pairs.filter((F.col("__one") < F.col("__other")) | ((F.col("__one") > F.col("__other")) & (F.col("__a") != F.col("__b"))))
+    return pairs.select(F.least("__one", "__other").alias("one"), F.greatest("__one", "__other").alias("other"), "area")
 
 
 def subtract(one: tuple[float, float, float, float], other: tuple[float, float, float, float]) -> list[tuple[float, float, float, float]]:
