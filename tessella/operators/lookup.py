@@ -65,8 +65,15 @@ def first_rectangle_of_all(points: DataFrame, rectangles: DataFrame, x: Column,
 
     rectangles: rect_id, excluded, xlow, xup, ylow, yup, half-open.
     """
-    hit = held(points, rectangles, [(x, "xlow", "xup"), (y, "ylow", "yup")])
-    return hit.groupBy(*key).agg(F.min(F.struct("rect_id", "excluded")).alias("r")).select(*key, "r.rect_id", "r.excluded")
+    # of rectangles that are equal, only the first can be a point's first
+    ends = ["xlow", "xup", "ylow", "yup"]
+    firsts = rectangles.filter("rect_id IS NOT NULL").groupBy(*ends).agg(F.min(F.struct("rect_id", "excluded")).alias("__r")).select(*ends, "__r.*")
+    hit = held(points, firsts, [(x, "xlow", "xup"), (y, "ylow", "yup")])
+    # minima of numbers are kept in a hash table, those of structs would be sorted first
+    first = lambda when: F.min(F.when(when, F.col("rect_id")))
+    found = hit.groupBy(*key).agg(F.min("rect_id").alias("rect_id"), first(F.col("excluded").isNull()).alias("__null"), first(~F.col("excluded")).alias("__free"))
+    excluded = F.when(F.col("__null") == F.col("rect_id"), F.lit(None).cast("boolean")).otherwise(~F.coalesce(F.col("__free") == F.col("rect_id"), F.lit(False)))
+    return found.select(*key, "rect_id", excluded.alias("excluded"))
 
 
 def first_rectangle(points: DataFrame, rectangles: DataFrame, x: Column, y: Column, key: list[str]) -> DataFrame:

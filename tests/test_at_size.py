@@ -31,3 +31,11 @@ def test_overlaps_of_equal_rectangles_without_a_broadcast(spark):
         if dx >= 0 and dy >= 0 and (dx > 0 or dy > 0):
             wanted.append((a[0], b[0], dx * dy))
     assert sorted(map(tuple, out.collect())) == sorted(wanted)
+
+
+def test_first_of_equal_rectangles_without_a_sort_of_hits(spark):
+    rows = [(i, i % 7 == 3, 0.0, 2.0, 0.0, 2.0) for i in range(3, 60)] + [(2, None, 5.0, 6.0, 5.0, 6.0), (1, True, 8.0, 9.0, 8.0, 9.0), (1, False, 8.0, 9.5, 8.0, 9.0), (None, False, 0.0, 9.0, 0.0, 9.0)]
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.5, 5.5), (3, 8.5, 8.5), (4, 3.0, 3.0)], "k long, x double, y double")
+    out = lookup.first_rectangle_of_all(points, spark.createDataFrame(rows, RECT), F.col("x"), F.col("y"), ["k"])
+    assert "SortAggregate" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(1, 3, True), (2, 2, None), (3, 1, False)]
