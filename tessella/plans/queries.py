@@ -236,7 +236,7 @@ def ray_cells_window(t):
 
 @query(f"WITH {CELLS} SELECT ray_id, ix, iy, round(length, 6) AS length FROM cells WHERE length > 1e-9")
 def ray_cells_batched(t):
-    return trace.traced(rays(t), GRID).groupBy("ray_id", "ix", "iy").agg(F.sum("length").alias("length")).filter("length > 1e-9").withColumn("length", F.round("length", 6))
+    return trace.traced(rays(t), GRID).filter("length > 1e-9").withColumn("length", F.round("length", 6))
 
 
 @query(f"WITH {CELLS} SELECT ray_id, round(sum(length), 5) AS pl, round(sum(length * (1 + (ix + iy) % 3)), 5) AS dl FROM cells GROUP BY 1")

@@ -39,3 +39,14 @@ def test_first_of_equal_rectangles_without_a_sort_of_hits(spark):
     out = lookup.first_rectangle_of_all(points, spark.createDataFrame(rows, RECT), F.col("x"), F.col("y"), ["k"])
     assert "SortAggregate" not in plan(out)
     assert sorted(map(tuple, out.collect())) == [(1, 3, True), (2, 2, None), (3, 1, False)]
+
+
+def test_rays_are_traced_in_their_rows(spark):
+    rays = some_rays(spark)
+    for out in (trace.crossings(rays, AXES), trace.stretches(rays, AXES)):
+        assert "Exchange" not in plan(out) and "Window" not in plan(out)
+    summed = trace.stretches(rays, AXES).groupBy("ray_id", "ix", "iy").agg(F.sum(F.col("t1") - F.col("t0")).alias("length"))
+    got = {tuple(r)[:3]: r.length for r in trace.crossings(rays, AXES).collect()}
+    wanted = {tuple(r)[:3]: r.length for r in summed.collect()}
+    assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
+    assert len(got) == trace.crossings(rays, AXES).count()
