@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.stats import poisson
+from tessella.operators.intervals import bounded
 from tessella.operators.windows import dense_numbers, prefix_sums, stored
 
 
@@ -89,7 +90,8 @@ def combined_paths(one: DataFrame, other: DataFrame, key: list[str], sign: float
 
 def left_out_paths(cells: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     """ray_id and the path length in cells that aren't kept: all less the kept."""
-    marked = cells.join(kept.select(*keys).distinct().withColumn("__kept", F.lit(True)), keys, "left")
+    known = bounded(stored(kept.select(*keys).distinct(), "kept"))  # a few cells that many rays cross must not gather all of them
+    marked = cells.join(known.withColumn("__kept", F.lit(True)), keys, "left")
     return marked.groupBy("ray_id").agg((F.sum("length") - F.coalesce(F.sum(F.when(F.col("__kept"), F.col("length"))), F.lit(0.0))).alias("pl"))
 
 

@@ -50,3 +50,11 @@ def test_rays_are_traced_in_their_rows(spark):
     wanted = {tuple(r)[:3]: r.length for r in summed.collect()}
     assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
     assert len(got) == trace.crossings(rays, AXES).count()
+
+
+def test_cells_that_many_rays_cross_are_looked_up_without_a_shuffle(spark):
+    cells = trace.crossings(some_rays(spark), AXES)
+    densities = cells.select("ix", "iy").distinct().withColumn("density", F.lit(2.0))
+    for out in (trace.path_sums(cells, densities, ["ix", "iy"]), groups.left_out_paths(cells, cells.filter("ix % 2 = 0"), ["ix", "iy"])):
+        assert "BroadcastHashJoin" in plan(out) and "SortMergeJoin" not in plan(out)
+    assert all(abs(r.dl - 2 * r.pl) < 1e-9 for r in trace.path_sums(cells, densities, ["ix", "iy"]).collect())
