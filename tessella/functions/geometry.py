@@ -56,20 +56,32 @@ def checker_sign(indices: list[Column], centers: list[int], size: int) -> Column
     return F.when(F.pmod(blocks, F.lit(2)) == 0, 1).otherwise(-1)
 
 
-def slab(point: list[Column], direction: list[Column], low: list[Column], high: list[Column]) -> tuple[Column, Column]:
-    """The stretch of a ray (from its point onwards) within a box, as (enter, leave); null if it misses."""
-    enter, leave = F.lit(0.0), F.lit(INFINITY)
+def _slab(point: list[Column], direction: list[Column], low: list[Column], high: list[Column]) -> tuple[Column, Column, Column]:
+    """Where a ray enters and leaves a box, and whether it meets it. Every axis stands once in each, which keeps the code small enough to be compiled well."""
     inside = F.lit(True)
+    enters, leaves = [F.lit(0.0)], [F.lit(INFINITY)]
     for p, v, a, b in zip(point, direction, low, high, strict=True):
         t0, t1 = F.try_divide(a - p, v), F.try_divide(b - p, v)
         moving = v != 0
-        enter = F.when(moving, F.greatest(enter, F.least(t0, t1))).otherwise(enter)
-        leave = F.when(moving, F.least(leave, F.greatest(t0, t1))).otherwise(leave)
+        enters.append(F.when(moving, F.least(t0, t1)))  # greatest and least pass nulls over
+        leaves.append(F.when(moving, F.greatest(t0, t1)))
         inside = inside & (moving | ((p >= a) & (p <= b)))
-    hit = inside & (leave > enter)
+    enter, leave = F.greatest(*enters), F.least(*leaves)
+    return enter, leave, inside & (leave > enter)
+
+
+def slab(point: list[Column], direction: list[Column], low: list[Column], high: list[Column]) -> tuple[Column, Column]:
+    """The stretch of a ray (from its point onwards) within a box, as (enter, leave); null if it misses."""
+    enter, leave, hit = _slab(point, direction, low, high)
     return F.when(hit, enter), F.when(hit, leave)
 
 
+def slab_length(point: list[Column], direction: list[Column], low: list[Column], high: list[Column]) -> Column:
+    """The length, in the direction's units, of a ray's stretch within a box; null if it misses."""
+    enter, leave, hit = _slab(point, direction, low, high)
+    return F.when(hit, leave - enter)
+
+
 def cylinder_chord(point: list[Column], direction: list[Column], center: tuple[float, float], radii: tuple[float, float], low: float, high: float) -> Column:
     """Length of a ray within an upright elliptic cylinder; 0 if it misses. The direction is a unit vector."""
     px, py = (point[0] - center[0]) / radii[0], (point[1] - center[1]) / radii[1]

@@ -214,8 +214,8 @@ def rays(t) -> DataFrame:
 def slab_intersect(t):
     n = F.col("n_nationkey")
     boxes = t("nation").select(n, (n * 1.0).alias("x0"), (n * 1.0 + 2).alias("x1"), (n % 6 * 1.0).alias("y0"), (n % 6 * 1.0 + 3).alias("y1"))
-    enter, leave = geometry.slab([F.col("px"), F.col("py")], [F.col("vx"), F.col("vy")], [F.col("x0"), F.col("y0")], [F.col("x1"), F.col("y1")])
-    return rays(t).crossJoin(F.broadcast(boxes)).withColumn("length", F.round(leave - enter, 6)).filter("length IS NOT NULL").select("ray_id", "n_nationkey", "length")
+    length = geometry.slab_length([F.col("px"), F.col("py")], [F.col("vx"), F.col("vy")], [F.col("x0"), F.col("y0")], [F.col("x1"), F.col("y1")])
+    return rays(t).crossJoin(F.broadcast(boxes)).withColumn("length", F.round(length, 6)).filter("length IS NOT NULL").select("ray_id", "n_nationkey", "length")
 
 
 CELLS = f"""{RAYS}, bound AS (SELECT *, greatest(1.0, CASE WHEN vy <> 0 THEN least((0 - py) / vy, (12 - py) / vy) ELSE 1.0 END) AS t0, least(11.0, CASE WHEN vy <> 0 THEN greatest((0 - py) / vy, (12 - py) / vy) ELSE 11.0 END) AS t1

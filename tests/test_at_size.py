@@ -58,3 +58,8 @@ def test_cells_that_many_rays_cross_are_looked_up_without_a_shuffle(spark):
     for out in (trace.path_sums(cells, densities, ["ix", "iy"]), groups.left_out_paths(cells, cells.filter("ix % 2 = 0"), ["ix", "iy"])):
         assert "BroadcastHashJoin" in plan(out) and "SortMergeJoin" not in plan(out)
     assert all(abs(r.dl - 2 * r.pl) < 1e-9 for r in trace.path_sums(cells, densities, ["ix", "iy"]).collect())
+
+
+def test_slab_names_every_axis_a_few_times(spark):
+    p, v, a, b = ([F.col(f"{k}{i}") for i in range(3)] for k in "pvab")
+    assert str(geometry.slab_length(p, v, a, b)).count("try_divide") <= 24
