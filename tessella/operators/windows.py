@@ -116,6 +116,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that are grouped or joined in one task.
+TASK_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, keys: list[str], most: int = TASK_ROWS) -> DataFrame:
+    """rows by hashes of the keys in as many partitions as leave each about `most`; as they are where spark.sql.shuffle.partitions do.
+
+    For tables that are grouped and then joined by the same keys: a task's memory doesn't grow with the table. rows are counted, which files answer cheaply.
+    """
+    n = -(-rows.count() // most)
+    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) else rows
+
+
 def dense_numbers(rows: DataFrame, keys: list[str], name: str, partitions: int | None = None) -> DataFrame:
     """rows with a number from 0 without gaps, in the order of the keys (which identify rows).
 

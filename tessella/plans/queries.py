@@ -54,7 +54,8 @@ def raster(t) -> DataFrame:
 
 
 def coo(t) -> DataFrame:
-    return t("lineitem").groupBy(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col")).agg(F.sum("l_quantity").alias("value"))
+    entries = t("lineitem").select(F.col("l_suppkey").alias("row"), F.col("l_partkey").alias("col"), F.col("l_quantity").alias("value"))
+    return windows.dealt(entries, ["row", "col"]).groupBy("row", "col").agg(F.sum("value").alias("value"))
 
 
 def parts(t) -> DataFrame:

@@ -63,3 +63,12 @@ def test_cells_that_many_rays_cross_are_looked_up_without_a_shuffle(spark):
 def test_slab_names_every_axis_a_few_times(spark):
     p, v, a, b = ([F.col(f"{k}{i}") for i in range(3)] for k in "pvab")
     assert str(geometry.slab_length(p, v, a, b)).count("try_divide") <= 24
+
+
+def test_tables_are_dealt_by_their_rows(spark):
+    rows = spark.range(1000).withColumn("col", F.col("id") % 50)
+    assert windows.dealt(rows, ["id", "col"], 100).rdd.getNumPartitions() == 10
+    one = windows.dealt(rows, ["id", "col"], 100).groupBy("id", "col").agg(F.count(F.lit(1)).alias("n"))
+    other = windows.dealt(rows, ["id", "col"], 100).groupBy("id", "col").agg(F.max("col").alias("m"))
+    assert plan(one.join(other.hint("merge"), ["id", "col"])).count("Exchange") <= 2
+    assert plan(windows.dealt(rows, ["id", "col"], 1000)).count("Exchange") == 0
