@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -745,6 +746,35 @@ def test_piece_frequencies_against_a_plain_count(spark, docs):
     assert len(token_counts.learn(docs.filter("false"), scores)) == len(scores)
 
 
+def test_tries_by_depth_against_one_by_character(monkeypatch):
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("aeinst▁éß中\U0001f600\0.,") for _ in range(rng.randint(1, 25))) for _ in range(3000)} | {"a" * 200, "b" * 201, "c" * 5000, "▁"})
+    ties = dict.fromkeys(["▁", "a", "t", "at", "ta", "ata", "▁a", "é"], -1.0)
+    for scores in (token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model")), ties):
+        by_depth, by_character = token_counts.DepthScores(scores), token_counts.PrefixScores(scores)
+        for characters in (token_counts.CHARACTERS, 100):
+            monkeypatch.setattr(token_counts, "CHARACTERS", characters)
+            for kind in (pa.string(), pa.large_string()):
+                assert by_depth.counts(pa.array(["", *words], kind)).tolist() == [0, *(n for _, n in by_character.counts(words))]
+            used = collections.Counter()
+            for k, (_, pieces) in enumerate(by_character.cut(words)):
+                used.update({p: (k + 1) * n for p, n in collections.Counter(pieces).items()})
+            got = by_depth.used(pa.array(words), np.arange(len(words)) + 1)
+            assert {p: n for p, state in by_depth.automaton.ends.items() if (n := got[state])} == used and got.sum() == sum(used.values())
+
+
+def test_only_long_words_are_scored_by_character(spark, monkeypatch):
+    scores = token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    trie = token_counts.DepthScores(scores)
+    trie.counts(pa.array([f"word{i}" for i in range(1000)] + ["x" * 200]))
+    assert trie.plain is None and trie.entered < 2000
+    texts = ["a b\x0ba\x1cb", None, "", " \n", "  tail\t", "\u00a0 \u2003", "x" * 30_000 + " y"]
+    monkeypatch.setattr(token_counts, "TEXTS", 8)
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), scores).collect()}
+    plain = dict(token_counts.PrefixScores(scores).counts({w for t in texts for w in WORD.findall(t or "")}))
+    assert got == {i: (len(words := WORD.findall(t or "")), sum(plain[w] for w in words)) for i, t in enumerate(texts)}
+
+
 def test_rare_languages_stay_in_the_sample():
     assert language_id.shares({"en": 10**6, "de": 100, "fr": 10**5}, 10_000) == {"de": 1.0, "fr": 4950 / 10**5, "en": 4950 / 10**6}
     assert language_id.shares({"en": 5}, 10) == {"en": 1.0} and language_id.letters("½²Ⅷ7_ Äb²c") == ["äb", "c"]
